@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from profusion.llm import decontamination, line_dedup
+import corpus_pipeline
+from profusion.llm import decontamination, language_id, line_dedup, near_dedup, sentencepiece_dropout
 from profusion.session import table
 
 
+def op1_sentencepiece(spark, sf_dir):
+    return sentencepiece_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_line_dedup, op8_decontamination)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sentencepiece, op3_line_dedup, op6_language_id, op7_near_dedup, op8_decontamination)}
 
 
 def oracle_sql():
