@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from profusion.llm import decontamination, language_id, line_dedup, near_dedup, sentencepiece_dropout
+from profusion.llm import decontamination, language_id, line_dedup, near_dedup, pii, sentencepiece_dropout
 from profusion.session import table
 
 
@@ -15,6 +15,10 @@ def op3_line_dedup(spark, sf_dir):
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark, sf_dir):
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op8_decontamination(spark, sf_dir):
 
 
 def queries():
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sentencepiece, op3_line_dedup, op6_language_id, op7_near_dedup, op8_decontamination)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sentencepiece, op3_line_dedup, op4_pii, op6_language_id, op7_near_dedup, op8_decontamination)}
 
 
 def oracle_sql():
