@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from profusion.llm import decontamination, language_id, line_dedup, near_dedup, pii, sentencepiece_dropout
+from profusion.llm import decontamination, html_extraction, language_id, line_dedup, near_dedup, ogg, pii, sentencepiece_dropout, warc
 from profusion.session import table
 
 
@@ -11,6 +11,10 @@ def op1_sentencepiece(spark, sf_dir):
     return sentencepiece_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_ogg(spark, sf_dir):
+    return ogg.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
@@ -31,9 +35,17 @@ def op8_decontamination(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_html_extraction(spark, sf_dir):
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sentencepiece, op3_line_dedup, op4_pii, op6_language_id, op7_near_dedup, op8_decontamination)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sentencepiece, op2_ogg, op3_line_dedup, op4_pii, op6_language_id, op7_near_dedup, op8_decontamination, op9_warc, op10_html_extraction)}
 
 
 def oracle_sql():
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
