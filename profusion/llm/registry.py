@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from profusion.llm import decontamination, html_extraction, language_id, line_dedup, near_dedup, ogg, pii, sentencepiece_dropout, warc
+from profusion.llm import decontamination, html_extraction, language_id, line_dedup, lm_scoring, near_dedup, ogg, pii, sentencepiece_dropout, warc
 from profusion.session import table
 
 
@@ -23,6 +23,10 @@ def op4_pii(spark, sf_dir):
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_html_extraction(spark, sf_dir):
 
 
 def queries():
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sentencepiece, op2_ogg, op3_line_dedup, op4_pii, op6_language_id, op7_near_dedup, op8_decontamination, op9_warc, op10_html_extraction)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_sentencepiece, op2_ogg, op3_line_dedup, op4_pii, op5_lm_scoring, op6_language_id, op7_near_dedup, op8_decontamination, op9_warc, op10_html_extraction)}
 
 
 def oracle_sql():
