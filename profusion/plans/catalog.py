@@ -1,15 +1,432 @@
-"""Registered queries over the driver's tables and their SQL counterparts."""
+"""Registered queries: the package's operators over the driver's tables, with SQL that DuckDB can run.
+
+The tables hold no person records, so orders, parts, events and documents play their part: an order is a
+source that proposes its priority for a customer, its status is how far the source is trusted, and so on.
+Every query reads whole tables. Both sides of a query give the same column names and plain types.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from profusion.functions import normalize as N
+from profusion.functions import textparse as X
+from profusion.functions.selector import load_config, project
+from profusion.functions.text import clean_name, find_emails, find_phones, first_filled
+from profusion.operators.components import components
+from profusion.operators.match import conflict, star_edges
+from profusion.operators.merge import corroborated, field_groups, value_groups
+from profusion.session import table
+from profusion.sources.files import ats_json, recruiter_csv
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _register(name: str, sql: str):
+    def keep(f: Query) -> Query:
+        _queries[name], _sql[name] = f, sql
+        return f
+
+    return keep
+
+
+def _proposals(df: DataFrame, entity: str, value: Column, source: str, conf: Column, field: str | Column = "value", grp: Column | None = None) -> DataFrame:
+    """A table's rows as proposals, in the order of their source."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return df.select(
+        F.col(entity).alias("entity"), (F.lit(field) if isinstance(field, str) else field).alias("field"), (F.lit("") if grp is None else grp).alias("grp"), value.alias("value"), F.lit(False).alias("failed"),
+        conf.cast("int").alias("conf"), F.col(source).cast("string").alias("source_id"), none("double").alias("num"), F.col(source).cast("long").alias("rec_pos"), F.lit(0).alias("idx"), none("string").alias("entry"),
+        none("string").alias("source_type"), none("string").alias("method"), none("string").alias("json"), none("string").alias("note"),
+    )
+
+
+def _status_trust() -> Column:
+    return F.when(F.col("o_orderstatus") == "F", 900).when(F.col("o_orderstatus") == "O", 700).otherwise(500)
+
+
+_STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 900 WHEN 'O' THEN 700 ELSE 500 END"
+_PRIORITY_SQL = f"""
+v AS (SELECT o_custkey, o_orderpriority AS priority, least(1000, max({_STATUS_SQL}) + 50 * (count(DISTINCT o_orderkey) - 1)) AS conf, min(o_orderkey) AS first FROM orders GROUP BY 1, 2),
+w AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY conf DESC, first) AS r FROM v)"""
+
+
+def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proposals(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderpriority"), "o_orderkey", _status_trust())
+
+
+@_register("Q1_resolve_order_priority", f"WITH {_PRIORITY_SQL} SELECT o_custkey, priority, CAST(conf AS BIGINT) AS conf_milli FROM w WHERE r = 1")
+def q1(spark, sf_dir):
+    won = field_groups(value_groups(_priorities(spark, sf_dir)))
+    return won.select(F.col("entity").alias("o_custkey"), F.col("win.value").alias("priority"), F.col("conf").cast("long").alias("conf_milli"))
+
+
+_EVENT_SQL = """SELECT user_id, event_type, CAST(least(1000, 400 + (length(event_type) * 37) % 400 + 50 * (count(DISTINCT CAST(ts AS DATE)) - 1)) AS BIGINT) AS conf_milli FROM events GROUP BY user_id, event_type"""
+
+
+def _event_confidence(spark, sf_dir):
+    base = F.lit(400) + (F.length("event_type") * 37) % 400
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(corroborated(F.max(base), F.count_distinct(F.col("ts").cast("date"))).cast("long").alias("conf_milli"))
+    return e
+
+
+@_register("Q2_corroborated_confidence", _EVENT_SQL)
+def q2(spark, sf_dir):
+    return _event_confidence(spark, sf_dir)
+
+
+@_register("Q3_overall_confidence", f"SELECT user_id, CAST(sum(conf_milli) // count(*) AS BIGINT) AS overall_milli, count(*) AS n_values FROM ({_EVENT_SQL}) GROUP BY user_id")
+def q3(spark, sf_dir):
+    return _event_confidence(spark, sf_dir).groupBy("user_id").agg(F.expr("sum(conf_milli) div count(*)").alias("overall_milli"), F.count("*").alias("n_values"))
+
+
+@_register("Q4_multi_value_union", """
+WITH f AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events)
+SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS event_types FROM f WHERE r = 1 GROUP BY user_id""")
+def q4(spark, sf_dir):
+    firsts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "event_type")))
+    return firsts.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("event_types"))
+
+
+_SPELLINGS = ["ReactJS", "js", " Python 3", "K8s", "cpp", "Rust"]
+_SPELLING_SQL = "CASE p_size % 6 WHEN 0 THEN 'react' WHEN 1 THEN 'javascript' WHEN 2 THEN 'python' WHEN 3 THEN 'kubernetes' WHEN 4 THEN 'c++' ELSE 'rust' END"
+
+
+@_register("Q5_skill_aggregation", f"""
+SELECT p_brand, {_SPELLING_SQL} AS name, CAST(least(1000, 550 + 50 * (count(DISTINCT l_suppkey) - 1)) AS BIGINT) AS conf_milli, count(DISTINCT l_suppkey) AS n_sources
+FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity >= 49 GROUP BY 1, 2""")
+def q5(spark, sf_dir):
+    spelled = F.element_at(F.array(*map(F.lit, _SPELLINGS)), (F.col("p_size") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    v = value_groups(_proposals(rows, "p_brand", N.skill(spelled), "l_suppkey", F.lit(550)))
+    return v.select(F.col("entity").alias("p_brand"), F.col("value").alias("name"), F.col("conf").cast("long").alias("conf_milli"), F.size("sources").cast("long").alias("n_sources"))
+
+
+@_register("Q6_nested_fusion", f"""
+WITH p AS (
+  SELECT c_nationkey, lower(c_mktsegment) AS grp, f, x, o_orderkey, {_STATUS_SQL} AS base
+  FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (VALUES ('title'), ('start')) AS k(f),
+       LATERAL (SELECT CASE f WHEN 'title' THEN o_orderpriority ELSE strftime(o_orderdate, '%Y-%m') END AS x)),
+v AS (SELECT c_nationkey, grp, f, x, least(1000, max(base) + 50 * (count(DISTINCT o_orderkey) - 1)) AS conf, min(o_orderkey) AS first FROM p GROUP BY 1, 2, 3, 4),
+w AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, grp, f ORDER BY conf DESC, first) AS r FROM v)
+SELECT c_nationkey, grp, max(CASE WHEN f = 'title' THEN x END) AS title, max(CASE WHEN f = 'start' THEN x END) AS start_month FROM w WHERE r = 1 GROUP BY 1, 2""")
+def q6(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    two = F.explode(F.array(F.struct(F.lit("title").alias("f"), F.col("o_orderpriority").alias("x")), F.struct(F.lit("start").alias("f"), F.date_format("o_orderdate", "yyyy-MM").alias("x")))).alias("p")
+    rows = rows.select("c_nationkey", "c_mktsegment", "o_orderkey", "o_orderstatus", two)
+    won = field_groups(value_groups(_proposals(rows, "c_nationkey", F.col("p.x"), "o_orderkey", _status_trust(), F.col("p.f"), clean_name(F.col("c_mktsegment")))))
+    of = lambda f: F.max(F.when(F.col("field") == f, F.col("win.value")))
+    return won.groupBy(F.col("entity").alias("c_nationkey"), "grp").agg(of("title").alias("title"), of("start").alias("start_month"))
+
+
+@_register("Q7_provenance_log", f"""
+WITH {_PRIORITY_SQL}
+SELECT o.o_custkey, o.o_orderkey, o.o_orderpriority AS priority, CAST({_STATUS_SQL} AS BIGINT) AS base_milli, w.r = 1 AS won
+FROM orders o JOIN w ON o.o_custkey = w.o_custkey AND o.o_orderpriority = w.priority""")
+def q7(spark, sf_dir):
+    fields = field_groups(value_groups(_priorities(spark, sf_dir)))
+    log = fields.select("entity", F.col("win.value").alias("best"), F.explode("vals").alias("v")).select("entity", "best", "v.value", F.explode("v.log").alias("p"))
+    return log.select(F.col("entity").alias("o_custkey"), F.col("p.rec_pos").alias("o_orderkey"), F.col("value").alias("priority"), F.col("p.conf").cast("long").alias("base_milli"), (F.col("value") == F.col("best")).alias("won"))
+
+
+_KIND = {"AUTOMOBILE": "recruiter_csv", "BUILDING": "ats_json", "FURNITURE": "resume", "MACHINERY": "recruiter_notes"}
+_HOW = {"F": "direct_field", "O": "heuristic_parse"}
+
+
+def _case(column: str, table: dict[str, str], other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{other}' END"
+
+
+@_register("Q8_confidence_lookup", f"""
+WITH k AS (SELECT DISTINCT c_mktsegment, o_orderstatus FROM customer JOIN orders ON c_custkey = o_custkey),
+n AS (SELECT *, {_case("c_mktsegment", _KIND, "other")} AS kind, {_case("o_orderstatus", _HOW, "regex_extract")} AS how FROM k)
+SELECT c_mktsegment, o_orderstatus, CAST(CASE WHEN kind = 'ats_json' AND how = 'heuristic_parse' THEN 552 WHEN kind = 'resume' AND how = 'heuristic_parse' THEN 488 WHEN kind = 'recruiter_notes' AND how = 'heuristic_parse' THEN 358 ELSE
+  round((CASE kind WHEN 'recruiter_csv' THEN 900 WHEN 'ats_json' THEN 850 WHEN 'resume' THEN 750 WHEN 'recruiter_notes' THEN 550 ELSE 500 END) * (CASE how WHEN 'direct_field' THEN 100 WHEN 'heuristic_parse' THEN 65 ELSE 70 END) / 100) END AS BIGINT) AS conf_milli
+FROM n""")
+def q8(spark, sf_dir):
+    pairs = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_mktsegment", "o_orderstatus").distinct()
+    of = lambda c, t, other: F.expr(_case(c, t, other))
+    return pairs.select("c_mktsegment", "o_orderstatus", N.trust(of("c_mktsegment", _KIND, "other"), of("o_orderstatus", _HOW, "regex_extract")).cast("long").alias("conf_milli"))
+
+
+_W = r"[\p{L}\p{M}\p{N}_"
+_EMAIL_SQL = rf"list_distinct(regexp_extract_all(text, '{_W}\.-]+@{_W}\.-]+\.{_W}]+'))"
+_PHONE_SQL = r"list_distinct(regexp_extract_all(text, '(?:\+?\d{1,4}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}'))"
+
+
+@_register("Q9_email_extract", f"SELECT doc_id, array_to_string(list_sort({_EMAIL_SQL}), ',') AS emails FROM documents")
+def q9(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(find_emails(F.col("text"))), ",").alias("emails"))
+
+
+@_register("Q10_phone_extract", f"SELECT doc_id, array_to_string(list_sort(list_transform({_PHONE_SQL}, lambda x: trim(x))), ',') AS phones FROM documents")
+def q10(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(find_phones(F.col("text"))), ",").alias("phones"))
+
+
+def _phone_sql() -> str:
+    def plan(code: str, national: str) -> str:
+        bare = national if code == "1" else f"regexp_replace({national}, '^0', '')"
+        return f"CASE WHEN regexp_full_match({bare}, '{N.CALLING[code]}') THEN '+{code}' || {bare} END"
+
+    abroad = "CASE " + " ".join(f"WHEN starts_with(d, '{c}') THEN {plan(c, f'substr(d, {len(c) + 1})')}" for c in reversed(N.CALLING)) + r" WHEN regexp_full_match(d, '[2-9]\d{8,13}') THEN '+' || d END"
+    home = f"coalesce({plan('1', 'd')}, CASE WHEN starts_with(d, '1') THEN {plan('1', 'substr(d, 2)')} END)"
+    return f"""
+WITH p AS (SELECT DISTINCT trim(x) AS phone FROM (SELECT unnest({_PHONE_SQL}) AS x FROM documents)),
+d AS (SELECT phone, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM p),
+v AS (SELECT phone, CASE WHEN starts_with(phone, '+') THEN {abroad} ELSE {home} END AS value FROM d)
+SELECT phone, value, CASE WHEN value IS NULL THEN 'normalize_failed: ambiguous_region' END AS note FROM v"""
+
+
+@_register("Q11_phone_normalize", _phone_sql())
+def q11(spark, sf_dir):
+    phones = table(spark, sf_dir, "documents").select(F.explode(find_phones(F.col("text"))).alias("phone")).distinct()
+    return phones.select("phone", N.phone(F.col("phone")).alias("r")).select("phone", "r.value", "r.note")
+
+
+@_register("Q12_date_normalize", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 2) THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-01') END AS value,
+       CASE WHEN o_orderkey % 4 IN (1, 3) THEN 'precision: year' END AS note FROM orders""")
+def q12(spark, sf_dir):
+    form = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, form("yyyy/MM")).when(k == 1, form("yyyy")).when(k == 2, form("MMMM yyyy")).otherwise(form("yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.date(text).alias("r")).select("o_orderkey", "r.value", "r.note")
+
+
+_PLACES = ["USA", " uk", "u.k.", "India", "Deutschland", "FR", "ZZ", "zz", "nowhere"]
+
+
+@_register("Q13_country_normalize", """
+SELECT n_name, CASE n_nationkey % 9 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 3 THEN 'IN' WHEN 4 THEN 'DE' WHEN 5 THEN 'FR' WHEN 6 THEN 'ZZ' END AS value,
+       CASE WHEN n_nationkey % 9 IN (2, 7, 8) THEN 'normalize_failed: unknown_country' END AS note FROM nation""")
+def q13(spark, sf_dir):
+    place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("n_nationkey") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "nation").select("n_name", N.country(place).alias("r")).select("n_name", "r.value", "r.note")
+
+
+@_register("Q14_clean_string", r"""
+SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand || ' Corp. & Co, Limited'), '\b(?:inc|corp|co|ltd|llc|limited|corporation)\b', '', 'g'), '[^a-z0-9]', '', 'g') AS clean FROM part""")
+def q14(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", clean_name(F.concat("p_name", F.lit(" "), "p_brand", F.lit(" Corp. & Co, Limited"))).alias("clean"))
+
+
+@_register("Q15_experience_years", """
+WITH s AS (SELECT o_custkey, date_trunc('month', min(o_orderdate)) AS a, CASE WHEN o_custkey % 5 = 0 THEN TIMESTAMP '2005-01-01' ELSE date_trunc('month', max(o_orderdate)) END AS b FROM orders GROUP BY o_custkey)
+SELECT o_custkey, round(greatest(0, date_diff('day', a, b) / CAST(365.25 AS DOUBLE)), 1) AS years FROM s""")
+def q15(spark, sf_dir):
+    s = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM").alias("a"), F.date_format(F.max("o_orderdate"), "yyyy-MM").alias("b"))
+    end = F.when(F.col("o_custkey") % 5 == 0, "Present").otherwise(F.col("b"))
+    return s.select("o_custkey", N.years_between(F.col("a"), end, F.lit("2005-01-01").cast("date")).alias("years"))
+
+
+_DOC_KEYS_SQL = f"""
+k AS (
+  SELECT doc_id AS id, 't' || lower(trim(text)) AS key FROM documents UNION SELECT doc_id, 'e' || unnest({_EMAIL_SQL}) FROM documents
+  UNION SELECT doc_id, 'p' || trim(unnest({_PHONE_SQL})) FROM documents),
+e AS (SELECT k.id AS a, m.a AS b FROM k JOIN (SELECT key, min(id) AS a FROM k GROUP BY key) m ON k.key = m.key),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"""
+
+
+@_register("Q16_exact_key_clusters", f"""
+WITH RECURSIVE {_DOC_KEYS_SQL},
+r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT r.id, s.b FROM r JOIN s ON r.reach = s.a)
+SELECT id AS doc_id, min(reach) AS cluster_id FROM r GROUP BY id""")
+def q16(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    key = lambda mark, c: d.select("doc_id", F.concat(F.lit(mark), c).alias("key"))
+    keys = key("t", F.lower(F.trim("text"))).union(d.select("doc_id", F.explode(find_emails(F.col("text"))).alias("x")).select("doc_id", F.concat(F.lit("e"), "x")))
+    keys = keys.union(d.select("doc_id", F.explode(find_phones(F.col("text"))).alias("x")).select("doc_id", F.concat(F.lit("p"), "x")))
+    found = components(star_edges(keys, "key", "doc_id")).withColumnsRenamed({"id": "doc_id", "class": "cluster_id"})
+    return d.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("cluster_id", "doc_id").alias("cluster_id"))
+
+
+@_register("Q16b_multi_hop_components", """
+WITH RECURSIVE k AS (
+  SELECT p_partkey AS id, p_name || '|' || p_brand || '|s' || p_size AS key FROM part UNION ALL SELECT p_partkey, p_name || '|' || p_brand || '|t' || p_type FROM part),
+m AS (SELECT key, min(id) AS a FROM k GROUP BY key),
+e AS (SELECT k.id AS a, m.a AS b FROM k JOIN m ON k.key = m.key WHERE k.id <> m.a), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT p_partkey AS id, p_partkey AS reach FROM part UNION SELECT r.id, s.b FROM r JOIN s ON r.reach = s.a)
+SELECT id AS p_partkey, min(reach) AS cluster_id FROM r GROUP BY id""")
+def q16b(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    key = lambda mark, c: F.concat_ws("|", "p_name", "p_brand", F.concat(F.lit(mark), F.col(c).cast("string")))
+    keys = p.select("p_partkey", F.explode(F.array(key("s", "p_size"), key("t", "p_type"))).alias("key"))
+    found = components(star_edges(keys, "key", "p_partkey")).withColumnsRenamed({"id": "p_partkey", "class": "cluster_id"})
+    return p.select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.coalesce("cluster_id", "p_partkey").alias("cluster_id"))
+
+
+_SETS_SQL = """
+c AS (SELECT c_custkey AS id, c_nationkey, c_mktsegment, list_sort(list_distinct(list(strftime(o_orderdate, '%Y-%m')))) AS a, list_sort(list_distinct(list(o_orderpriority))) AS b
+      FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3),
+q AS (SELECT x.id AS a, y.id AS b, NOT list_has_any(x.a, y.a) OR NOT list_has_any(x.b, y.b) AS conflicting
+      FROM c x JOIN c y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.id < y.id)"""
+
+
+def _customer_pairs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM"))).alias("months"), F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"))
+    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_nationkey", "c_mktsegment", "months", "priorities")
+    x, y = c.alias("x"), c.alias("y")
+    same = (F.col("x.c_nationkey") == F.col("y.c_nationkey")) & (F.col("x.c_mktsegment") == F.col("y.c_mktsegment")) & (F.col("x.c_custkey") < F.col("y.c_custkey"))
+    clash = conflict(F.col("x.months"), F.col("y.months")) | conflict(F.col("x.priorities"), F.col("y.priorities"))
+    return x.join(y, same).select(F.col("x.c_custkey").alias("a"), F.col("y.c_custkey").alias("b"), clash.alias("conflicting"))
+
+
+@_register("Q17_blocked_pairs_conflict", f"WITH {_SETS_SQL} SELECT a, b, conflicting FROM q")
+def q17(spark, sf_dir):
+    return _customer_pairs(spark, sf_dir)
+
+
+@_register("Q18_possible_duplicates", f"""
+WITH {_SETS_SQL},
+g AS (SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey % 3) AS entity FROM customer),
+l AS (SELECT x.entity AS ea, y.entity AS eb FROM q JOIN g x ON q.a = x.id JOIN g y ON q.b = y.id WHERE conflicting AND x.entity <> y.entity),
+b AS (SELECT ea, eb FROM l UNION SELECT eb, ea FROM l)
+SELECT ea AS entity, string_agg(CAST(eb AS VARCHAR), ',' ORDER BY eb) AS possible_duplicate_of FROM b GROUP BY ea""")
+def q18(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("part", F.col("c_custkey") % 3)
+    firsts = c.groupBy("c_nationkey", "c_mktsegment", "part").agg(F.min("c_custkey").alias("entity"))
+    of = c.join(firsts, ["c_nationkey", "c_mktsegment", "part"]).select("c_custkey", "entity")
+    at = lambda name: of.withColumnsRenamed({"c_custkey": name, "entity": f"e{name}"})
+    pairs = _customer_pairs(spark, sf_dir).filter("conflicting").join(at("a"), "a").join(at("b"), "b").filter("ea <> eb").select("ea", "eb")
+    both = pairs.union(pairs.select("eb", "ea")).distinct()
+    return both.groupBy(F.col("ea").alias("entity")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("eb")), lambda x: x.cast("string")), ",").alias("possible_duplicate_of"))
+
+
+@_register("Q19_current_company", """
+SELECT o_custkey, coalesce(arg_min(o_orderpriority, o_orderkey) FILTER (WHERE o_orderstatus = 'O'), arg_min(o_orderpriority, o_orderkey)) AS company FROM orders GROUP BY o_custkey""")
+def q19(spark, sf_dir):
+    end = F.when(F.col("o_orderstatus") == "O", F.lit("Present")).otherwise(F.date_format("o_orderdate", "yyyy-MM"))
+    entries = F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_orderpriority").alias("company"), end.alias("end"))))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(entries.alias("e")).select("o_custkey", N.current_company(F.col("e")).alias("company"))
+
+
+def _customer_profiles(spark, sf_dir):
+    """Customers in the canonical schema."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    none = lambda kind: F.array().cast(kind)
+    return c.select(
+        k.cast("string").alias("candidate_id"), F.col("c_name").alias("full_name"), F.when(k % 3 > 0, F.array(F.concat(F.lower(F.regexp_replace("c_name", "[^A-Za-z0-9]", "")), F.lit("@example.com")))).otherwise(none("array<string>")).alias("emails"),
+        F.array(F.concat(F.lit("(650) 555-"), F.lpad((k % 10000).cast("string"), 4, "0"))).alias("phones"), F.struct(F.col("c_mktsegment").alias("city"), F.lit(None).cast("string").alias("region"), F.col("n_name").alias("country")).alias("location"),
+        F.array(F.struct(F.lit("JS").alias("name"), F.lit(0.5).alias("confidence"), none("array<string>").alias("sources")), F.struct(F.lit("Rust ").alias("name"), F.lit(0.5).alias("confidence"), none("array<string>").alias("sources"))).alias("skills"),
+        F.col("c_acctbal").alias("overall_confidence"), none("array<string>").alias("provenance"),
+    )
+
+
+@_register("Q20_path_projection", """
+SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '@example.com' END AS email,
+       '+1650555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, c_mktsegment AS city, 'javascript,rust' AS skills, c_acctbal AS overall_confidence
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def q20(spark, sf_dir):
+    config = load_config({"include_provenance": False, "fields": [
+        {"path": "id", "from": "candidate_id", "required": True}, {"path": "name", "from": "full_name", "type": "string"}, {"path": "email", "from": "emails[0]"},
+        {"path": "phone", "from": "phones[0]", "normalize": "E164"}, {"path": "city", "from": "location.city"}, {"path": "skills", "from": "skills[].name", "type": "string[]", "normalize": "canonical"},
+    ]})
+    return project(_customer_profiles(spark, sf_dir), config).withColumns({"id": F.col("id").cast("long"), "skills": F.array_join("skills", ",")})
+
+
+@_register("Q21_json_ingest", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') AS whole FROM events")
+def q21(spark, sf_dir):
+    v = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    return v.select("event_id", F.try_variant_get("v", "$.k", "long").alias("k"), (F.schema_of_variant(F.try_variant_get("v", "$.k", "variant")) == "BIGINT").alias("whole"))
+
+
+@_register("Q22_line_parser", r"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1:5] AS ls FROM documents)
+SELECT doc_id, list_filter(ls, lambda x: length(x) < 50 AND NOT contains(x, '@') AND NOT regexp_matches(x, '\d{5,}')
+  AND NOT regexp_matches(lower(x), 'resume|cv|experience|education|skills|summary'))[1] AS name FROM l""")
+def q22(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.resume_name(F.col("text")).alias("name"))
+
+
+@_register("Q23_html_links", """
+SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ' '), '') AS links FROM pages""")
+def q23(spark, sf_dir):
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, " ").alias("links"))
+
+
+@_register("Q24_falsy_coalesce", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_name WHEN c_custkey % 2 = 1 THEN ' ' ELSE c_mktsegment END AS label FROM customer""")
+def q24(spark, sf_dir):
+    k = F.col("c_custkey")
+    a = F.when(k % 3 == 1, F.col("c_name")).when(k % 3 == 2, "")
+    return table(spark, sf_dir, "customer").select("c_custkey", first_filled(a, F.when(k % 2 == 1, " ").otherwise(""), F.col("c_mktsegment")).alias("label"))
+
+
+@_register("Q25_fail_closed_prefix", """
+WITH b AS (SELECT l_orderkey, l_linenumber, min(CASE WHEN l_discount >= 0.08 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS bad FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM b WHERE bad IS NULL OR l_linenumber < bad""")
+def q25(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    bad = items.filter("l_discount >= 0.08").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("bad"))
+    return items.join(bad, "l_orderkey", "left").filter("bad IS NULL OR l_linenumber < bad").select("l_orderkey", "l_linenumber")
+
+
+@_register("Q26_source_union", """
+SELECT 'customer' AS source_type, c_name AS full_name, c_nationkey AS nation FROM customer UNION ALL SELECT 'supplier', s_name, s_nationkey FROM supplier""")
+def q26(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.lit("customer").alias("source_type"), F.col("c_name").alias("full_name"), F.col("c_nationkey").alias("nation"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("full_name"), F.lit("supplier").alias("source_type"))
+    return c.unionByName(s)
+
+
+@_register("Q27_skill_scan", """
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'javascript,react' WHEN 1 THEN 'c++,git' WHEN 2 THEN 'java' ELSE '' END AS skills FROM part""")
+def q27(spark, sf_dir):
+    text = F.element_at(F.array(*map(F.lit, ["React.js here", "cpp, GitHub", "Java!", "React only"])), (F.col("p_size") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(N.skills_in(text), ",").alias("skills"))
+
+
+@_register("Q28_notes_parser", """
+SELECT c_custkey, c_name AS full_name, lower(c_mktsegment) || '@example.com' AS emails, c_mktsegment AS company, 'Python,Go' AS skills, CAST(c_nationkey AS DOUBLE) AS years FROM customer""")
+def q28(spark, sf_dir):
+    text = F.concat(F.lit("Recruiter Notes on "), "c_name", F.lit("\n  EMAIL : "), F.concat(F.lower("c_mktsegment"), F.lit("@example.com, ")), F.lit("\nCurrent Company: "), "c_mktsegment", F.lit("\nSkills: Python, Go,\nYears of Experience: "), F.col("c_nationkey").cast("string"), F.lit(" years\n"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")).withColumn("keyed", X.keyed_lines(F.col("text")))
+    return c.select("c_custkey", *X.notes(F.col("text"), F.col("keyed"))).select("c_custkey", "full_name", F.array_join("emails", ",").alias("emails"), F.get("experience", F.lit(0))["company"].alias("company"), F.array_join("skills", ",").alias("skills"), F.col("years_experience").alias("years"))
+
+
+@_register("Q29_resume_sections", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m') END AS start_text, 'Engineer' AS title, 'Acme Corp' AS company,
+       CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m') ELSE 'present' END AS end_text, CAST(7.5 AS DOUBLE) AS years FROM orders""")
+def q29(spark, sf_dir):
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    block = F.concat(F.lit("Company: Acme Corp\nTitle: Engineer\nDates: "), month, F.lit(" to 2030-01\n7.5+ years of experience"))
+    section = F.concat(F.lit("Work History:\nEngineer at Acme Corp ("), month, F.lit(" - present)\n\n7.5 years experience"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, block).otherwise(section).alias("text"))
+    e = F.get(X.resume_experience(F.col("text")), F.lit(0))
+    return o.select("o_orderkey", e.alias("e"), X.stated_years(F.col("text")).alias("years")).select("o_orderkey", F.col("e.start").alias("start_text"), "e.title", "e.company", F.col("e.end").alias("end_text"), "years")
+
+
+@_register("Q30_ats_items", """
+SELECT 'n' || c_nationkey || '_ats_' || c_custkey AS source_id, c_name AS full_name, c_mktsegment AS city, CASE WHEN c_custkey % 2 = 0 THEN 'US' ELSE 'DE' END AS country, c_custkey % 40 + 0.5 AS years FROM customer""")
+def q30(spark, sf_dir):
+    k = F.col("c_custkey")
+    text_place = F.to_json(F.struct(k.cast("string").alias("ats_id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.lit(", US")).alias("location"), (k % 40 + 0.5).alias("years_experience")))
+    map_place = F.to_json(F.struct(k.cast("string").alias("ats_id"), F.col("c_name").alias("full_name"), F.struct(F.col("c_mktsegment").alias("city"), F.lit("DE").alias("country")).alias("location"), (k % 40 + 0.5).cast("string").alias("years_experience")))
+    items = table(spark, sf_dir, "customer").select("c_nationkey", F.when(k % 2 == 0, text_place).otherwise(map_place).alias("item"))
+    files = items.groupBy("c_nationkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("text")).select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("file"), "text")
+    return ats_json(files).select("source_id", "full_name", "location.city", "location.country", F.col("years_experience").alias("years"))
+
+
+@_register("Q31_csv_rows", """
+SELECT c_name AS full_name, lower(c_mktsegment) || '@example.com' AS email, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS DOUBLE) END AS years, count(*) AS n FROM customer GROUP BY 1, 2, 3""")
+def q31(spark, sf_dir):
+    line = F.concat_ws(",", F.concat(F.lit('"'), "c_name", F.lit('"')), F.concat(F.lower("c_mktsegment"), F.lit("@example.com")), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise("n/a"))
+    files = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("full_name,email_address,experience_years\n"), F.array_join(F.collect_list(line), "\n\n")).alias("text"))
+    rows = recruiter_csv(files.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".csv")).alias("file"), "text"))
+    return rows.groupBy("full_name", F.get("emails", F.lit(0)).alias("email"), F.col("years_experience").alias("years")).agg(F.count("*").alias("n"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
