@@ -38,14 +38,15 @@ from profusion.session import written
 
 BITS, MU = 12, 2.0
 HEAD_WORDS = 1 << 18
-BLOCK_BYTES = 32 << 20
-SEGMENT_TOKENS = 2_000_000
-BATCH_TOKENS = 1_500_000
+BLOCK_BYTES = 16 << 20
+SEGMENT_TOKENS = 500_000
+#: Tokens that a task counts, or scores, at a time; entries whose places are computed at a time.
+COUNT_TOKENS, SCORE_TOKENS, CHUNK = 1_000_000, 2_000_000, 250_000
 _F = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xD1B54A32D192ED03)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], most: int = BATCH_TOKENS):
+def _sequences(batches: Iterator[pa.RecordBatch], most: int = COUNT_TOKENS):
     """Batches of rows with their tokens: (row columns, tokens with leading and closing end marks, row of each token)."""
     rows, parts, total = [], [], 0
 
@@ -53,7 +54,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], most: int = BATCH_TOKENS):
         n = np.concatenate([np.diff(o) for _, o in parts])
         words = np.concatenate([w for w, _ in parts])
         out = np.full(len(words) + 2 * len(n), END_TOKEN, np.uint64)
-        row = np.repeat(np.arange(len(n)), n + 2)
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n + 2)
         out[np.arange(len(words)) + 2 * np.repeat(np.arange(len(n)), n) + 1] = words
         return pa.Table.from_batches(rows), out, row
 
@@ -133,11 +134,12 @@ def _places(prints: np.ndarray, level: int | np.ndarray, words: int | np.ndarray
 def build_segment(prints: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The filter of a segment: distinct prints with their counts."""
     level = 1 + np.floor(np.log2(counts)).astype(np.int64)
-    entries = np.repeat(prints, level)
-    each = np.arange(len(entries)) - np.repeat(np.cumsum(level) - level, level) + 1
-    words = np.zeros(max(1, -(-len(entries) * BITS // 64)), np.uint64)
-    at, mask = _places(entries, each, len(words))
-    np.bitwise_or.at(words, at, mask)
+    words = np.zeros(max(1, -(-int(level.sum()) * BITS // 64)), np.uint64)
+    for start in range(0, len(prints), CHUNK):
+        left, q = prints[start : start + CHUNK], level[start : start + CHUNK]
+        for each in range(1, int(q.max()) + 1):
+            at, mask = _places(left[q >= each], each, len(words))
+            np.bitwise_or.at(words, at, mask)
     return words
 
 
@@ -158,37 +160,35 @@ class Filter:
         self.segments, self.blocks, self.firsts = segments, blocks, firsts
 
     def levels(self, items: np.ndarray) -> np.ndarray:
-        """The level of each item, 0 if it is not held."""
-        out = np.zeros(len(items), np.int64)
-        segment, prints = segment_of(items, self.segments), prints_of(items)
-        block = np.searchsorted(self.firsts, segment, "right") - 1
+        """The level of each item (uint8), 0 if it is not held."""
+        out = np.zeros(len(items), np.uint8)
+        segment = segment_of(items, self.segments).astype(np.int32)
+        block = (np.searchsorted(self.firsts, segment, "right") - 1).astype(np.int32)
+        by = np.argsort(block, kind="stable") if len(self.blocks) > 1 else np.arange(len(items))
+        cut = np.searchsorted(block[by], np.arange(len(self.blocks) + 1))
         for b, shared in enumerate(self.blocks):
-            own = np.flatnonzero(block == b) if len(self.blocks) > 1 else np.arange(len(items))
-            if not len(own):
+            if cut[b] == cut[b + 1]:
                 continue
-            held = shared.value
-            sizes = np.zeros(self.segments, np.int64)
-            for s, words in held:
-                sizes[s] = len(words) // 8
-            flat = np.frombuffer(b"".join(w for _, w in held), np.uint64)
-            start = np.zeros(self.segments, np.int64)
-            order = [s for s, _ in held]
-            start[order] = np.cumsum(sizes[order]) - sizes[order]
+            sizes, start, flat = shared.value
+            first = self.firsts[b]
+            for at in range(cut[b], cut[b + 1], CHUNK):
+                own = by[at : min(at + CHUNK, cut[b + 1])]
+                own = own[sizes[segment[own] - first] > 0]
+                level = 0
+                while len(own):
+                    level += 1
+                    s = segment[own] - first
+                    place, mask = _places(prints_of(items[own]), level, sizes[s])
+                    own = own[flat[start[s] + place] & mask == mask]
+                    out[own] = level
             if len(self.blocks) > 1 and getattr(shared, "_path", None):
                 shared.__dict__.pop("_value", None)  # it is read from the executor's disk when next needed
-            own = own[sizes[segment[own]] > 0]
-            level = 0
-            while len(own):
-                level += 1
-                at, mask = _places(prints[own], level, sizes[segment[own]])
-                own = own[flat[start[segment[own]] + at] & mask == mask]
-                out[own] = level
         return out
 
 
 def count_of(level: np.ndarray) -> np.ndarray:
     """The middle of the counts of a level; 0 for level 0."""
-    return np.where(level > 0, (3 * np.exp2(level - 1.0) - 1) / 2, 0.0)
+    return np.array([0.0, *((3 * 2.0**q - 1) / 2 for q in range(64))])[level]
 
 
 def build_filter(training: DataFrame, tokens: int) -> Filter:
@@ -204,8 +204,13 @@ def build_filter(training: DataFrame, tokens: int) -> Filter:
             total += sizes[end][1]
             end += 1
         rows = built.filter(F.col("segment").between(sizes[at][0], sizes[end - 1][0])).select("segment", "words").collect()
-        blocks.append(spark.sparkContext.broadcast([(r["segment"], bytes(r["words"])) for r in rows]))
-        firsts.append(sizes[at][0] if blocks[1:] else 0)
+        first, last = sizes[at][0] if blocks else 0, sizes[end][0] if end < len(sizes) else segments
+        held, words = np.zeros(last - first, np.int64), []
+        for r in sorted(rows):
+            words.append(np.frombuffer(r["words"], np.uint64))
+            held[r["segment"] - first] = len(words[-1])
+        blocks.append(spark.sparkContext.broadcast((held, np.cumsum(held) - held, np.concatenate(words))))
+        firsts.append(first)
         at = end
     return Filter(segments, blocks, firsts)
 
@@ -218,7 +223,7 @@ def _scores(filter_: Filter, head, total: int, kinds: int):
         from pyspark import TaskContext
 
         rid, (known_h, known_c) = TaskContext.get().partitionId() << 36, head.value
-        for rows, tokens, row in _sequences(batches, BATCH_TOKENS):
+        for rows, tokens, row in _sequences(batches, SCORE_TOKENS):
             one, two, predicted = _items(tokens, row)
             of, n = row[predicted], rows.num_rows
             distinct, back = np.unique(one, return_inverse=True)
