@@ -5,7 +5,7 @@ number of tags and the elements around it. Menus, page headers, footers, sidebar
 forms, comments, scripts and hidden parts are known by element, role, class or id and make no lines.
 The ratio of characters to tags per line is smoothed with a Gaussian kernel and cut in two by the
 one-dimensional two-means threshold; the upper lines are content. The region is the article or main
-element that has most content, else the innermost element with nine tenths of the content; all its
+element that has most content, else the innermost division with nine tenths of the content; all its
 lines are the text, short ones too, but for lines of links outside articles.
 
 Defined cases: a null or empty page has the empty text; white space (no-break spaces too) becomes one
@@ -71,6 +71,7 @@ class Lines(HTMLParser):
         self.dropped = 0
         self.number = 0
         self.articles: set[int] = set()
+        self.holders: set[int] = set()
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.text: list[str] = []
         self.tags = self.links = self.in_link = 0
@@ -80,8 +81,8 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 self.lines.append((text, self.tags, self.links, tuple(n for _, n, _ in self.open)))
-                self.tags = self.links = 0
             self.text = []
+        self.tags = self.links = 0
 
     def _close(self, at: int) -> None:
         for tag, _, dropped in self.open[at:]:
@@ -113,6 +114,8 @@ class Lines(HTMLParser):
         self.open.append((tag, self.number, drop))
         self.dropped += drop
         self.in_link += tag == "a"
+        if tag in HOLDS:
+            self.holders.add(self.number)
         if tag in ("article", "main") and not self.dropped:
             self.articles.add(self.number)
 
@@ -180,7 +183,7 @@ def extract_text(html: str | None) -> str:
         best = max(sorted(set(articles)), key=lambda e: weight[e])
         return "\n".join(t for t, _, _, path in lines if best in path)
     total = sum(n for n, good in zip(size, content, strict=True) if good)
-    best = max((e for e, w in weight.items() if w >= 0.9 * total), default=None)
+    best = max((e for e, w in weight.items() if w >= 0.9 * total and e in page.holders), default=None)
     return "\n".join(t for t, _, links, path in lines if (best is None or best in path) and links < 0.8 * len(t))
 
 
