@@ -46,7 +46,10 @@ START, END = 2, 3
 
 
 def letters(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    words = _WORD.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for w in ("".join(filter(str.isalpha, w)) for w in words) if w]  # without signs such as 2 in superscript
 
 
 class Model:

@@ -172,7 +172,7 @@ def test_language_of_held_out_documents(spark, languages):
 def test_language_edge_cases(spark, languages):
     model = language_id.train(languages)
     r = random.Random(1)
-    odd = H.documents(spark, [None, "", "12 -- 3", "KOLAmira tano", "".join(r.choice("qxjvwyzh") for _ in range(200))]).selectExpr("*", "7 AS score", "'x' AS lang_pred", "1 AS h")
+    odd = H.documents(spark, [None, "²½", "12 -- 3", "KOLAmira tano", "".join(r.choice("qxjvwyzh") for _ in range(200))]).selectExpr("*", "7 AS score", "'x' AS lang_pred", "1 AS h")
     got = language_id.detect(odd, model).orderBy("doc_id").collect()
     assert [x["lang_pred"] for x in got[:4]] == ["und", "und", "und", "aa"] and [x["accepted"] for x in got] == [False, False, False, True, False]
     assert [x["score"] for x in got[:3]] == [0.0] * 3 and got[0].asDict().keys() == {*odd.columns, "cross_entropy", "accepted"}
