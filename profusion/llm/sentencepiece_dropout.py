@@ -6,9 +6,9 @@ front, spaces as U+2581, the highest-scored adjacent pair merged first, unknown
 Candidates wait in an agenda; when one is taken up, a hash keyed by the seed decides whether it is
 skipped. With ``dropout`` 0 the ids are those of the library itself.
 
-No piece of the vocabulary goes over a word start (checked when the model is loaded), so texts are cut
-there and words are encoded apart. The key of a word's hashes is (seed, variant, word, position, merged
-piece); an occurrence's variant, one of ``variants``, is drawn by a hash keyed by the seed, the text and
+No piece of the vocabulary goes over a word start or holds a line end (checked when the model is loaded),
+so texts are cut there and words are encoded apart. A candidate's hash is keyed by the seed and taken over variant, word,
+position and merged piece; an occurrence's variant, one of ``variants``, is drawn by a hash keyed by the seed, the text and
 its place. So encodings are reproducible on any number of machines, occurrences of one word differ, and
 a bounded table of encoded words serves each worker. The variants bound how many segmentations one word
 can take, nothing else.
@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -36,12 +37,11 @@ from profusion.llm.common import int_lists, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 LONG_WORD = 48
 FAR = float("-inf")
-NONE = (FAR, -1)
 SPACE_MARK = "▁"
-_CHUNK = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
+_CHUNK = re.compile(f"\n|{SPACE_MARK}+[^{SPACE_MARK}\n]*|[^{SPACE_MARK}\n]+")
 
 
 class Vocabulary:
@@ -53,12 +53,15 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.vocab_size()
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.piece = {sp.id_to_piece(i): (sp.get_score(i), i) for i in plain}
+        self.piece = {sp.id_to_piece(i): i for i in plain}
+        self.score = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(size) if sp.is_byte(i)}
         if len(self.byte) != 256:
             raise ValueError("the model needs byte pieces to be lossless")
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.piece):
             raise ValueError("a piece goes over a word start")
+        if any("\n" in p for p in self.piece):
+            raise ValueError("a piece holds a line end")
         self.text: list[str | None] = [None] * size
         for i in plain:
             self.text[i] = sp.id_to_piece(i).replace(SPACE_MARK, " ")
@@ -70,62 +73,65 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, variants: int):
         self.v, self.seed, self.variants = vocabulary, seed, variants if dropout > 0 else 1
-        self.limit = int(dropout * (1 << 32))
+        self.limit = int(dropout * (1 << 30))
+        # Keyed hashes of the candidates' pieces (by score, which tells pieces apart) and of positions, 30 bits each.
+        keyed = lambda what: xxhash.xxh3_64_intdigest(what.encode("utf-8", "surrogatepass"), self.seed) >> 34
+        self.by_score = {x: keyed(f"piece {p}") for p, x in vocabulary.score.items()}
+        self.by_place = [keyed(f"place {i}") for i in range(LONG_WORD)]
         self.done: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.held = 0
-
-    def _skipped(self, key: int, at: int, whole: int) -> bool:
-        h = (key ^ (at * 0x9E3779B97F4A7C15 + whole * 0xC4CEB9FE1A85EC53)) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
-        return h >> 32 < self.limit
+        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
 
     def encode_word(self, word: str, variant: int) -> tuple[int, ...]:
-        key = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant) if self.limit else 0
+        key = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant + 1) >> 34 if self.limit else 0
         piece, ids = self.v.piece, []
         for x in self._merged(word, key) if len(word) > LONG_WORD else self._merged_short(word, key):
             got = piece.get(x)
-            if got:
-                ids.append(got[1])
+            if got is not None:
+                ids.append(got)
             else:
                 ids.extend(self.v.byte[b] for b in x.encode("utf-8", "surrogatepass"))
         return tuple(ids)
 
     def _merged_short(self, word: str, key: int) -> list[str]:
         """The agenda as a list that runs along the parts: entry i ranks the merge of parts i and i + 1."""
-        piece, limit, none = self.v.piece, self.limit, NONE
+        get, limit, far = self.v.score.get, self.limit, FAR
+        by_score, by_place = self.by_score, self.by_place
         part = list(word)
-        agenda = [piece.get(word[i : i + 2], none)[0] for i in range(len(word) - 1)]
-        while agenda and (best := max(agenda)) != FAR:
+        agenda = [get(a + b, far) for a, b in zip(part, part[1:], strict=False)]
+        while agenda:
+            best = max(agenda)
+            if best == far:
+                break
             i = agenda.index(best)
-            whole = part[i] + part[i + 1]
-            if limit and self._skipped(key, i, piece[whole][1]):
-                agenda[i] = FAR
+            if limit and by_score[best] ^ by_place[i] ^ key < limit:
+                agenda[i] = far
                 continue
-            part[i] = whole
+            part[i] = whole = part[i] + part[i + 1]
             del part[i + 1], agenda[i]
             if i:
-                agenda[i - 1] = piece.get(part[i - 1] + whole, none)[0]
+                agenda[i - 1] = get(part[i - 1] + whole, far)
             if i < len(agenda):
-                agenda[i] = piece.get(whole + part[i + 1], none)[0]
+                agenda[i] = get(whole + part[i + 1], far)
         return part
 
     def _merged(self, word: str, key: int) -> list[str]:
         """The agenda as a heap, for long words. Positions are those of the parts' first characters."""
-        piece, n = self.v.piece, len(word)
+        score, n = self.v.score, len(word)
         part: list[str | None] = list(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(-got[0], i, word[i : i + 2]) for i in range(n - 1) if (got := piece.get(word[i : i + 2]))]
+        agenda = [(-score[x], i, x) for i in range(n - 1) if (x := word[i : i + 2]) in score]
         heapq.heapify(agenda)
 
         def offer(i: int, both: str) -> None:
-            if got := piece.get(both):
-                heapq.heappush(agenda, (-got[0], i, both))
+            if both in score:
+                heapq.heappush(agenda, (-score[both], i, both))
 
         while agenda:
-            _, i, whole = heapq.heappop(agenda)
+            worst, i, whole = heapq.heappop(agenda)
             left, j = part[i], after[i]
             if left is None or j >= n or left + part[j] != whole:
                 continue  # one of its parts has gone into another merge
-            if self.limit and self._skipped(key, i, piece[whole][1]):
+            if self.limit and self.by_score[-worst] ^ self.by_place[i % LONG_WORD] ^ key < self.limit:
                 continue
             part[i], part[j] = whole, None
             k = after[i] = after[j]
@@ -136,26 +142,74 @@ class Codec:
                 offer(before[i], part[before[i]] + whole)
         return [x for x in part if x is not None]
 
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The words of a text without U+2581, each with its leading spaces as U+2581; line ends are words."""
+        if "  " in text or text.startswith(" "):
+            return _CHUNK.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
+        parts = f" {text}".replace(" ", f" {SPACE_MARK}").replace("\n", " \n ").split(" ")
+        return [w for w in parts if w]
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         if SPACE_MARK in text:
             return self._encode_odd(text)
-        words = _CHUNK.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
+        words = self.words(text)
+        keep = self._keep
         if self.variants == 1:
-            table = self.done[0]
-            got = [table.get(w) or self._keep(w, 0) for w in words]
-        else:
-            start = np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
-            draw = (mix(start + np.arange(len(words), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-            done = self.done
-            got = [done[v].get(w) or self._keep(w, v) for w, v in zip(words, draw, strict=True)]
-        return list(chain.from_iterable(got))
+            get = self.done[0].get
+            return list(chain.from_iterable([get(w) or keep(w, 0) for w in words]))
+        start = np.uint64(self._start(text))
+        draw = (mix(start + np.arange(len(words), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
+        gets = [table.get for table in self.done]
+        return list(chain.from_iterable([gets[v](w) or keep(w, v) for w, v in zip(words, draw, strict=True)]))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts, end to end, and the texts' offsets. Each distinct word and variant is looked up once."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.match_substring(texts, SPACE_MARK), pc.equal(texts, "")))
+        marked = pc.replace_substring(pc.replace_substring(pc.binary_join_element_wise("", texts, " "), " ", f" {SPACE_MARK}"), "\n", " \n ")
+        parts = pc.split_pattern(pc.if_else(odd, "", marked), " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
+        full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+        coded = pc.dictionary_encode(words.filter(pa.array(full)))
+        n, v = np.diff(offsets), self.variants
+        starts = np.fromiter((self._start(t) for t in texts.to_pylist()), np.uint64, len(texts)) if v > 1 else np.zeros(len(texts), np.uint64)
+        place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+        draw = (mix(np.repeat(starts, n) + place.astype(np.uint64)) % np.uint64(v)).astype(np.int64)
+        which = coded.indices.to_numpy().astype(np.int64) * v + draw
+        used = np.zeros(len(coded.dictionary) * v, bool)
+        used[which] = True
+        used = np.flatnonzero(used)
+        distinct, keep = coded.dictionary.to_pylist(), self._keep
+        gets = [table.get for table in self.done]
+        ids = [gets[k](w) or keep(w, k) for w, k in zip(map(distinct.__getitem__, (used // v).tolist()), (used % v).tolist(), strict=True)]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))
+        at = np.zeros(len(distinct) * v, np.int64)
+        at[used] = np.arange(len(used))
+        mine = at[which]
+        own = length[mine]
+        end = np.concatenate([[0], np.cumsum(own)])
+        out = flat[np.repeat((np.cumsum(length) - length)[mine] - end[:-1], own) + np.arange(end[-1])]
+        cut = end[offsets]
+        rest = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(rest):
+            more = {i: np.array(self.encode(texts[i].as_py()), np.int32) for i in rest.tolist()}
+            rows = [more[i] if i in more else out[cut[i] : cut[i + 1]] for i in range(len(texts))]
+            out, cut = np.concatenate(rows), np.concatenate([[0], np.cumsum(list(map(len, rows)))])
+        return out, cut
+
+    def _start(self, text: str) -> int:
+        return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
 
     def _encode_odd(self, text: str) -> list[int]:
         """Texts that hold U+2581 itself: it goes to bytes, the words between as usual."""
         out: list[int] = []
-        start = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
+        start = self._start(text)
         for at, run in enumerate(re.split(f"({SPACE_MARK})", " " + text)):
             if run == SPACE_MARK:
                 out.extend(self.v.byte[b] for b in run.encode())
@@ -165,14 +219,14 @@ class Codec:
         return out
 
     def _keep(self, word: str, variant: int) -> tuple[int, ...]:
-        ids = self.encode_word(word, variant)
-        if len(word) <= 40:
-            if self.held >= CACHE_WORDS * self.variants:
-                for table in self.done:
-                    table.clear()
-                self.held = 0
-            self.done[variant][word] = ids
-            self.held += 1
+        """Encode a word that the table lacks. A full table becomes the older one, whose words come back when met."""
+        ids = self.older[variant].get(word) or self.encode_word(word, variant)
+        if len(word) <= LONG_WORD:
+            table = self.done[variant]
+            if len(table) >= CACHE_WORDS:
+                self.older[variant] = dict(table)
+                table.clear()
+            table[word] = ids
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -221,13 +275,13 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
         codec = _codec(shared.value, dropout, seed, variants)
         for whole in batches:
             for batch in slices(whole, "text"):
-                texts = batch.column("text").to_pylist()
-                ids = [codec.encode(t) for t in texts]
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
-                lists = int_lists(flat, np.concatenate([[0], np.cumsum(n)]), pa.int32()).cast(arrow.field("ids").type)
-                more = [pa.array([codec.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)], pa.bool_())] if verify else []
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).cast(arrow.field(f.name).type) for f in rest), lists, pa.array(n), *more], schema=arrow)
+                flat, cut = codec.encode_all(batch.column("text"))
+                more = []
+                if verify:
+                    ids, texts = flat.tolist(), batch.column("text").to_pylist()
+                    more = [pa.array([codec.decode(ids[a:b]) == (t or "") for a, b, t in zip(cut[:-1], cut[1:], texts, strict=True)], pa.bool_())]
+                lists = int_lists(flat, cut, pa.int32()).cast(arrow.field("ids").type)
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).cast(arrow.field(f.name).type) for f in rest), lists, pa.array(np.diff(cut)), *more], schema=arrow)
 
     return docs.select(*(f.name for f in rest)).mapInArrow(run, schema)
 
