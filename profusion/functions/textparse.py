@@ -64,7 +64,9 @@ def resume_experience(text: Column, strict_dates: bool = False) -> Column:
         F.regexp_extract_all(_group(text, SECTION, 1), F.lit(ROLE), F.lit(0)),
         lambda r: _entry(strip(_group(r, ROLE, 2)), strip(_group(r, ROLE, 1)), strip(_group(r, ROLE, 3)), strip(_group(r, ROLE, 4)), F.lit(None)),
     )
-    return F.when(F.size(blocks) > 0, blocks).otherwise(rows)
+    # One evaluation of the blocks, and of the rows only where there is no block.
+    filled = F.get(F.filter(F.array(blocks), lambda x: F.size(x) > 0), F.lit(0))
+    return F.coalesce(filled, rows)
 
 
 def resume(text: Column, strict_dates: bool = False) -> list[Column]:
