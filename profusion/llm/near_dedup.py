@@ -11,10 +11,12 @@ similarity of their multisets is 0.8 or more; classes are the connected componen
   Jaccard similarity. A process stops once its time passes the largest minimum of the document.
 * Candidates. 32 bands of 4 components: two texts of similarity 0.8 share no band with probability 5e-8.
   Exact copies are one node from the start, so a group of copies has one row per band.
-* No pairs within a bucket. Members are verified against the bucket's smallest, then its largest member;
-  a bucket whose members are then in one class is done. In the others, blocks of signatures are compared
-  and only pairs of different classes that agree in 60 % of the components are verified: at similarity
-  0.8 a true link lies 5.6 standard deviations above that. Nothing is capped.
+* No pairs within a bucket. Members are verified against the bucket's smallest. A bucket whose members are
+  then in one class is done. In the others, blocks of signatures are compared; pairs of different classes
+  that agree in 60 % of the components tie their members into a group (at similarity 0.8 a true link lies
+  5.6 standard deviations above that). Within a group, blocks of multisets are compared exactly, as one
+  matrix product per two blocks, and a task returns only links that join classes. Nothing is capped, and
+  no step has a row per pair.
 * Verification streams members past their leader's text; a leader of many members has several copies.
 
 Defined cases: null, empty and blank texts have no shingles and are copies of each other; rows that share
@@ -33,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profusion.llm.common import NO_ID, id_or_last, mix, slices, token_hashes
+from profusion.operators.components import components
 from profusion.session import shuffle_partitions, written
 
 WORDS = 5
 SIMILARITY = 0.8
 COMPONENTS, ROWS = 128, 4
 LIKELY = 0.6
-#: Members a copy of a leader's text serves; signatures in a block.
-LEADER_SHARE, BLOCK = 256, 256
+#: Members a copy of a leader's text serves; signatures and multisets in a block; columns of a product.
+LEADER_SHARE, BLOCK, EXACT_BLOCK, COLUMNS = 256, 512, 256, 8192
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,48 +160,104 @@ def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(_verify(least), "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Columns id, class: for each id of ``edges`` (a, b), the smallest id it is connected with.
-
-    Alternating large-star and small-star steps; each is an aggregation and an equi-join, never a
-    collected neighbourhood. Stops when the edges no longer change.
-    """
-    now = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct()
-    before = None
-    while True:
-        both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(low, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = large.filter("u < v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
-        now = written(small.filter("u < v").distinct(), "star-edges")
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            return now.groupBy("v").agg(F.min("u").alias("class")).select(F.col("v").alias("id"), "class")
-        before = state
-
-
 def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Members, with their class, of the buckets that hold more than one class."""
     known = members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    several = known.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.max("id").alias("last"), F.count("*").alias("n")).filter("c0 <> c1").drop("c0", "c1")
+    several = known.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1").drop("c0", "c1")
     return known.join(several, "bucket")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of the pairs that join what the pairs before them left apart."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    side = rows.column("side").to_numpy()
+    left = np.flatnonzero(side == 0)
+    return left, left if rows.column("x")[0].as_py() == rows.column("y")[0].as_py() else np.flatnonzero(side == 1)
+
+
 def _likely(rows: pa.Table) -> pa.Table:
-    side, ids, cls = (rows.column(c).to_numpy() for c in ("side", "id", "class"))
+    """Ties between members of two blocks: enough to connect all pairs of different classes that look alike."""
+    ids, cls = (rows.column(c).to_numpy() for c in ("id", "class"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, COMPONENTS)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if rows.column("x")[0].as_py() == rows.column("y")[0].as_py():
-        right = left
-    a, b = [], []
+    left, right = _sides(rows)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in left:
         fit = right[(cls[right] != cls[i]) & ((sig[right] == sig[i]).sum(axis=1) >= LIKELY * COMPONENTS)]
-        a.append(np.minimum(ids[i], ids[fit]))
-        b.append(np.maximum(ids[i], ids[fit]))
-    a, b = (np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64))
-    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        a.append(np.full(len(fit), ids[i]))
+        b.append(ids[fit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    keep = _forest(a, b)
+    return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
+
+
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            row, s, count, _ = bags(batch.column("text"))
+            of = np.repeat(np.arange(len(row)), count)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            each = mix(s[of] + (nth.astype(np.uint64) + np.uint64(1)) * _FACTOR)
+            cut = np.searchsorted(row[of], np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("class"), batch.column("group"), pa.array([each[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "class", "group", "bag"])
+
+
+def _exact(least: float):
+    def run(rows: pa.Table) -> pa.Table:
+        """Links between members of two blocks that join classes. A multiset is the set of its (shingle, n-th time)."""
+        ids, cls = (rows.column(c).to_numpy() for c in ("id", "class"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("bag").to_pylist()]
+        left, right = _sides(rows)
+        n = np.array([len(x) for x in sets], np.float64)
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        often = times[column] > 1
+        column, of = column[often], of[often]
+        _, column = np.unique(column, return_inverse=True)
+        by = np.argsort(column, kind="stable")
+        column, of = column[by], of[by]
+        shared = np.zeros((len(left), len(right)))
+        at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+        at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            i, j = np.searchsorted(column, [start, start + COLUMNS])
+            one, two = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+            c, o = column[i:j] - start, of[i:j]
+            one[at_left[o][at_left[o] >= 0], c[at_left[o] >= 0]] = 1
+            two[at_right[o][at_right[o] >= 0], c[at_right[o] >= 0]] = 1
+            shared += one @ two.T
+        link = (shared > 0) & (shared >= least * (n[left][:, None] + n[right][None, :] - shared)) & (cls[left][:, None] != cls[right][None, :])
+        i, j = np.nonzero(link)
+        a, b = left[i], right[j]
+        _, first = np.unique(np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])]), axis=1, return_index=True)
+        a, b = a[first], b[first]
+        keep = _forest(cls[a], cls[b])
+        return pa.table({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]])})
+
+    return run
+
+
+def _blocks(df: DataFrame, size: int) -> DataFrame:
+    """Each row of a group of n to every two blocks it belongs to: x, y, and which of them is its own (side)."""
+    df = df.withColumn("__m", F.ceil(F.col("n") / size).cast("int"))
+    df = df.withColumn("__own", F.pmod(F.xxhash64("id"), "__m").cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))
+    return df.withColumns({"x": F.least("__own", "__other"), "y": F.greatest("__own", "__other"), "side": F.when(F.col("__own") <= F.col("__other"), 0).otherwise(1)}).drop("__m", "__own", "__other", "n")
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -217,19 +276,14 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     classes = components(links)
     still = written(_open(members, classes), "open-buckets")
     if not still.isEmpty():
-        # The largest member of each open bucket against those of other classes.
-        last = still.filter("id = last").select("bucket", F.col("class").alias("its")).distinct()
-        again = still.join(last, "bucket").filter("class <> its").select(F.col("last").alias("a"), F.col("id").alias("b")).distinct()
-        links = written(links.union(_links(again, texts, least)), "links")
-        classes = components(links)
-        still = written(_open(members, classes).withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int")}), "open-buckets")
-        if not still.isEmpty():
-            block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
-            dealt = still.join(reps, "id").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "class", "sig")
-            likely = dealt.groupBy("bucket", "x", "y").applyInArrow(_likely, "a long, b long").distinct()
-            links = written(links.union(_links(written(likely, "likely-pairs"), texts, least)), "links")
-            classes = components(links)
+        dealt = _blocks(still.select("bucket", "id", "class", "n").join(reps, "id"), BLOCK)
+        ties = dealt.groupBy("bucket", "x", "y").applyInArrow(_likely, "a long, b long")
+        groups = components(written(ties.distinct(), "ties")).withColumnRenamed("class", "group")
+        groups = groups.join(still.select("id", "class").distinct(), "id")
+        filled = written(groups.join(texts, "id").select("id", "class", "group", "text").mapInArrow(_bag_rows, "id long, class long, group long, bag binary"), "group-bags")
+        sized = filled.join(filled.groupBy("group").agg(F.count("*").alias("n")), "group")
+        more = _blocks(sized, EXACT_BLOCK).groupBy("group", "x", "y").applyInArrow(_exact(least), "a long, b long")
+        classes = components(written(links.union(more), "links"))
     of = nodes.select("id", "k1", "k2").join(same, ["k1", "k2"]).join(classes.withColumnRenamed("id", "rep"), "rep", "left")
     out = of.select("id", F.coalesce("class", "rep").alias("class_id"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
