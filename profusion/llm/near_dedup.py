@@ -44,6 +44,8 @@ COMPONENTS, ROWS = 128, 4
 LIKELY = 0.6
 #: Members a copy of a leader's text serves; signatures and multisets in a block; columns of a product.
 LEADER_SHARE, BLOCK, EXACT_BLOCK, COLUMNS = 256, 512, 256, 8192
+#: A multiset of more bytes takes the room of several in a block.
+BAG_BYTES = 16 << 10
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -281,7 +283,7 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
         groups = components(written(ties.distinct(), "ties")).withColumnRenamed("class", "group")
         groups = groups.join(still.select("id", "class").distinct(), "id")
         filled = written(groups.join(texts, "id").select("id", "class", "group", "text").mapInArrow(_bag_rows, "id long, class long, group long, bag binary"), "group-bags")
-        sized = filled.join(filled.groupBy("group").agg(F.count("*").alias("n")), "group")
+        sized = filled.join(filled.groupBy("group").agg(F.greatest(F.count("*"), F.ceil(F.sum(F.length("bag")) / BAG_BYTES)).alias("n")), "group")
         more = _blocks(sized, EXACT_BLOCK).groupBy("group", "x", "y").applyInArrow(_exact(least), "a long, b long")
         classes = components(written(links.union(more), "links"))
     of = nodes.select("id", "k1", "k2").join(same, ["k1", "k2"]).join(classes.withColumnRenamed("id", "rep"), "rep", "left")
