@@ -45,7 +45,7 @@ Title: Engineering Manager
 Skills: Java, Spring Boot, AWS, Kubernetes
 Experience: 10 years
 """
-FILES = {"alice_notes.txt": NOTES, "alice_resume.txt": RESUME, "recruiter_export.csv": CSV, "ats_export.json": ATS, "david_miller_notes.txt": DAVID, "david_miller_resume.pdf": "%PDF-1.4 not really", "readme.md": "skipped", "broken.json": "{"}
+FILES = {"1_notes.txt": NOTES, "2_resume.txt": RESUME, "3_items.json": ATS, "4_notes.txt": DAVID, "5_resume.pdf": "%PDF-1.4 not really", "6_rows.csv": CSV, "readme.md": "skipped", "broken.json": "{"}
 
 
 def write(folder) -> str:
