@@ -42,6 +42,8 @@ WORDS = 5
 SIMILARITY = 0.8
 COMPONENTS, ROWS = 128, 4
 LIKELY = 0.6
+#: So that a similarity of exactly the bound counts.
+ROUNDING = 1e-6
 #: Members a copy of a leader's text serves; signatures and multisets in a block; columns of a product.
 LEADER_SHARE, BLOCK, EXACT_BLOCK, COLUMNS = 256, 512, 256, 8192
 #: A multiset of more bytes takes the room of several in a block.
@@ -145,7 +147,7 @@ def _verify(least: float):
                         at[at == len(v)] = 0
                         hit = v[at] == own[0] if len(v) else np.zeros(len(own[0]), bool)
                         both = np.minimum(w[at[hit]], own[1][hit]).sum()
-                        if both and both >= least * (w.sum() + own[1].sum() - both):
+                        if both and both >= least * (w.sum() + own[1].sum() - both) - ROUNDING:
                             found.append(i)
                             break
                 yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], ["a", "b"])
@@ -244,7 +246,7 @@ def _exact(least: float):
             one[at_left[o][at_left[o] >= 0], c[at_left[o] >= 0]] = 1
             two[at_right[o][at_right[o] >= 0], c[at_right[o] >= 0]] = 1
             shared += one @ two.T
-        link = (shared > 0) & (shared >= least * (n[left][:, None] + n[right][None, :] - shared)) & (cls[left][:, None] != cls[right][None, :])
+        link = (shared > 0) & (shared >= least * (n[left][:, None] + n[right][None, :] - shared) - ROUNDING) & (cls[left][:, None] != cls[right][None, :])
         i, j = np.nonzero(link)
         a, b = left[i], right[j]
         _, first = np.unique(np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])]), axis=1, return_index=True)
@@ -297,3 +299,23 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     classes = near_duplicate_classes(docs, least)
     extra = classes.filter("class_id is not null and (doc_id is null or doc_id <> class_id)").select(id_or_last().alias("__id")).distinct()
     return docs.withColumn("__id", id_or_last()).join(extra, "__id", "left_anti").select(*docs.columns)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+w AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM t),
+l AS (
+  SELECT id, pos, n, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4
+  FROM w WINDOW o AS (PARTITION BY id ORDER BY pos)),
+s AS (
+  SELECT id, concat_ws(' ', w, w1, w2, w3, w4) AS sh, count(*) AS n FROM l WHERE pos <= n - 4 OR (n < 5 AND pos = 1) GROUP BY 1, 2
+  UNION ALL SELECT id, '', 1 FROM t WHERE len(ws) = 0),
+size AS (SELECT id, sum(n) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN size x ON a = x.id JOIN size y ON b = y.id WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT r.id, b FROM r JOIN both_ways ON r.reach = a)
+SELECT id AS doc_id, min(reach) AS class_id FROM r GROUP BY id
+"""

@@ -52,4 +52,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op7_near_dedup": near_dedup.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
