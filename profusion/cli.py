@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
 from profusion.plans.pipeline import read_config, run, write_json
+from profusion.sources.files import scan, unsupported
 
 log = logging.getLogger("profusion")
 
@@ -22,6 +24,9 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO)
     spark = SparkSession.builder.appName("profusion").getOrCreate()
     try:
+        if os.path.isdir(args.inputs):
+            for r in unsupported(scan(spark, args.inputs)).toLocalIterator():
+                log.warning("skipped %s: no known kind of file", r["file"])
         profiles = run(spark, args.inputs, read_config(args.config))
         write_json(profiles, args.output)
     except Exception:  # noqa: BLE001  the command line reports any failure by its exit status

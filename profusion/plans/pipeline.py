@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import sys
 from dataclasses import dataclass
@@ -17,6 +18,9 @@ from profusion.session import written
 from profusion.sources.files import read_records
 
 
+log = logging.getLogger("profusion")
+
+
 @dataclass(frozen=True)
 class Options:
     """Choices that leave the original behaviour; the defaults keep it."""
@@ -30,9 +34,11 @@ class Options:
 def resolve(records: DataFrame, as_of: Column | None = None, options: Options = Options()) -> DataFrame:
     """Source records to canonical entities, in order of their first record (column entity)."""
     records = written(records, "records")
+    log.info("%d source records", records.count())
     assigned, flags = cluster(records, normalized_phone_match=options.normalized_phone_match, default_region=options.default_region)
     assigned = written(assigned, "assigned")
     merged = written(merge(records.join(assigned, "rec_pos"), as_of, options.default_region, options.strict_compat), "merged")
+    log.info("%d entities", merged.count())
     return flag_duplicates(merged, assigned, flags)
 
 
