@@ -40,10 +40,18 @@ DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 CACHE_WORDS = 100_000
 LONG_WORD = 48
 FAR = float("-inf")
+#: An odd constant whose products spread 30 bits over 64.
+SPREAD = 0x9E3779B97F4A7C15
 SPACE_MARK = "▁"
 _CHUNK = re.compile(f"\n|{SPACE_MARK}+[^{SPACE_MARK}\n]*|[^{SPACE_MARK}\n]+")
 
 
+def _mixed(x: int) -> int:
+    """30 bits to 30 bits, so that candidates of one key are skipped independently."""
+    x = x * SPREAD & 0xFFFFFFFFFFFFFFFF
+    return ((x ^ x >> 32) * SPREAD & 0xFFFFFFFFFFFFFFFF) >> 34
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a SentencePiece BPE model."""
 
@@ -103,7 +111,7 @@ class Codec:
             if best == far:
                 break
             i = agenda.index(best)
-            if limit and by_score[best] ^ by_place[i] ^ key < limit:
+            if limit and _mixed(by_score[best] ^ by_place[i] ^ key) < limit:
                 agenda[i] = far
                 continue
             part[i] = whole = part[i] + part[i + 1]
@@ -131,7 +139,7 @@ class Codec:
             left, j = part[i], after[i]
             if left is None or j >= n or left + part[j] != whole:
                 continue  # one of its parts has gone into another merge
-            if self.limit and self.by_score[-worst] ^ self.by_place[i % LONG_WORD] ^ key < self.limit:
+            if self.limit and _mixed(self.by_score[-worst] ^ self.by_place[i % LONG_WORD] ^ key) < self.limit:
                 continue
             part[i], part[j] = whole, None
             k = after[i] = after[j]

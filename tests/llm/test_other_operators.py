@@ -6,6 +6,7 @@ import io
 import math
 import os
 import re
+import types
 import zlib
 
 import numpy as np
@@ -46,6 +47,20 @@ def test_dropout_varies_and_is_reproducible(vocabulary):
     assert len(one.encode(text)) > len(sp.Codec(vocabulary[1], 0.0, 1, 8).encode(text))
 
 
+def test_candidates_are_skipped_independently():
+    """Six merges that do not touch each other: each pattern of skips shows in the pieces."""
+    pairs = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    letters = {c: i for i, c in enumerate("abcdefghijkl")}
+    merges = {x: 12 + i for i, x in enumerate(pairs)}
+    toy = types.SimpleNamespace(piece=letters | merges, score={x: -float(i) for i, x in enumerate(pairs)}, byte={}, text=[], value={})
+    codec = sp.Codec(toy, 0.3, 5, 4)
+    skips = np.array([[i not in ids for i in merges.values()] for ids in (codec.encode_word("abcdefghijkl", k) for k in range(20_000))])
+    single, both = skips.mean(axis=0), skips.T.astype(float) @ skips / len(skips)
+    assert np.abs(single - 0.3).max() < 0.02
+    assert np.abs((both - np.outer(single, single))[~np.eye(6, dtype=bool)]).max() < 0.015
+    assert len({tuple(x) for x in skips.tolist()}) == 64
+
+
 @needs_model
 def test_batches_equal_single_texts(vocabulary):
     one, two = sp.Codec(vocabulary[1], 0.2, 3, 4), sp.Codec(vocabulary[1], 0.2, 3, 4)
