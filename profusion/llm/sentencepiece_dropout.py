@@ -7,11 +7,12 @@ Candidates wait in an agenda; when one is taken up, a hash keyed by the seed dec
 skipped. With ``dropout`` 0 the ids are those of the library itself.
 
 No piece of the vocabulary goes over a word start or holds a line end (checked when the model is loaded),
-so texts are cut there and words are encoded apart. A candidate's hash is keyed by the seed and taken over variant, word,
-position and merged piece; an occurrence's variant, one of ``variants``, is drawn by a hash keyed by the seed, the text and
-its place. So encodings are reproducible on any number of machines, occurrences of one word differ, and
-a bounded table of encoded words serves each worker. The variants bound how many segmentations one word
-can take, nothing else.
+so texts are cut there and words are encoded apart. Each occurrence of a word has its own key, a hash keyed by
+the seed over the text and the word's place in it; hashes of the key give the number of candidates kept before each
+skip, which amounts to one draw for each candidate. So encodings are reproducible on any number of machines and
+every occurrence of a word is segmented on its own. Occurrences that skip the same candidates of a word share one
+encoding; a bounded table of these serves each worker and bounds nothing else. ``variants`` above 0 leaves each
+word only that many segmentations; the default 0 leaves all.
 
 Decoding is lossless for every text: U+2581 in a text goes to bytes, and decoded bytes are never
 taken for spaces.
@@ -23,9 +24,10 @@ equal ids; other columns pass through; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +38,17 @@ from pyspark.sql import DataFrame
 from profusion.llm.common import int_lists, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-CACHE_WORDS = 100_000
+DROPOUT, SEED, VARIANTS = 0.1, 17, 0
+CACHE_WAYS = 300_000
 LONG_WORD = 48
 FAR = float("-inf")
-#: An odd constant whose products spread 30 bits over 64.
-SPREAD = 0x9E3779B97F4A7C15
+#: More candidates than any word has.
+NEVER = 1 << 40
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SPACE_MARK = "▁"
 _CHUNK = re.compile(f"\n|{SPACE_MARK}+[^{SPACE_MARK}\n]*|[^{SPACE_MARK}\n]+")
 
 
-def _mixed(x: int) -> int:
-    """30 bits to 30 bits, so that candidates of one key are skipped independently."""
-    x = x * SPREAD & 0xFFFFFFFFFFFFFFFF
-    return ((x ^ x >> 32) * SPREAD & 0xFFFFFFFFFFFFFFFF) >> 34
-
-
 class Vocabulary:
     """Pieces, scores and byte pieces of a SentencePiece BPE model."""
 
@@ -77,33 +74,53 @@ class Vocabulary:
 
 
 class Codec:
-    """Encodes and decodes; keeps a bounded table of encoded words for each variant."""
-
-    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, variants: int):
-        self.v, self.seed, self.variants = vocabulary, seed, variants if dropout > 0 else 1
-        self.limit = int(dropout * (1 << 30))
-        # Keyed hashes of the candidates' pieces (by score, which tells pieces apart) and of positions, 30 bits each.
-        keyed = lambda what: xxhash.xxh3_64_intdigest(what.encode("utf-8", "surrogatepass"), self.seed) >> 34
-        self.by_score = {x: keyed(f"piece {p}") for p, x in vocabulary.score.items()}
-        self.by_place = [keyed(f"place {i}") for i in range(LONG_WORD)]
-        self.done: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-
-    def encode_word(self, word: str, variant: int) -> tuple[int, ...]:
-        key = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant + 1) >> 34 if self.limit else 0
+    """Encodes and decodes; keeps a bounded table of words, each with skips that were met, and their ids.
+
+    Candidates are numbered as they are taken up. Which of them an occurrence skips follows from its key
+    alone; ``variants`` above 0 leaves each word that many keys (0: each occurrence has its own).
+    """
+
+    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, variants: int = VARIANTS):
+        self.v, self.dropout, self.seed, self.variants = vocabulary, dropout, seed, variants
+        #: The logarithm of the probability that a candidate is not skipped.
+        self.stay = math.log1p(-dropout) if dropout < 1 else -math.inf
+        self.done: dict[tuple, tuple[tuple[int, ...], int]] = {}
+        self.older: dict[tuple, tuple[tuple[int, ...], int]] = {}
+
+    def _gaps(self, keys: np.ndarray, turn: int | np.ndarray) -> np.ndarray:
+        """How many candidates are kept before the next skip: geometric, as with one draw for each candidate."""
+        if self.dropout <= 0:
+            return np.full(len(keys), NEVER)
+        u = ((mix(keys + np.asarray(turn).astype(np.uint64) * FACTOR) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+        return np.minimum(np.log(u) / self.stay, float(NEVER)).astype(np.int64)
+
+    def _skips(self, key: int) -> Iterator[int]:
+        """The numbers of the skipped candidates, without end."""
+        at, turn, many = -1, 0, 16
+        while True:
+            places = at + np.cumsum(np.minimum(self._gaps(np.full(many, key, np.uint64), turn + np.arange(many)), NEVER // many) + 1)
+            yield from places.tolist()
+            at, turn, many = int(places[-1]), turn + many, min(2 * many, 4096)
+
+    def encode_word(self, word: str, key: int) -> tuple[int, ...]:
+        return self._coded(word, self._skips(key))[0]
+
+    def _coded(self, word: str, skips: Iterator[int]) -> tuple[tuple[int, ...], int]:
+        """The ids of a word and how many candidates are taken up."""
         piece, ids = self.v.piece, []
-        for x in self._merged(word, key) if len(word) > LONG_WORD else self._merged_short(word, key):
+        parts, taken = self._merged(word, skips) if len(word) > LONG_WORD else self._merged_short(word, skips)
+        for x in parts:
             got = piece.get(x)
             if got is not None:
                 ids.append(got)
             else:
                 ids.extend(self.v.byte[b] for b in x.encode("utf-8", "surrogatepass"))
-        return tuple(ids)
+        return tuple(ids), taken
 
-    def _merged_short(self, word: str, key: int) -> list[str]:
+    def _merged_short(self, word: str, skips: Iterator[int]) -> tuple[list[str], int]:
         """The agenda as a list that runs along the parts: entry i ranks the merge of parts i and i + 1."""
-        get, limit, far = self.v.score.get, self.limit, FAR
-        by_score, by_place = self.by_score, self.by_place
+        get, far = self.v.score.get, FAR
+        taken, skip = 0, next(skips, NEVER)
         part = list(word)
         agenda = [get(a + b, far) for a, b in zip(part, part[1:], strict=False)]
         while agenda:
@@ -111,8 +128,9 @@ class Codec:
             if best == far:
                 break
             i = agenda.index(best)
-            if limit and _mixed(by_score[best] ^ by_place[i] ^ key) < limit:
-                agenda[i] = far
+            taken += 1
+            if taken > skip:
+                agenda[i], skip = far, next(skips, NEVER)
                 continue
             part[i] = whole = part[i] + part[i + 1]
             del part[i + 1], agenda[i]
@@ -120,11 +138,12 @@ class Codec:
                 agenda[i - 1] = get(part[i - 1] + whole, far)
             if i < len(agenda):
                 agenda[i] = get(whole + part[i + 1], far)
-        return part
+        return part, taken
 
-    def _merged(self, word: str, key: int) -> list[str]:
+    def _merged(self, word: str, skips: Iterator[int]) -> tuple[list[str], int]:
         """The agenda as a heap, for long words. Positions are those of the parts' first characters."""
         score, n = self.v.score, len(word)
+        taken, skip = 0, next(skips, NEVER)
         part: list[str | None] = list(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(-score[x], i, x) for i in range(n - 1) if (x := word[i : i + 2]) in score]
@@ -135,11 +154,13 @@ class Codec:
                 heapq.heappush(agenda, (-score[both], i, both))
 
         while agenda:
-            worst, i, whole = heapq.heappop(agenda)
+            _, i, whole = heapq.heappop(agenda)
             left, j = part[i], after[i]
             if left is None or j >= n or left + part[j] != whole:
                 continue  # one of its parts has gone into another merge
-            if self.limit and _mixed(self.by_score[-worst] ^ self.by_place[i % LONG_WORD] ^ key) < self.limit:
+            taken += 1
+            if taken > skip:
+                skip = next(skips, NEVER)
                 continue
             part[i], part[j] = whole, None
             k = after[i] = after[j]
@@ -148,7 +169,46 @@ class Codec:
                 offer(i, whole + part[k])
             if before[i] >= 0:
                 offer(before[i], part[before[i]] + whole)
-        return [x for x in part if x is not None]
+        return [x for x in part if x is not None], taken
+
+    def _occurrences(self, words: list[str], which: np.ndarray, keys: np.ndarray) -> tuple[list[tuple[int, ...]], np.ndarray]:
+        """Encodings, and for each occurrence (the word words[which], its key) which of them it takes.
+
+        A way is a word and the numbers of its skipped candidates. Occurrences start without skips; in each
+        turn those whose next skip is among the candidates their way takes up go on to the way with it.
+        """
+        if self.variants:
+            seeds = np.fromiter(map(self._start, words), np.uint64, len(words))
+            keys = mix(seeds[which] + keys % np.uint64(self.variants))
+        keep = self._keep
+        ways: list[tuple] = [(w,) for w in words]
+        got = [keep(w) if len(w[0]) <= LONG_WORD else ((), 0) for w in ways]
+        ids, taken = [x for x, _ in got], np.array([n for _, n in got], np.int64)
+        mine = which.copy()
+        long = np.array([len(w) > LONG_WORD for w in words], bool)
+        if long.any():  # their skips are drawn as they are encoded
+            for at in np.flatnonzero(long[which]).tolist():
+                mine[at] = len(ids)
+                ids.append(self.encode_word(words[which[at]], int(keys[at])))
+        live, turn = np.flatnonzero(~long[which]), 0
+        place = np.full(len(live), -1)
+        while len(live):
+            place = place + 1 + self._gaps(keys[live], turn)
+            more = place < taken[mine[live]]
+            live, place, turn = live[more], place[more], turn + 1
+            if not len(live):
+                break
+            span = int(place.max()) + 1
+            new, at = np.unique(mine[live] * span + place, return_inverse=True)
+            first = len(ids)
+            ways.extend([()] * (first - len(ways)))  # long words have no ways
+            fresh = [(*ways[x // span], x % span) for x in new.tolist()]
+            got = [keep(w) for w in fresh]
+            ways.extend(fresh)
+            ids.extend(x for x, _ in got)
+            taken = np.concatenate([taken, np.zeros(first - len(taken), np.int64), np.array([n for _, n in got], np.int64)])
+            mine[live] = first + at
+        return ids, mine
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -163,18 +223,17 @@ class Codec:
             return []
         if SPACE_MARK in text:
             return self._encode_odd(text)
-        words = self.words(text)
-        keep = self._keep
-        if self.variants == 1:
-            get = self.done[0].get
-            return list(chain.from_iterable([get(w) or keep(w, 0) for w in words]))
-        start = np.uint64(self._start(text))
-        draw = (mix(start + np.arange(len(words), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-        gets = [table.get for table in self.done]
-        return list(chain.from_iterable([gets[v](w) or keep(w, v) for w, v in zip(words, draw, strict=True)]))
+        return list(chain.from_iterable(self._encode_words(self.words(text), text)))
+
+    def _encode_words(self, words: list[str], text: str) -> list[tuple[int, ...]]:
+        number: dict[str, int] = {}
+        which = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        keys = mix(np.uint64(self._start(text)) + np.arange(len(words), dtype=np.uint64))
+        ids, mine = self._occurrences(list(number), which, keys)
+        return [ids[i] for i in mine.tolist()]
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of many texts, end to end, and the texts' offsets. Each distinct word and variant is looked up once."""
+        """The ids of many texts, end to end, and the texts' offsets. Each distinct word with its skips is looked up once."""
         texts = pc.fill_null(texts, "")
         odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.match_substring(texts, SPACE_MARK), pc.equal(texts, "")))
         marked = pc.replace_substring(pc.replace_substring(pc.binary_join_element_wise("", texts, " "), " ", f" {SPACE_MARK}"), "\n", " \n ")
@@ -184,22 +243,13 @@ class Codec:
         full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
         coded = pc.dictionary_encode(words.filter(pa.array(full)))
-        n, v = np.diff(offsets), self.variants
-        starts = np.fromiter((self._start(t) for t in texts.to_pylist()), np.uint64, len(texts)) if v > 1 else np.zeros(len(texts), np.uint64)
+        n = np.diff(offsets)
+        starts = np.fromiter((self._start(t) for t in texts.to_pylist()), np.uint64, len(texts))
         place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
-        draw = (mix(np.repeat(starts, n) + place.astype(np.uint64)) % np.uint64(v)).astype(np.int64)
-        which = coded.indices.to_numpy().astype(np.int64) * v + draw
-        used = np.zeros(len(coded.dictionary) * v, bool)
-        used[which] = True
-        used = np.flatnonzero(used)
-        distinct, keep = coded.dictionary.to_pylist(), self._keep
-        gets = [table.get for table in self.done]
-        ids = [gets[k](w) or keep(w, k) for w, k in zip(map(distinct.__getitem__, (used // v).tolist()), (used % v).tolist(), strict=True)]
+        keys = mix(np.repeat(starts, n) + place.astype(np.uint64))
+        ids, mine = self._occurrences(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), keys)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))
-        at = np.zeros(len(distinct) * v, np.int64)
-        at[used] = np.arange(len(used))
-        mine = at[which]
         own = length[mine]
         end = np.concatenate([[0], np.cumsum(own)])
         out = flat[np.repeat((np.cumsum(length) - length)[mine] - end[:-1], own) + np.arange(end[-1])]
@@ -216,26 +266,21 @@ class Codec:
 
     def _encode_odd(self, text: str) -> list[int]:
         """Texts that hold U+2581 itself: it goes to bytes, the words between as usual."""
-        out: list[int] = []
-        start = self._start(text)
-        for at, run in enumerate(re.split(f"({SPACE_MARK})", " " + text)):
-            if run == SPACE_MARK:
-                out.extend(self.v.byte[b] for b in run.encode())
-            elif run:
-                for i, w in enumerate(_CHUNK.findall(run.replace(" ", SPACE_MARK))):
-                    out.extend(self._keep(w, (start + at + i) % self.variants))
-        return out
-
-    def _keep(self, word: str, variant: int) -> tuple[int, ...]:
-        """Encode a word that the table lacks. A full table becomes the older one, whose words come back when met."""
-        ids = self.older[variant].get(word) or self.encode_word(word, variant)
-        if len(word) <= LONG_WORD:
-            table = self.done[variant]
-            if len(table) >= CACHE_WORDS:
-                self.older[variant] = dict(table)
-                table.clear()
-            table[word] = ids
-        return ids
+        runs = re.split(f"({SPACE_MARK})", " " + text)
+        cut = [None if run == SPACE_MARK else _CHUNK.findall(run.replace(" ", SPACE_MARK)) for run in runs]
+        coded = iter(self._encode_words([w for words in cut for w in words or ()], text))
+        mark = [self.v.byte[b] for b in SPACE_MARK.encode()]
+        return [i for words in cut for ids in ([mark] if words is None else islice(coded, len(words))) for i in ids]
+
+    def _keep(self, way: tuple) -> tuple[tuple[int, ...], int]:
+        """Look up a way or encode it. A full table becomes the older one, whose ways come back when met."""
+        got = self.done.get(way)
+        if got is None:
+            got = self.older.get(way) or self._coded(way[0], iter(way[1:]))
+            if len(self.done) >= CACHE_WAYS:
+                self.older, self.done = self.done, {}
+            self.done[way] = got
+        return got
 
     def decode(self, ids: list[int]) -> str:
         text = self.v.text

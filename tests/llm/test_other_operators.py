@@ -61,6 +61,22 @@ def test_candidates_are_skipped_independently():
     assert len({tuple(x) for x in skips.tolist()}) == 64
 
 
+@needs_model
+def test_occurrences_are_segmented_on_their_own(vocabulary, monkeypatch):
+    """No bound on the segmentations of a word; a shared encoding is the one that the occurrence's own key gives."""
+    monkeypatch.setattr(sp, "CACHE_WAYS", 50)
+    texts = [" ".join(["international"] * 2000), "of the  understanding " * 300, " ".join(["x" * 20 + "international" * 5, "the"] * 20)]
+    codec = sp.Codec(vocabulary[1], sp.DROPOUT, sp.SEED, sp.VARIANTS)
+    flat, cut = codec.encode_all(pa.array(texts, pa.string()))
+    for t, a, b in zip(texts, cut[:-1], cut[1:], strict=True):
+        words = codec.words(t)
+        keys = sp.mix(np.uint64(codec._start(t)) + np.arange(len(words), dtype=np.uint64)).tolist()
+        alone = [codec.encode_word(w, k) for w, k in zip(words, keys, strict=True)]
+        assert [i for ids in alone for i in ids] == flat[a:b].tolist()
+        assert t != texts[0] or len(set(alone)) > 50
+    assert all(len(x) == len(w) for w in ("international", "▁the") for x in [sp.Codec(vocabulary[1], 1.0, 1, 0).encode_word(w, 3)])
+
+
 @needs_model
 def test_batches_equal_single_texts(vocabulary):
     one, two = sp.Codec(vocabulary[1], 0.2, 3, 4), sp.Codec(vocabulary[1], 0.2, 3, 4)
