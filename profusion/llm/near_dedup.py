@@ -63,7 +63,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     acc = np.zeros(len(words), np.uint64)
     for j in range(WORDS):
         ahead = np.zeros(len(words), np.uint64)
-        ahead[: len(words) - j] = words[j:]
+        ahead[: max(0, len(words) - j)] = words[j:]
         acc = acc * _FACTOR + np.where(left > j, ahead, np.uint64(j + 1))
     whole = np.minimum(n, WORDS)[row] <= left
     return mix(acc[whole]), row[whole]

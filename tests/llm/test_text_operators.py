@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from profusion.llm import decontamination, language_id, line_dedup, near_dedup
@@ -91,6 +92,16 @@ def test_near_dedup_ids(spark):
     assert near_dedup.near_duplicate_classes(H.documents(spark, [])).count() == 0
 
 
+def test_near_dedup_of_short_texts_alone(spark):
+    """A slice may hold fewer words than a shingle."""
+    for n in range(7):
+        got = near_dedup.bags(pa.array([" ".join("abcdefg"[:n])]))
+        assert len(got[0]) == max(min(n, 1), n - 4)
+    docs = H.documents(spark, ["one two"]).union(H.documents(spark, ["one two three"]).selectExpr("doc_id + 1", "text", "lang", "source", "n_chars"))
+    assert docs.rdd.glom().map(len).filter(bool).collect() == [1, 1]
+    assert sorted((x["doc_id"], x["class_id"]) for x in near_dedup.near_duplicate_classes(docs).collect()) == [(0, 0), (1, 1)]
+
+
 # Decontamination
 
 
