@@ -6,7 +6,7 @@ forms, comments, scripts and hidden parts are known by element, role, class or i
 The ratio of characters to tags per line is smoothed with a Gaussian kernel and cut in two by the
 one-dimensional two-means threshold; the upper lines are content. The region is the article or main
 element that has most content, else the innermost division with nine tenths of the content; all its
-lines are the text, short ones too, but for lines of links outside articles.
+lines are the text, short ones and lines of links too.
 
 Defined cases: a null or empty page has the empty text; white space (no-break spaces too) becomes one
 space and is trimmed; unclosed and stray tags are repaired as parsers do; rows are judged on their own, so
@@ -63,7 +63,7 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bo
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page: text, tags, link characters, and the path of open elements."""
+    """Collects the lines of a page: text, tags, and the path of open elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -72,22 +72,21 @@ class Lines(HTMLParser):
         self.number = 0
         self.articles: set[int] = set()
         self.holders: set[int] = set()
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.text: list[str] = []
-        self.tags = self.links = self.in_link = 0
+        self.tags = 0
 
     def _end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, self.links, tuple(n for _, n, _ in self.open)))
+                self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open)))
             self.text = []
-        self.tags = self.links = 0
+        self.tags = 0
 
     def _close(self, at: int) -> None:
         for tag, _, dropped in self.open[at:]:
             self.dropped -= dropped
-            self.in_link -= tag == "a"
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -113,7 +112,6 @@ class Lines(HTMLParser):
         self.number += 1
         self.open.append((tag, self.number, drop))
         self.dropped += drop
-        self.in_link += tag == "a"
         if tag in HOLDS:
             self.holders.add(self.number)
         if tag in ("article", "main") and not self.dropped:
@@ -139,8 +137,6 @@ class Lines(HTMLParser):
         if self.dropped:
             return
         self.text.append(data)
-        if self.in_link:
-            self.links += len(data)
 
 
 def content_lines(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -171,20 +167,20 @@ def extract_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    size = np.array([len(t) for t, _, _, _ in lines], float)
-    content = content_lines(size / np.maximum(1, [n for _, n, _, _ in lines]))
+    size = np.array([len(t) for t, _, _ in lines], float)
+    content = content_lines(size / np.maximum(1, [n for _, n, _ in lines]))
     weight: dict[int, float] = defaultdict(float)
-    for (_, _, _, path), n, good in zip(lines, size, content, strict=True):
+    for (_, _, path), n, good in zip(lines, size, content, strict=True):
         if good:
             for e in path:
                 weight[e] += n
-    articles = [e for e in page.articles if weight.get(e)] or [e for _, _, _, path in lines for e in path if e in page.articles]
+    articles = [e for e in page.articles if weight.get(e)] or [e for _, _, path in lines for e in path if e in page.articles]
     if articles:
         best = max(sorted(set(articles)), key=lambda e: weight[e])
-        return "\n".join(t for t, _, _, path in lines if best in path)
+        return "\n".join(t for t, _, path in lines if best in path)
     total = sum(n for n, good in zip(size, content, strict=True) if good)
     best = max((e for e, w in weight.items() if w >= 0.9 * total and e in page.holders), default=None)
-    return "\n".join(t for t, _, links, path in lines if (best is None or best in path) and links < 0.8 * len(t))
+    return "\n".join(t for t, _, path in lines if best is None or best in path)
 
 
 def extract(pages: DataFrame) -> DataFrame:

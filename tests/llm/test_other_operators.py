@@ -313,6 +313,13 @@ def test_extract(html, want):
     assert html_extraction.extract_text(html) == want
 
 
+def test_lines_of_links_stay_in_the_region():
+    story, refs = "<p>" + "Long text of the story. " * 20 + "</p>", "".join(f"<li><a href={i}>Reference {i}</a></li>" for i in range(5))
+    html = f"<body><div class=menu><a href=/>Home</a></div><div id=content><h2><a href=/t>Title</a></h2>{story}<p><a href=/p>A paragraph that is one link</a></p>{story}<ul>{refs}</ul></div><div><a href=1>One link</a></div></body>"
+    text = ("Long text of the story. " * 20).strip()
+    assert html_extraction.extract_text(html).split("\n") == ["Title", text, "A paragraph that is one link", text, *(f"Reference {i}" for i in range(5))]
+
+
 def test_extract_table(spark):
     got = html_extraction.extract(pages(spark, [(1, "u", PAGE), (1, None, None), (None, "v", "<p>" + "word " * 50_000)]).selectExpr("*", "1 AS text", "2 AS n_chars")).collect()
     assert got[0]["n_chars"] == len(got[0]["text"]) > 0 and (got[1]["url"], got[1]["text"], got[1]["n_chars"]) == (None, "", 0) and got[2]["n_chars"] == 249_999
