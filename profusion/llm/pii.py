@@ -47,8 +47,8 @@ BASE = {
 #: Quick tests that any match passes.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 GENERATORS = {
-    "secret": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\w{0,20}+[\"']?\s?[=:]\s?[\"']?[^\s\"']{6,200}+[\"']?",
-    "code": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,200}+(?![A-Za-z0-9_-])",
+    "secret": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\w{0,20}+[\"']?\s?[=:]\s?[\"']?[^\s\"']{6,}+[\"']?",
+    "code": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+(?![A-Za-z0-9_-])",
     "number": r"(?<![0-9A-Za-z.+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9A-Za-z])",
     "address": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,64}+\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]{2,64}+(?:\s?[\[(]\s?dot\s?[\])]\s?|\.)[a-z]{2,24}+",
 }
@@ -236,9 +236,9 @@ def spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     own = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(SHUT))
     df = docs.select("doc_id", "text", F.when(own, F.translate(text, OPEN + SHUT, OTHER * 2)).otherwise(text).alias("__t"))
-    df = df.withColumn("__d", F.col("__t").rlike("[0-9]"))
     cut = {k: _cut(F.col("__t"), p, NEEDS.get(k)) for k, p in BASE.items()}
-    cut |= {k: F.when(F.col("__d") if k != "address" else F.lower("__t").rlike(r"[\[(]\s?at"), _cut(F.col("__t"), p)).otherwise(F.array("__t")) for k, p in GENERATORS.items()}
+    gate = {"number": F.col("__t").rlike("[0-9]"), "address": F.lower("__t").rlike(r"[\[(]\s?at")}  # what any match holds
+    cut |= {k: F.when(gate.get(k, F.lit(True)), _cut(F.col("__t"), p)).otherwise(F.array("__t")) for k, p in GENERATORS.items()}
     df = df.withColumns({f"__c_{k}": c for k, c in cut.items()})
     df = df.withColumns({f"__s_{k}": _spans(F.col(f"__c_{k}")) for k in KINDS})
 

@@ -192,6 +192,15 @@ def test_added_spans(spark):
     assert [x["text"] for x in red] == ["the <secret> is", "key <code> here", "<email> x <phone>"]
 
 
+def test_long_secrets_are_whole(spark):
+    r = np.random.default_rng(4)
+    code = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 342))
+    secret = "".join(r.choice(list("0123456789abcdef"), 300))
+    texts = [f"jwt {code} x", f"the token={secret} is", "token=" + "b7" * 100_000]
+    red = pii.redact(H.documents(spark, texts)).orderBy("doc_id").collect()
+    assert [x["text"] for x in red] == ["jwt <code> x", "the <secret> is", "<secret>"]
+
+
 # LM scoring
 
 
