@@ -2,29 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profusion.session import written
+from profusion.session import shuffle_partitions, written
+
+#: Edges that a task holds at a time.
+CHUNK = 1 << 20
+EDGES = "v long, u long"
+
+
+def trees(v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id of the edges with the smallest id it is connected with, but for these smallest themselves."""
+    ids, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+    a, b = at[: len(v)], at[len(v) :]
+    top = np.arange(len(ids))
+    while True:
+        low = np.minimum(top[a], top[b])
+        np.minimum.at(top, top[a], low)
+        np.minimum.at(top, top[b], low)
+        while True:  # point at the top itself
+            over = top[top]
+            if np.array_equal(over, top):
+                break
+            top = over
+        open_ = top[a] != top[b]
+        if not open_.any():
+            break
+        a, b = a[open_], b[open_]
+    rest = np.flatnonzero(top != np.arange(len(ids)))
+    return ids[rest], ids[top[rest]]
+
+
+def _trees(edges: DataFrame) -> DataFrame:
+    """Fewer edges (v, u) that connect the same: within a task, or a chunk of it, one for each id at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            v, u = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("v", "u"))
+            held.clear()
+            return pa.RecordBatch.from_arrays(list(map(pa.array, trees(v, u))), ["v", "u"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= CHUNK:
+                yield flush()
+        if held:
+            yield flush()
+
+    return edges.mapInArrow(run, EDGES)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Columns id, class: for each id of ``edges`` (a, b), the smallest id it is connected with.
 
-    Alternating large-star and small-star steps; each is an aggregation and an equi-join, never a
-    collected neighbourhood. Stops when the edges no longer change.
+    Each round deals the edges out by their larger id, after each task has cut its edges to a forest, so
+    that an id has few rows however many edges it has; the tasks that gather them join the trees that
+    meet. Then each smaller id is replaced by its own smallest one. Both tables of that join are written ones,
+    so that Spark splits the rows of a hub. It ends when every id has one smaller id that has none itself.
     """
-    now = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct()
-    before = None
+    n = shuffle_partitions(edges.sparkSession)
+    now = edges.select(F.greatest("a", "b").cast("long").alias("v"), F.least("a", "b").cast("long").alias("u")).filter("u < v")
     while True:
-        both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(low, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = large.filter("u < v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
-        now = written(small.filter("u < v").distinct(), "star-edges")
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            return now.groupBy("v").agg(F.min("u").alias("class")).select(F.col("v").alias("id"), "class")
-        before = state
+        forest = written(_trees(_trees(now).repartition(n, "v")), "forest")
+        parents = written(forest.groupBy("v").agg(F.min("u").alias("m"), F.max("u").alias("last")), "parents")
+        if parents.filter("m < last").isEmpty() and forest.join(parents.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            return parents.select(F.col("v").alias("id"), F.col("m").alias("class"))
+        now = forest.join(parents.select(F.col("v").alias("u"), "m"), "u", "left").select("v", F.coalesce("m", "u").alias("u"))
