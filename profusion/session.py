@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder, with the writer's options, and read it back.
 
     Unlike ``localCheckpoint`` the copy survives lost executors, and it keeps column statistics.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/profusion/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
