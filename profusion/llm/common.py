@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,35 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows without an id count as one document that sorts after all others.
 NO_ID = (1 << 63) - 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 END_TOKEN = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
 
+def fresh(name: str, *frames) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def task(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's function that gives its memory back at the end; Python workers are used again by later stages."""
+
+    @functools.wraps(run)
+    def own(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library than glibc
+
+    return own
+
+
 def id_or_last(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

@@ -33,13 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profusion.llm.common import slices
+from profusion.llm.common import slices, task
 from profusion.session import written
 
 ORDER = 4
 SAMPLE_DOCS = 1000
 CALIBRATION_DOCS = 300
-CACHE_WORDS = 400_000
+#: Words whose scores a task keeps (some 100 bytes each); the cache goes with the task.
+CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = np.uint64(0x9E3779B97F4A7C15)
 START, END = 2, 3
@@ -176,17 +177,7 @@ class Scorer:
         return [self.model.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], score, np.where(n > 0, own, 0.0), accepted
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(shared) -> Scorer:
-    model = shared.value
-    if _scorers.get("key") is not model:
-        _scorers.clear()
-        _scorers["key"], _scorers["it"] = model, Scorer(model)
-    return _scorers["it"]
-
-
+@task
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = Counter()
@@ -220,9 +211,11 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs:
 def _calibrate(model: Model, docs: DataFrame) -> None:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @task
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
         for batch in batches:
-            h, n = _scorer(shared).entropies(batch["text"].tolist())
+            h, n = scorer.entropies(batch["text"].tolist())
             keep = n > 0
             yield pd.DataFrame({"lang": batch["lang"][keep], "h": list(h[keep])})
 
@@ -255,10 +248,12 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType(rest + new)
     arrow = to_arrow_schema(schema)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for whole in batches:
             for batch in slices(whole, "text"):
-                got = _scorer(shared).predict(batch.column("text").to_pylist())
+                got = scorer.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(arrow.field(f.name).type) for f in rest] + [pa.array(got[0], pa.string()), *map(pa.array, got[1:])], schema=arrow)
 
     return docs.select(*(f.name for f in rest)).mapInArrow(run, schema)
