@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profusion.llm.common import NO_ID, id_or_last, mix, slices, token_hashes
+from profusion.llm.common import NO_ID, fresh, id_or_last, mix, slices, task, token_hashes
 from profusion.operators.components import components
 from profusion.session import shuffle_partitions, written
 
@@ -46,6 +46,10 @@ LIKELY = 0.6
 ROUNDING = 1e-6
 #: Members a copy of a leader's text serves; signatures and multisets in a block; columns of a product.
 LEADER_SHARE, BLOCK, EXACT_BLOCK, COLUMNS = 256, 512, 256, 8192
+#: The class that stands for all small ones, which share their blocks.
+SHARED = -(1 << 63)
+#: Open groups whose lists of blocks are broadcast.
+BROADCAST_ROWS = 100_000
 #: A multiset of more bytes takes the room of several in a block.
 BAG_BYTES = 16 << 10
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -112,6 +116,7 @@ def bag_minhash(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: i
     return (mix(sig.view(np.uint64)) >> np.uint64(32)).astype(np.uint32).reshape(rows, m)
 
 
+@task
 def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -126,6 +131,7 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(least: float):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted: a leader's text, then its members."""
         now, lead = None, None
@@ -156,18 +162,23 @@ def _verify(least: float):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) whose texts are alike enough."""
-    leaders = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_SHARE).cast("int").alias("copies"))
+    """Those pairs (a, b) whose texts are alike enough; n: how many members a bucket of the pair has at most.
+
+    A leader's text has a copy for every ``LEADER_SHARE`` members of its largest bucket; a member goes to one of as
+    many copies as its own bucket needs. So neither a leader's members nor its text need a join on the leader.
+    """
+    share = lambda n: F.ceil(n / LEADER_SHARE).cast("int")
+    leaders = pairs.groupBy("a").agg(share(F.max("n")).alias("copies"))
     lead = leaders.join(texts.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("b"), "text")
-    members = pairs.join(leaders, "a").join(texts.withColumnRenamed("id", "b"), "b").select("a", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("salt"), F.lit(1).alias("kind"), "b", "text")
+    members = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("a", F.pmod(F.xxhash64("b"), share(F.col("n"))).cast("int").alias("salt"), F.lit(1).alias("kind"), "b", "text")
     rows = lead.union(members).repartition(shuffle_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return rows.mapInArrow(_verify(least), "a long, b long").distinct()
+    return rows.mapInArrow(_verify(least), "a long, b long")
 
 
 def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Members, with their class, of the buckets that hold more than one class."""
-    known = members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    several = known.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1").drop("c0", "c1")
+    known = members.select("bucket", "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    several = written(known.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 <> c1").select("bucket"), "open")
     return known.join(several, "bucket")
 
 
@@ -211,6 +222,7 @@ def _likely(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
 
+@task
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -257,39 +269,56 @@ def _exact(least: float):
     return run
 
 
-def _blocks(df: DataFrame, size: int) -> DataFrame:
-    """Each row of a group of n to every two blocks it belongs to: x, y, and which of them is its own (side)."""
-    df = df.withColumn("__m", F.ceil(F.col("n") / size).cast("int"))
-    df = df.withColumn("__own", F.pmod(F.xxhash64("id"), "__m").cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))
-    return df.withColumns({"x": F.least("__own", "__other"), "y": F.greatest("__own", "__other"), "side": F.when(F.col("__own") <= F.col("__other"), 0).otherwise(1)}).drop("__m", "__own", "__other", "n")
+def _blocks(df: DataFrame, key: str, size: int, weight: Column) -> DataFrame:
+    """Each row to every two blocks of its group that are to be compared: x, y, and which of them is its own (side).
+
+    A block has about ``size`` members of a group by weight. A class of that size or more has blocks of its own, which are
+    not compared with each other; the small classes share the others. So the rows of a large class go to the
+    blocks of the other classes only.
+    """
+    sized = df.groupBy(key, "class").agg(F.sum(weight).alias("w")).withColumn("m", F.when(F.col("w") >= size, F.ceil(F.col("w") / size)).otherwise(0).cast("int"))
+    large = F.collect_list(F.when(F.col("m") > 0, F.struct(F.col("class").alias("of"), "m")))
+    small = F.ceil(F.sum(F.when(F.col("m") == 0, F.col("w")).otherwise(0)) / size).cast("int")
+    lists = written(sized.groupBy(key).agg(large.alias("large"), small.alias("small")), "blocks")
+    if lists.count() <= BROADCAST_ROWS:  # else Spark splits the rows of a large group
+        lists = F.broadcast(lists)
+    of, m = F.struct(F.lit(SHARED).alias("of"), F.col("small").alias("m")), F.col("large")
+    row = df.join(lists, key).withColumn("__block", F.coalesce(F.get(F.filter(m, lambda b: b["of"] == F.col("class")), F.lit(0)), of))
+    number = lambda b: F.transform(F.sequence(F.lit(0), b["m"] - 1), lambda k: F.struct(b["of"].alias("of"), k.alias("k")))
+    every = F.flatten(F.transform(F.concat(m, F.when(F.col("small") > 0, F.array(of)).otherwise(F.array().cast("array<struct<of:bigint,m:int>>"))), number))
+    row = row.withColumn("__own", F.struct(F.col("__block.of").alias("of"), F.pmod(F.xxhash64("id"), F.col("__block.m")).cast("int").alias("k")))
+    row = row.withColumn("__other", F.explode(F.filter(every, lambda b: (b["of"] != F.col("__own.of")) | (b["of"] == SHARED))))
+    return row.withColumns({"x": F.least("__own", "__other"), "y": F.greatest("__own", "__other"), "side": F.when(F.col("__own") <= F.col("__other"), 0).otherwise(1)}).drop("__own", "__other", "__block", "large", "small")
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest doc_id of its class)."""
     source = docs.select(id_or_last().alias("id"), "text")
     nodes = written(source.mapInArrow(_signed_rows, "id long, k1 long, k2 long, sig binary, filled boolean"), "signatures")
-    same = nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    reps = nodes.filter("filled").select("id", "k1", "k2", "sig").join(same, ["k1", "k2"]).filter("id = rep").select("id", "sig").dropDuplicates(["id", "sig"])
+    # Equal words have equal signatures, so any of a group will do. Joins on a hot key are with written tables, which Spark can split.
+    same = written(nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("filled").alias("filled")), "distinct-texts")
+    reps = same.filter("filled").select(F.col("rep").alias("id"), "sig")
     bands = reps.select("id", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(COMPONENTS // ROWS)))).alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    buckets = written(bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(bands.join(buckets, "bucket"), "bucket-members")
     texts = written(source.join(members.select("id").distinct(), "id", "left_semi"), "candidate-texts")
 
-    tested = members.filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    tested = members.filter("first <> id").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
     links = written(_links(tested, texts, least), "links")
     classes = components(links)
     still = written(_open(members, classes), "open-buckets")
     if not still.isEmpty():
-        dealt = _blocks(still.select("bucket", "id", "class", "n").join(reps, "id"), BLOCK)
+        dealt = _blocks(still, "bucket", BLOCK, F.lit(1)).join(reps, "id")
         ties = dealt.groupBy("bucket", "x", "y").applyInArrow(_likely, "a long, b long")
         groups = components(written(ties.distinct(), "ties")).withColumnRenamed("class", "group")
+        groups = groups.union(groups.select(F.col("group").alias("id"), "group").distinct())  # the smallest of each group
         groups = groups.join(still.select("id", "class").distinct(), "id")
         filled = written(groups.join(texts, "id").select("id", "class", "group", "text").mapInArrow(_bag_rows, "id long, class long, group long, bag binary"), "group-bags")
-        sized = filled.join(filled.groupBy("group").agg(F.greatest(F.count("*"), F.ceil(F.sum(F.length("bag")) / BAG_BYTES)).alias("n")), "group")
-        more = _blocks(sized, EXACT_BLOCK).groupBy("group", "x", "y").applyInArrow(_exact(least), "a long, b long")
+        weight = F.greatest(F.lit(1), F.ceil(F.length("bag") / BAG_BYTES))
+        more = _blocks(filled, "group", EXACT_BLOCK, weight).groupBy("group", "x", "y").applyInArrow(_exact(least), "a long, b long")
         classes = components(written(links.union(more), "links"))
-    of = nodes.select("id", "k1", "k2").join(same, ["k1", "k2"]).join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    out = of.select("id", F.coalesce("class", "rep").alias("class_id"))
+    known = written(same.select("k1", "k2", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("class", "rep").alias("class_id")), "text-classes")
+    out = nodes.select("id", "k1", "k2").join(known, ["k1", "k2"])
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("id").alias("doc_id"), back("class_id").alias("class_id"))
 
@@ -297,8 +326,9 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
 def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the rows of the smallest doc_id. All columns stay."""
     classes = near_duplicate_classes(docs, least)
-    extra = classes.filter("class_id is not null and (doc_id is null or doc_id <> class_id)").select(id_or_last().alias("__id")).distinct()
-    return docs.withColumn("__id", id_or_last()).join(extra, "__id", "left_anti").select(*docs.columns)
+    own = fresh("__id", docs)
+    extra = classes.filter("class_id is not null and (doc_id is null or doc_id <> class_id)").select(id_or_last().alias(own)).distinct()
+    return docs.withColumn(own, id_or_last()).join(extra, own, "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""
