@@ -1,18 +1,21 @@
 """LM scoring: quantised n-gram counts in a log-frequency Bloom filter, probed by the workers.
 
-Counts of one- and two-word sequences of the training documents (each text between end marks) are
-quantised to levels 1 + floor(log2 c). A level-q sequence is entered with each of the levels 1..q; its
-level is read back by probing 1, 2, ... until a probe fails, so counts are never underestimated and are
-overestimated by one level with the filter's error rate (about 1 %).
+Counts of one- and two-word sequences of the training documents (each text between end marks) are quantised
+to levels with the lower bounds 1, 2, 3, 4, 6, 8, 12, 16, ... A level-q sequence is entered with each of the
+levels 1..q; its level is read back by probing 1, 2, ... until a probe fails, so counts are never
+underestimated and are overestimated by one level with the filter's error rate (about 1 %).
 
 * Sequences are hashed into segments, whose number follows the corpus. Tasks send sorted, delta-coded
   32-bit prints and counts for each segment (about 2.5 bytes a sequence); one task per segment adds them up
   and builds the segment's filter at ``BITS`` bits an entry.
-* Segments are broadcast in blocks of at most ``BLOCK_BYTES``. A worker holds one block at a time: it
-  hashes a batch of texts, takes each block's probes in turn, then forms the probabilities. The filter
-  grows with the distinct sequences of the corpus, its part in memory does not; what grows is executor
-  disk and, per batch, the loading of blocks.
-* P(w | h) = (c(h w) + MU P(w)) / (c(h) + MU) over P(w) = (c(w) + 1) / (N + V + 1), all counts from the filter.
+* The segments are written to the shared folder by the executors and sent to every executor as files of
+  its own (``addFile``); the driver sees their names only. Workers map the files into memory, so that all
+  workers of a machine share one copy and read what they probe. The filter grows with the distinct
+  sequences of the corpus: every machine needs the disk for it, and memory for it to be fast.
+* P(w | h) = (low(h w) + MU P(w)) / (high(h) + MU) over P(w) = (low(w) + 1) / (N + V + 1), where low and high
+  are the least and the largest count of a level. As low(h w) adds up to c(h) at most, these probabilities
+  add up to 1 at most for each h, but for errors of the filter (about 1 % of the pairs that never occur seem to
+  occur once).
 
 The exact unigram base score needs exact counts. The words with the highest counts, at most
 ``HEAD_WORDS``, are broadcast; all other occurrences are joined by hash, so no hot word is ever shuffled.
@@ -25,23 +28,27 @@ columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profusion.llm.common import END_TOKEN, mix, signed, slices, token_hashes
+from profusion.llm.common import END_TOKEN, mix, signed, slices, task, token_hashes
 from profusion.session import written
 
 BITS, MU = 12, 2.0
 HEAD_WORDS = 1 << 18
-BLOCK_BYTES = 16 << 20
 SEGMENT_TOKENS = 500_000
+#: The least count of each level, from level 1 on.
+LEAST = np.array([1, 2, 3, *(x << k for k in range(61) for x in (4, 6))], np.int64)
 #: Tokens that a task counts, or scores, at a time; entries whose places are computed at a time.
-COUNT_TOKENS, SCORE_TOKENS, CHUNK = 1_000_000, 2_000_000, 250_000
+COUNT_TOKENS, SCORE_TOKENS, CHUNK = 1_000_000, 500_000, 250_000
 _F = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xD1B54A32D192ED03)
 
@@ -78,6 +85,7 @@ def _items(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return one, two, predicted
 
 
+@task
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, tokens, row in _sequences(batches):
         _, _, predicted = _items(tokens, row)
@@ -108,6 +116,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(segments: int):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, row in _sequences(batches):
             one, two, predicted = _items(tokens, row)
@@ -133,7 +142,7 @@ def _places(prints: np.ndarray, level: int | np.ndarray, words: int | np.ndarray
 
 def build_segment(prints: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The filter of a segment: distinct prints with their counts."""
-    level = 1 + np.floor(np.log2(counts)).astype(np.int64)
+    level = np.searchsorted(LEAST, counts, "right")
     words = np.zeros(max(1, -(-int(level.sum()) * BITS // 64)), np.uint64)
     for start in range(0, len(prints), CHUNK):
         left, q = prints[start : start + CHUNK], level[start : start + CHUNK]
@@ -150,75 +159,110 @@ def _segment(rows: pa.Table) -> pa.Table:
     prints, counts = prints[by], counts[by].astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
     words = build_segment(prints[first], np.add.reduceat(counts, first))
-    return pa.table({"segment": rows.column("segment").slice(0, 1), "words": pa.array([words.tobytes()], pa.binary()), "size": pa.array([words.nbytes])})
+    return pa.table({"segment": rows.column("segment").slice(0, 1), "words": pa.array([words.tobytes()], pa.binary())})
+
+
+def _mapped(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of a file sent to this machine, as rows (segment, start, size), and their words, mapped from disk.
+
+    The first worker that needs a file writes its words one after the other beside it, and removes the file.
+    """
+    from pyspark import SparkFiles
+
+    source = SparkFiles.get(name)
+    words, index = f"{source}.words", f"{source}.npy"
+    if not os.path.exists(index):
+        own, rows, at = f"{source}.{uuid.uuid4().hex}", [], 0
+        try:
+            with open(own, "wb") as f:
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=16):
+                    for segment, raw in zip(batch.column("segment").to_pylist(), batch.column("words"), strict=True):
+                        f.write(raw.as_buffer())
+                        rows.append((segment, at, len(raw.as_buffer()) // 8))
+                        at += rows[-1][2]
+            np.save(f"{own}.npy", np.array(rows, np.int64).reshape(-1, 3))
+            os.replace(own, words)
+            os.replace(f"{own}.npy", index)
+            os.remove(source)
+        except FileNotFoundError:
+            if not os.path.exists(index):  # else another worker was faster
+                raise
+    rows = np.load(index)
+    return rows, np.memmap(words, np.uint64, "r") if len(rows) else np.zeros(0, np.uint64)
 
 
 class Filter:
-    """The segments in broadcast blocks; a worker loads one block at a time."""
+    """The segments in files of this machine, mapped when first used."""
+
+    def __init__(self, segments: int, files: list[str]):
+        self.segments, self.files, self.held = segments, files, None
 
-    def __init__(self, segments: int, blocks: list, firsts: list[int]):
-        self.segments, self.blocks, self.firsts = segments, blocks, firsts
+    def __getstate__(self):
+        return {"segments": self.segments, "files": self.files, "held": None}
+
+    def _open(self):
+        if self.held is None:
+            file, start, size = np.zeros(self.segments, np.int32), np.zeros(self.segments, np.int64), np.zeros(self.segments, np.int64)
+            words = []
+            for k, name in enumerate(self.files):
+                rows, own = _mapped(name)
+                words.append(own)
+                file[rows[:, 0]], start[rows[:, 0]], size[rows[:, 0]] = k, rows[:, 1], rows[:, 2]
+            self.held = file, start, size, words
+        return self.held
 
     def levels(self, items: np.ndarray) -> np.ndarray:
         """The level of each item (uint8), 0 if it is not held."""
+        file, start, size, words = self._open()
         out = np.zeros(len(items), np.uint8)
-        segment = segment_of(items, self.segments).astype(np.int32)
-        block = (np.searchsorted(self.firsts, segment, "right") - 1).astype(np.int32)
-        by = np.argsort(block, kind="stable") if len(self.blocks) > 1 else np.arange(len(items))
-        cut = np.searchsorted(block[by], np.arange(len(self.blocks) + 1))
-        for b, shared in enumerate(self.blocks):
-            if cut[b] == cut[b + 1]:
-                continue
-            sizes, start, flat = shared.value
-            first = self.firsts[b]
-            for at in range(cut[b], cut[b + 1], CHUNK):
-                own = by[at : min(at + CHUNK, cut[b + 1])]
-                own = own[sizes[segment[own] - first] > 0]
-                level = 0
+        segment = segment_of(items, self.segments)
+        by = np.argsort(file[segment], kind="stable") if len(words) > 1 else np.arange(len(items))
+        cut = np.searchsorted(file[segment[by]], np.arange(len(words) + 1))
+        for k, flat in enumerate(words):
+            for at in range(cut[k], cut[k + 1], CHUNK):
+                own = by[at : min(at + CHUNK, cut[k + 1])]
+                own, level = own[size[segment[own]] > 0], 0
                 while len(own):
                     level += 1
-                    s = segment[own] - first
-                    place, mask = _places(prints_of(items[own]), level, sizes[s])
+                    s = segment[own]
+                    place, mask = _places(prints_of(items[own]), level, size[s])
                     own = own[flat[start[s] + place] & mask == mask]
                     out[own] = level
-            if len(self.blocks) > 1 and getattr(shared, "_path", None):
-                shared.__dict__.pop("_value", None)  # it is read from the executor's disk when next needed
         return out
 
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level; 0 for level 0."""
-    return np.array([0.0, *((3 * 2.0**q - 1) / 2 for q in range(64))])[level]
+def low(level: np.ndarray) -> np.ndarray:
+    """The least count of a level; 0 for level 0."""
+    return np.concatenate([[0], LEAST]).astype(float)[level]
+
+
+def high(level: np.ndarray) -> np.ndarray:
+    """The largest count of a level; 0 for level 0."""
+    return (LEAST - 1).astype(float)[level]
 
 
 def build_filter(training: DataFrame, tokens: int) -> Filter:
     spark = training.sparkSession
     segments = max(8, -(-tokens // SEGMENT_TOKENS))
     packed = training.select("text").mapInArrow(_packed(segments), "segment int, blob binary")
-    built = written(packed.groupBy("segment").applyInArrow(_segment, "segment int, words binary, size long"), "bloom-segments")
-    sizes = sorted((r["segment"], r["size"]) for r in built.select("segment", "size").collect())
-    blocks, firsts, at = [], [], 0
-    while at < len(sizes):
-        end, total = at, 0
-        while end < len(sizes) and (end == at or total + sizes[end][1] <= BLOCK_BYTES):
-            total += sizes[end][1]
-            end += 1
-        rows = built.filter(F.col("segment").between(sizes[at][0], sizes[end - 1][0])).select("segment", "words").collect()
-        first, last = sizes[at][0] if blocks else 0, sizes[end][0] if end < len(sizes) else segments
-        held, words = np.zeros(last - first, np.int64), []
-        for r in sorted(rows):
-            words.append(np.frombuffer(r["words"], np.uint64))
-            held[r["segment"] - first] = len(words[-1])
-        blocks.append(spark.sparkContext.broadcast((held, np.cumsum(held) - held, np.concatenate(words))))
-        firsts.append(first)
-        at = end
-    return Filter(segments, blocks, firsts)
+    built = written(packed.groupBy("segment").applyInArrow(_segment, "segment int, words binary"), "bloom-segments")
+    paths = sorted(built.inputFiles())
+    for path in paths:
+        spark.sparkContext.addFile(path)
+    return Filter(segments, [os.path.basename(p) for p in paths])
 
 
 ROW = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times long"
 
 
+def probability(two: np.ndarray, before: np.ndarray, one: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """P(w | h) from the levels of h w, h and w. A word pair cannot be more frequent than its first word."""
+    most = high(before)
+    return (np.minimum(low(two), most) + MU * (low(one) + 1) / (total + kinds + 1)) / (most + MU)
+
+
 def _scores(filter_: Filter, head, total: int, kinds: int):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -227,12 +271,8 @@ def _scores(filter_: Filter, head, total: int, kinds: int):
             one, two, predicted = _items(tokens, row)
             of, n = row[predicted], rows.num_rows
             distinct, back = np.unique(one, return_inverse=True)
-            c1 = count_of(filter_.levels(distinct))[back]
-            c2 = count_of(filter_.levels(two))
-            before = c1[predicted - 1]
-            p1 = (c1[predicted] + 1) / (total + kinds + 1)
-            p = (np.minimum(c2, before) + MU * p1) / (before + MU)
-            score = np.bincount(of, np.log10(p), n)
+            level = filter_.levels(distinct)[back]
+            score = np.bincount(of, np.log10(probability(filter_.levels(two), level[predicted - 1], level[predicted], total, kinds)), n)
             # Exact base score: the head here, the rest by a join.
             word = tokens[predicted]
             at = np.searchsorted(known_h, word)
@@ -251,7 +291,7 @@ def _scores(filter_: Filter, head, total: int, kinds: int):
             ints = lambda x: pa.array(x.astype(np.int64))
             col = lambda name: rows.column(name).combine_chunks()
             yield pa.RecordBatch.from_arrays([
-                ints(ids), col("doc_id"), col("held_out"), ints(np.bincount(of, minlength=n)), ints(np.bincount(of[hit], minlength=n)), pa.array(base), pa.array(score), pa.array(signed(mix(ids.astype(np.uint64) + _TWO))), pa.array(np.zeros(n, np.int64)),
+                ints(ids), col("doc_id"), col("held_out"), ints(np.bincount(of, minlength=n)), ints(np.bincount(of[hit], minlength=n)), pa.array(base.astype(float)), pa.array(score.astype(float)), pa.array(signed(mix(ids.astype(np.uint64) + _TWO))), pa.array(np.zeros(n, np.int64)),
             ], names=_NAMES)
             yield pa.RecordBatch.from_arrays([
                 ints(ids[rest_row[first]]), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), pa.array(signed(rest_word[first])), ints(times),
@@ -278,9 +318,10 @@ def score(docs: DataFrame, train=None) -> DataFrame:
     training = rows.filter(~F.col("held_out"))
     counts = written(training.select("text").mapInArrow(_unigrams, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "unigrams")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # The lowest count of the head: at most HEAD_WORDS words have it or more.
-    steps = counts.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect()
-    least, held = (1 << 16) + 1, 0
+    # The lowest count of the head: at most HEAD_WORDS words have it or more. Counts are looked at in steps of an eighth of an octave.
+    step = F.floor(F.log2("c") * 8).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.min("c").alias("c"), F.count("*").alias("k")).orderBy(F.desc("step")).collect()
+    least, held = int(total) + 1, 0
     for r in steps:
         held += r["k"]
         if held > HEAD_WORDS:
