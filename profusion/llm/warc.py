@@ -1,10 +1,12 @@
-"""WARC: archives with an index written first, and coalesced byte-range reads of selected records.
+"""WARC: archives with an index that is read first, and coalesced byte-range reads of selected records.
 
-Records are gzip members in archives of bounded size. Archives live in a table, one row each: name,
-content (the bytes of a .warc.gz file) and entries, the index of offset, length, URL and digest per record.
-A reader first reads only the entries, selects records, sorts their byte ranges, joins ranges with small
-gaps and reads each joined range once. The same reader serves files: ``export`` writes archives to a
-folder, ``read_ranges`` takes any seekable file.
+Records are gzip members in archives of bounded size. Archives are rows of a table in the shared folder, since executors
+can write files only through Spark. A row is a block of an archive: whole records of about ``BLOCK_BYTES``,
+and entries, the index of offset, length, URL and digest per record. The table is written in small row
+groups with a key that rises within a file. A selection first reads the entries alone, without any content;
+then only the row groups that may hold the blocks of the selected records; then, within a block, it sorts the
+byte ranges, joins ranges with small gaps and reads each joined range once. The same reader serves
+files: ``export`` writes archives to a folder, ``read_ranges`` takes any seekable file.
 
 Of pages with equal payloads the one with the smallest page_id is a response record, the others are
 revisit records that carry the HTTP header (and so the payload's length) but not the payload. Only
@@ -32,10 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profusion.llm.common import slices
+from profusion.llm.common import slices, task
 from profusion.session import written
 
-ARCHIVE_BYTES, GAP, LEVEL = 4 << 20, 64 << 10, 6
+ARCHIVE_BYTES, BLOCK_BYTES, GAP, LEVEL = 4 << 20, 256 << 10, 64 << 10, 6
+#: Keys that a selection hands to the scan as a filter; more are joined.
+PUSHED_KEYS = 500
+#: Row groups of about a megabyte, looked at after each row.
+ROW_GROUPS = {"parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size": 64 << 10}
 BROADCAST_ROWS = 1_000_000
 DATE = "2000-01-01T00:00:00Z"
 ENTRY = "struct<page_id:long,offset:long,length:long,url:string,digest:string,record_type:string>"
@@ -107,14 +113,16 @@ def read_ranges(file, ranges: Iterable[tuple[int, int]], gap: int = GAP) -> Iter
             yield zlib.decompress(data[offset - start : offset - start + length], 31)
 
 
+@task
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     kind = pa.struct([("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string())])
-    part, count, members, entries, size = TaskContext.get().partitionId(), 0, [], [], 0
+    part, archive, number, start, size, members, entries = TaskContext.get().partitionId(), 0, 0, 0, 0, [], []
 
-    def archive() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{count:06d}.warc.gz"]), pa.array([b"".join(members)], pa.binary()), pa.array([entries], pa.list_(kind))], names=["archive", "content", "entries"])
+    def block() -> pa.RecordBatch:
+        name = f"{part:08d}-{archive:06d}.warc.gz"
+        return pa.RecordBatch.from_arrays([pa.array([f"{name}/{number:08d}"]), pa.array([name]), pa.array([start], pa.int64()), pa.array([b"".join(members)], pa.binary()), pa.array([entries], pa.list_(kind))], names=["key", "archive", "start", "content", "entries"])
 
     for whole in batches:
         for batch in slices(whole, "html"):
@@ -126,27 +134,29 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entries.append({"page_id": page_id, "offset": size, "length": len(member), "url": url, "digest": payload_digest(payload), "record_type": "response" if refers_to is None else "revisit"})
                 members.append(member)
                 size += len(member)
-                if size >= ARCHIVE_BYTES:
-                    yield archive()
-                    count, members, entries, size = count + 1, [], [], 0
+                if size - start >= BLOCK_BYTES or size >= ARCHIVE_BYTES:
+                    yield block()
+                    number, start, members, entries = number + 1, size, [], []
+                    if size >= ARCHIVE_BYTES:
+                        archive, number, start, size = archive + 1, 0, 0, 0
     if members:
-        yield archive()
+        yield block()
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """The archives of the pages, written to the shared folder: archive, content, entries."""
+    """The archives of the pages, written to the shared folder as blocks: key, archive, start, content, entries."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha1"))
     often = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
     often = written(often, "repeated-payloads")
     small = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
     known = rows.join(small, "sha1", "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return written(known.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_write, f"archive string, content binary, entries array<{ENTRY}>"), "archives")
+    return written(known.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_write, f"key string, archive string, start long, content binary, entries array<{ENTRY}>"), "archives", **ROW_GROUPS)
 
 
 def index_of(archives: DataFrame) -> DataFrame:
-    """The index: archive, page_id, offset, length, url, digest, record_type. Reads no content."""
-    return archives.select("archive", F.explode("entries").alias("e")).select("archive", "e.*")
+    """The index: key and archive of the block, page_id, offset (in the archive), length, url, digest, record_type. Reads no content."""
+    return archives.select("key", "archive", F.explode("entries").alias("e")).select("key", "archive", "e.*")
 
 
 RECORD = "archive string, page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
@@ -155,7 +165,8 @@ RECORD = "archive string, page_id long, url string, record_type string, refers_t
 def read_records(archives: DataFrame, select: Callable[[Column], Column] | None = None, payload: bool = True) -> DataFrame:
     """The records whose index entry ``select`` picks (all by default), parsed and checked.
 
-    ``payload`` False leaves the payload column null, once its digest has been checked.
+    A selection reads the index first, then the blocks that hold its records. ``payload`` False leaves the payload
+    column null, once its digest has been checked.
     """
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -165,28 +176,43 @@ def read_records(archives: DataFrame, select: Callable[[Column], Column] | None
     schema = T.StructType([T.StructField(*(n, kinds[k])) for n, k in (x.split(" ") for x in RECORD.split(", "))])
     arrow = to_arrow_schema(schema)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "content"):
                 rows = []
-                for name, content, entries in zip(*(batch.column(c).to_pylist() for c in ("archive", "content", "entries")), strict=True):
-                    for raw in read_ranges(io.BytesIO(content), [(e["offset"], e["length"]) for e in entries]):
+                for name, start, content, entries in zip(*(batch.column(c).to_pylist() for c in ("archive", "start", "content", "entries")), strict=True):
+                    for raw in read_ranges(io.BytesIO(content), [(e["offset"] - start, e["length"]) for e in entries]):
                         got = parse(raw) | {"archive": name}
                         rows.append(got if payload else got | {"payload": None})
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], f.type) for n, f in zip(names, arrow, strict=True)], schema=arrow)
 
-    picked = archives if select is None else archives.withColumn("entries", F.filter("entries", select)).filter(F.size("entries") > 0)
-    return picked.select("archive", "content", "entries").mapInArrow(run, schema)
+    picked = archives if select is None else selected(archives, select)
+    return picked.select("archive", "start", "content", "entries").mapInArrow(run, schema)
+
+
+def selected(archives: DataFrame, select: Callable[[Column], Column]) -> DataFrame:
+    """The blocks that hold records whose entry ``select`` picks, with the entries of these records."""
+    own = F.filter("entries", select)
+    keys = written(archives.select("key", F.size(own).alias("n")).filter("n > 0").select("key"), "selected-blocks")  # no content is read
+    n = keys.count()
+    if n <= PUSHED_KEYS:
+        blocks = archives.filter(F.col("key").isin([r["key"] for r in keys.collect()]))
+    else:
+        blocks = archives.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "key", "left_semi")
+    return blocks.withColumn("entries", own)
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
-    """Write the archives as .warc.gz files to a folder of the driver; one archive is held at a time."""
+    """Write the archives as .warc.gz files to a folder of the driver; a few blocks are held at a time."""
     os.makedirs(folder, exist_ok=True)
-    out = []
-    for r in archives.select("archive", "content").toLocalIterator():
-        with open(os.path.join(folder, r["archive"]), "wb") as f:
+    out: list[str] = []
+    for r in archives.select("key", "archive", "content").orderBy("key").toLocalIterator():
+        path = os.path.join(folder, r["archive"])
+        with open(path, "ab" if out and out[-1] == path else "wb") as f:
             f.write(r["content"])
-        out.append(f.name)
+        if not out or out[-1] != path:
+            out.append(path)
     return out
 
 
