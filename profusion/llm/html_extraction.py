@@ -1,23 +1,28 @@
 """HTML extraction: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events. Block elements end a line; each line has its text, its
-number of tags and the elements around it. Menus, page headers, footers, sidebars, notices, adverts,
-forms, comments, scripts and hidden parts are known by element, role, class or id and make no lines.
+The standard library's parser streams events. Block elements end a line; each line has its text, its number of
+tags and the element it stands in. What the text must not have by definition (menus, page headers, footers, sidebars,
+notices, adverts, forms, comments, scripts and hidden parts) makes no lines where element, role or a class
+or id as a whole says so.
+
 The ratio of characters to tags per line is smoothed with a Gaussian kernel and cut in two by the
-one-dimensional two-means threshold; the upper lines are content. The region is the article or main
-element that has most content, else the innermost division with nine tenths of the content; all its
-lines are the text, short ones and lines of links too.
+one-dimensional two-means threshold. The characters of the lines above it count for the elements around
+them. The region is the article or main element that counts most, if it has ``ARTICLE_SHARE`` of the count, else the
+innermost division with ``REGION_SHARE`` of it, or the article around that. All lines of the region are the text, short
+ones and lines of links too.
+
+Parsing and counting take time in proportion to the page, whatever its nesting: open elements are found by tag, and
+counts are added upwards once.
 
 Defined cases: a null or empty page has the empty text; white space (no-break spaces too) becomes one
-space and is trimmed; unclosed and stray tags are repaired as parsers do; rows are judged on their own, so
-repeated rows do not matter; other columns are not read; an empty table gives an empty result.
+space and is trimmed; unclosed and stray tags are repaired as parsers do; of articles that count the
+same the outer, then the first is taken; rows are judged on their own, so repeated rows do not matter; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -25,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from profusion.llm.common import slices
+from profusion.llm.common import slices, task
 
 SIGMA = 1.0
+ARTICLE_SHARE, REGION_SHARE = 0.25, 0.9
 #: Elements of HTML by their part here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -40,10 +46,24 @@ MARKS = frozenset(
     "share sharing social related recommended widget toolbar pagination pager skip copyright".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Words that end the name of a part after what it is about, as in comment-list.
+PLACES = frozenset("area bar block body box container content form inner item items links list posts section slot text top unit wrap wrapper".split())
+ARTICLES = frozenset(["article", "main"])
 _PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _names(value: str, marks: frozenset[str], whole: bool) -> bool:
+    """Whether a class or id says what a part is: as a whole, by its last word, or by a word before a word for a place."""
+    for token in value.split():
+        if token in marks:
+            return True
+        parts = [] if whole else _PART.findall(token)
+        if parts and (parts[-1] in marks or (parts[-1] in PLACES and not marks.isdisjoint(parts))):
+            return True
+    return False
+
+
 def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
     if tag in DROPPED:
         return True
@@ -54,8 +74,7 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bo
     for name, value in attrs:
         value = (value or "").lower()
         if name in ("class", "id"):
-            parts = set(_PART.findall(value))
-            if parts & MARKS or ("header" in parts and not inside and tag != "h1"):
+            if _names(value, MARKS, tag in ARTICLES) or (not inside and tag != "h1" and tag not in ARTICLES and _names(value, frozenset(["header"]), False)):
                 return True
         elif name == "hidden" or (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
             return True
@@ -63,16 +82,19 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bo
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page: text, tags, and the path of open elements."""
+    """Collects the lines of a page: text, tags, and the number of the element they stand in; parent holds its parent's."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # element, number, dropped
-        self.dropped = 0
-        self.number = 0
+        self.where: dict[str, list[int]] = {}  # places of each element in open, rising
+        self.holding: list[int] = []  # places of elements of HOLDS
+        self.dropping: list[int] = []  # places of dropped elements
+        self.around = 0  # open articles
+        self.parent = [0]
         self.articles: set[int] = set()
         self.holders: set[int] = set()
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
 
@@ -80,42 +102,52 @@ class Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open)))
+                self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
             self.text = []
         self.tags = 0
 
     def _close(self, at: int) -> None:
-        for tag, _, dropped in self.open[at:]:
-            self.dropped -= dropped
-        del self.open[at:]
+        while len(self.open) > at:
+            tag, number, dropped = self.open.pop()
+            self.where[tag].pop()
+            if tag in HOLDS:
+                self.holding.pop()
+            if dropped:
+                self.dropping.pop()
+            self.around -= number in self.articles
+
+    def _last(self, tag: str) -> int:
+        return self.where[tag][-1] if self.where.get(tag) else -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self._end_line()
         self.tags += 1
         if tag in VOID:
-            if tag == "br" and not self.dropped:
+            if tag == "br" and not self.dropping:
                 self.text.append(" ")
             return
         if tag in ENDS:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in ENDS[tag]:
-                    self._close(i)
-                    break
-                if self.open[i][0] in HOLDS:
-                    break
-        elif tag in ("body", "article", "main") and self.dropped and not self.articles:
+            ended = max(map(self._last, ENDS[tag]))
+            if ended >= 0 and ended >= (self.holding[-1] if self.holding else 0):
+                self._close(ended)
+        elif tag in ("body", "article", "main") and self.dropping and not self.articles:
             # An unclosed head, menu or advert before the article ends here.
-            self._close(next(i for i, x in enumerate(self.open) if x[2]))
-        inside = any(n in self.articles for _, n, _ in self.open)
-        drop = _unwanted(tag, attrs, inside)
-        self.number += 1
-        self.open.append((tag, self.number, drop))
-        self.dropped += drop
+            self._close(self.dropping[0])
+        drop = _unwanted(tag, attrs, self.around > 0)
+        number = len(self.parent)
+        self.parent.append(self.open[-1][1] if self.open else 0)
+        at = len(self.open)
+        self.open.append((tag, number, drop))
+        self.where.setdefault(tag, []).append(at)
+        if drop:
+            self.dropping.append(at)
         if tag in HOLDS:
-            self.holders.add(self.number)
-        if tag in ("article", "main") and not self.dropped:
-            self.articles.add(self.number)
+            self.holders.add(number)
+            self.holding.append(at)
+        if tag in ARTICLES and not self.dropping:
+            self.articles.add(number)
+            self.around += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -126,17 +158,13 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self._end_line()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._close(i)
-                return
-            if tag in INLINE and self.open[i][0] in HOLDS:
-                return
+        at = self._last(tag)
+        if at >= 0 and (tag not in INLINE or not self.holding or at > self.holding[-1]):
+            self._close(at)
 
     def handle_data(self, data: str) -> None:
-        if self.dropped:
-            return
-        self.text.append(data)
+        if not self.dropping:
+            self.text.append(data)
 
 
 def content_lines(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -158,34 +186,41 @@ def content_lines(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
         low, high = new
 
 
+def region(page: Lines, content: np.ndarray) -> int:
+    """The number of the element whose lines are the text; 0 for the page."""
+    count, within = [0] * len(page.parent), [0] * len(page.parent)
+    for (text, _, e), good in zip(page.lines, content.tolist(), strict=True):
+        count[e] += len(text) * good
+    for e in range(len(page.parent) - 1, 0, -1):
+        count[page.parent[e]] += count[e]
+    article = max(sorted(page.articles), key=count.__getitem__, default=0)
+    if article and count[article] >= ARTICLE_SHARE * count[0]:
+        return article
+    best = max((e for e in page.holders if count[e] >= REGION_SHARE * count[0]), default=0)
+    for e in range(1, len(page.parent)):
+        within[e] = e if e in page.articles else within[page.parent[e]]
+    return within[best] or best
+
+
 def extract_text(html: str | None) -> str:
     """The main text of a page, one line per block."""
     page = Lines()
     page.feed(html or "")
     page.close()
     page._end_line()
-    lines = page.lines
-    if not lines:
+    if not page.lines:
         return ""
-    size = np.array([len(t) for t, _, _ in lines], float)
-    content = content_lines(size / np.maximum(1, [n for _, n, _ in lines]))
-    weight: dict[int, float] = defaultdict(float)
-    for (_, _, path), n, good in zip(lines, size, content, strict=True):
-        if good:
-            for e in path:
-                weight[e] += n
-    articles = [e for e in page.articles if weight.get(e)] or [e for _, _, path in lines for e in path if e in page.articles]
-    if articles:
-        best = max(sorted(set(articles)), key=lambda e: weight[e])
-        return "\n".join(t for t, _, path in lines if best in path)
-    total = sum(n for n, good in zip(size, content, strict=True) if good)
-    best = max((e for e, w in weight.items() if w >= 0.9 * total and e in page.holders), default=None)
-    return "\n".join(t for t, _, path in lines if best is None or best in path)
+    best = region(page, content_lines(np.array([len(t) / max(1, n) for t, n, _ in page.lines])))
+    held = [best == 0] * len(page.parent)
+    for e in range(1, len(held)):
+        held[e] = e == best or held[page.parent[e]]
+    return "\n".join(t for t, _, e in page.lines if held[e])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (long) of each page."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
