@@ -8,14 +8,16 @@ Native: DataFrame and SQL functions only; the trees are CASE expressions.
 * Generators of high recall propose further, overlapping spans: named secrets, long mixed codes, groups
   of digits, spelled-out addresses. Each candidate gets format features (length, digits, variety, case,
   separators, check digit) and context features (cue words before it). Boosted depth-two trees give its
-  probability; each generator has a threshold calibrated for precision. Of overlapping candidates the
-  most probable one stays, and none stays that overlaps a base span.
+  probability; each generator has a threshold calibrated for precision. Candidates are taken up from the
+  most probable down, and one stays if it overlaps no base span and none that has stayed.
 * The trees are fitted on ``TRAIN_ROWS`` labelled phrases made by rule below, featurized by the same SQL
   expressions; the model has a fixed size.
 
 Offsets are code points, from 0, end exclusive. Replacing matches with marked matches and cutting at the
 marks gives the offsets; marks that a text holds itself are first replaced by another private-use
-character, which no pattern knows.
+character, which no pattern knows. Spans are run through in order, with a state, in about the square root of their
+number of parts (``_scan``); only spans whose overlaps chain are compared with each other. So a text of a hundred
+thousand spans is no special case.
 
 Defined cases: a null or empty text has no spans; equal starts are ordered by kind as listed; each row is
 judged on its own, so repeated rows and ids do not matter; other columns are not read; an empty table
@@ -47,16 +49,17 @@ BASE = {
 #: Quick tests that any match passes.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 GENERATORS = {
-    "secret": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\w{0,20}+[\"']?\s?[=:]\s?[\"']?[^\s\"']{6,}+[\"']?",
+    "secret": r"(?i)\b(?>\w*?(?:password|passwd|pwd|secret|token|api[_-]?key))\w*+[\"']?\s?[=:]\s?[\"']?[^\s\"']{6,}+[\"']?",
     "code": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+(?![A-Za-z0-9_-])",
-    "number": r"(?<![0-9A-Za-z.+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9A-Za-z])",
-    "address": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,64}+\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]{2,64}+(?:\s?[\[(]\s?dot\s?[\])]\s?|\.)[a-z]{2,24}+",
+    "number": r"(?<![0-9A-Za-z.+-])(?<![0-9][\x20().-]{1,2})\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])",
+    "address": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,}+\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]{2,}+(?:\s?[\[(]\s?dot\s?[\])]\s?|\.)[a-z]{2,}+",
 }
 KINDS = [*BASE, *GENERATORS]
 _CUE = r"(?i)(?:ssn|social|security|iban|account|phone|tel|mobile|cell|fax|call|passport|licen[cs]e|contact|mail|reach)[\s\w.:#=-]{0,12}$"
 _PLAIN = r"(?i)(?:isbn|page|order|invoice|version|item|ref|year|issn|part|no\.?)[\s:#-]{0,3}$"
 FEATURES = ["length", "digits", "variety", "upper", "lower", "hex", "separators", "cue", "plain", "luhn", "prefix", "gen"]
-_SPAN = "array<struct<start:int,end:int,v:string>>"
+#: Characters before a candidate that its features look at.
+BEFORE = 24
 
 
 def _cut(text: Column, pattern: str, need: str | None = None) -> Column:
@@ -65,15 +68,68 @@ def _cut(text: Column, pattern: str, need: str | None = None) -> Column:
     return F.when(F.contains(text, F.lit(need)), marked).otherwise(F.array(text)) if need else marked
 
 
-def _spans(cut: Column) -> Column:
-    def step(acc: Column, piece: Column) -> Column:
-        v = F.substring_index(piece, SHUT, 1)
-        new = F.struct(acc["pos"].alias("start"), (acc["pos"] + F.length(v)).alias("end"), v.alias("v"))
-        return F.struct((acc["pos"] + F.length(piece) - 1).alias("pos"), F.concat(acc["out"], F.array(new)).alias("out"))
+def _scan(items: Column, start: Column, step, kind: str) -> tuple[Column, Column]:
+    """Run through an array with a state: (the last state, all that ``step(state, item)`` puts out, as array<kind>).
 
-    empty = F.array().cast(_SPAN)
-    start = F.struct(F.length(F.get(cut, F.lit(0))).alias("pos"), empty.alias("out"))
-    return F.when(F.size(cut) > 1, F.aggregate(F.slice(cut, F.lit(2), F.size(cut)), start, step, lambda acc: acc["out"])).otherwise(empty)
+    ``step`` gives the next state and an array. Items are taken in as many parts as a part has items, so that what
+    is put out is copied about the square root of their number of times, not once an item.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+    part = F.ceil(F.sqrt(F.size(items))).cast("int")
+    parts = F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / part).cast("int") - 1), lambda i: F.slice(items, i * part + 1, part))).otherwise(F.array(items))
+
+    def one(acc: Column, item: Column) -> Column:
+        bound = F.transform(F.array(F.struct(*(x.alias(n) for n, x in zip(("state", "out"), step(acc["state"], item), strict=True)))), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["out"]).alias("out")))
+        return F.get(bound, F.lit(0))
+
+    def several(acc: Column, own: Column) -> Column:
+        inner = F.aggregate(own, F.struct(acc["state"].alias("state"), empty.alias("out")), one)
+        return F.get(F.transform(F.array(inner), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), F.lit(0))
+
+    done = F.aggregate(parts, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), several, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+    return done["state"], done["out"]
+
+
+def _spans(cut: Column, context: bool = False) -> Column:
+    """The matches of a cut text; with their ``context`` the last ``BEFORE`` characters before each."""
+    last = lambda s: F.substring(s, -BEFORE, BEFORE)
+
+    def step(state: Column, piece: Column) -> tuple[Column, Column]:
+        v, pos = F.substring_index(piece, SHUT, 1), state["pos"] if context else state
+        span = [pos.alias("start"), (pos + F.length(v)).alias("end"), v.alias("v")]
+        pos = pos + F.length(piece) - 1
+        if not context:
+            return pos, F.array(F.struct(*span))
+        # A piece is a match, a mark and what follows.
+        return F.struct(pos.alias("pos"), last(F.concat(state["before"], F.translate(piece, SHUT, ""))).alias("before")), F.array(F.struct(*span, state["before"].alias("before")))
+
+    kind = "struct<start:int,end:int,v:string" + (",before:string>" if context else ">")
+    first = F.get(cut, F.lit(0))
+    start = F.struct(F.length(first).alias("pos"), last(first).alias("before")) if context else F.length(first)
+    return F.when(F.size(cut) > 1, _scan(F.slice(cut, F.lit(2), F.size(cut)), start, step, kind)[1]).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+_CHOICE = "struct<start:int,rank:int,end:int,v:string,odds:double>"
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans ordered by start those that stay: base ones (odds null), and others from the highest odds down that overlap none that stay."""
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    key = lambda s: F.struct(-F.coalesce(s["odds"], F.lit(math.inf)), s["rank"], s["start"])
+    empty = F.array().cast(f"array<{_CHOICE}>")
+
+    def settled(chain: Column) -> Column:
+        order = F.array_sort(chain, lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
+        kept = F.aggregate(order, empty, lambda kept, s: F.when(s["odds"].isNotNull() & F.exists(kept, lambda k: meet(k, s)), kept).otherwise(F.concat(kept, F.array(s))))
+        return F.when(F.size(chain) < 2, chain).otherwise(kept)
+
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
+        apart = s["start"] >= state["end"]
+        chain = F.when(apart, F.array(s)).otherwise(F.concat(state["chain"], F.array(s)))
+        return F.struct(F.greatest(state["end"], s["end"]).alias("end"), chain.alias("chain")), F.when(apart, settled(state["chain"])).otherwise(empty)
+
+    state, out = _scan(spans, F.struct(F.lit(0).alias("end"), empty.alias("chain")), step, _CHOICE)
+    return F.concat(out, settled(state["chain"]))
 
 
 def _digits(v: Column) -> Column:
@@ -127,7 +183,7 @@ def labelled_phrases(n: int = TRAIN_ROWS, seed: int = 4) -> list[tuple[int, int,
         lambda: (1, name("code"), word() + " ", pick(low + up + num, r.randint(24, 40)) + str(r.randint(0, 9)) + pick(up, 1) + pick(low, 1)),
         lambda: (1, name("number"), r.choice(["ssn ", "SSN: ", "social security "]), f"{pick(num, 3)}-{pick(num, 2)}-{pick(num, 4)}"),
         lambda: (1, name("number"), r.choice(["phone ", "call ", "tel: ", "mobile "]), r.choice([f"({pick(num, 3)}) {pick(num, 3)}-{pick(num, 4)}", f"{pick(num, 3)}-{pick(num, 3)}-{pick(num, 4)}", f"{pick(num, 3)} {pick(num, 3)} {pick(num, 4)}"])),
-        lambda: (1, name("address"), r.choice(["contact ", "mail ", word() + " "]), f"{word()}{r.choice([' [at] ', ' (at) '])}{word()}{r.choice([' [dot] ', '.', ' (dot) '])}com"),
+        lambda: (1, name("address"), r.choice(["contact ", "mail ", word() + " "]), f"{word() * r.choice([1, 1, 2, 8, 30])}{r.choice([' [at] ', ' (at) '])}{word() * r.choice([1, 1, 2, 8, 30])}{r.choice([' [dot] ', '.', ' (dot) '])}com"),
         lambda: (0, name("secret"), word() + " ", f"{r.choice(['token', 'secret', 'password'])}: {pick(low, r.randint(6, 10))}"),
         lambda: (0, name("secret"), word() + " ", f"{r.choice(['token', 'password'])}={'*' * r.randint(6, 10)}"),
         lambda: (0, name("code"), word() + " ", "-".join(word() for _ in range(r.randint(3, 5))) + "-" + word() * 2),
@@ -240,18 +296,17 @@ def spans(docs: DataFrame) -> DataFrame:
     gate = {"number": F.col("__t").rlike("[0-9]"), "address": F.lower("__t").rlike(r"[\[(]\s?at")}  # what any match holds
     cut |= {k: F.when(gate.get(k, F.lit(True)), _cut(F.col("__t"), p)).otherwise(F.array("__t")) for k, p in GENERATORS.items()}
     df = df.withColumns({f"__c_{k}": c for k, c in cut.items()})
-    df = df.withColumns({f"__s_{k}": _spans(F.col(f"__c_{k}")) for k in KINDS})
+    df = df.withColumns({f"__s_{k}": _spans(F.col(f"__c_{k}"), k in GENERATORS) for k in KINDS})
 
     def base(k: str) -> Column:
         kept = F.filter(F.col(f"__s_{k}"), lambda s: _valid(k, s))
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), s["end"].alias("end"), s["v"].alias("v")))
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), s["end"].alias("end"), s["v"].alias("v"), F.lit(None).cast("double").alias("odds")))
 
     def proposed(k: str) -> Column:
         g = list(GENERATORS).index(k)
 
         def judged(s: Column) -> Column:
-            before = F.substring(F.col("__t"), F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-            feature = F.struct(*(c.alias(n) for n, c in zip(FEATURES, _features(s["v"], before, g), strict=True)))
+            feature = F.struct(*(c.alias(n) for n, c in zip(FEATURES, _features(s["v"], s["before"], g), strict=True)))
             return F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), s["end"].alias("end"), s["v"].alias("v"), feature.alias("f"))
 
         def scored(s: Column) -> Column:
@@ -259,14 +314,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
         return F.filter(F.transform(F.transform(F.col(f"__s_{k}"), judged), scored), lambda s: s["odds"] >= limits[g])
 
-    df = df.select("doc_id", "text", F.concat(*map(base, BASE)).alias("__base"), F.concat(*map(proposed, GENERATORS)).alias("__more"))
-    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    ahead = lambda a, b: (a["odds"] > b["odds"]) | ((a["odds"] == b["odds"]) & ((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["start"] < b["start"]))))
-    free = F.filter("__more", lambda s: ~F.exists(F.col("__base"), lambda b: meet(s, b)))
-    df = df.select("doc_id", "text", "__base", free.alias("__free"))
-    best = F.filter("__free", lambda s: ~F.exists(F.col("__free"), lambda o: meet(s, o) & ahead(o, s)))
-    plain = F.transform(best, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["v"].alias("v")))
-    df = df.select("doc_id", "text", F.array_sort(F.concat("__base", plain)).alias("__all"))
+    df = df.select("doc_id", "text", F.array_sort(F.concat(*map(base, BASE), *map(proposed, GENERATORS))).alias("__found"))
+    df = df.select("doc_id", "text", F.when(F.exists("__found", lambda s: s["odds"].isNotNull()), F.array_sort(_apart(F.col("__found")))).otherwise(F.col("__found")).alias("__all"))
     kinds = F.array(*map(F.lit, KINDS))
     out = F.transform("__all", lambda s: F.struct(F.get(kinds, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["v"].alias("v"), (s["rank"] < len(BASE)).alias("base")))
     return df.select("doc_id", "text", out.alias("spans"))
@@ -277,11 +326,11 @@ def _joined(found: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """The contract's columns: base counts, digest of the base spans, all spans, and n_more."""
+    """The contract's columns: base counts, digest of the base spans, all spans, n_more and n_spans (added ones, all)."""
     df = spans(docs)
     base = F.filter("spans", lambda s: s["base"])
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    return df.select("doc_id", *(n(k).alias(f"n_{k}") for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_more"))
+    return df.select("doc_id", *(n(k).alias(f"n_{k}") for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_more"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
