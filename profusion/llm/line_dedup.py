@@ -1,17 +1,19 @@
-"""Line dedup: a sharded minimal perfect hash over the repeated lines, probed by the documents.
+"""Line dedup: a sharded minimal perfect hash over the distinct lines, probed by the documents.
 
 Four steps, none of which joins or moves line texts:
 
 1. Each document sends the 128-bit hash of each distinct key once; a partial aggregation gives, for
-   each key, its smallest and largest document. A key repeats iff these differ.
-2. The repeated keys are dealt into shards of bounded size. A task builds each shard's minimal perfect
-   hash (cascaded bit arrays) and the arrays it indexes: 64-bit fingerprints, row counts, smallest ids.
-3. The documents' key hashes stream past the arrays of their shard. Each shard has several copies
-   (salts), so a key that a third of all documents hold is spread over tasks and nothing is gathered.
+   each key, its smallest document and how many hold it.
+2. The distinct keys are dealt into shards of bounded size. A task builds each shard's minimal perfect
+   hash (cascaded bit arrays) and the arrays it indexes: 32-bit fingerprints, saturating 8-bit counts, and, for the keys
+   with a count over one only, the smallest document. A line costs about six bytes.
+3. The documents' key hashes stream past the arrays of their shard; the count array decides which repeat. A shard with
+   many times the usual probes has several copies (salts), in proportion to its probes, so a key that a third of all
+   documents hold is spread over tasks and nothing is gathered.
 4. Only hits return to the documents, which drop those lines.
 
-A key's shard, slot and fingerprint come from 128 independent bits, so a line is dropped wrongly with
-probability 2**-64 per probe.
+Every probed key is in the index, so a line is dropped wrongly only if two keys agree in the 64 bits of slot and
+shard and in the fingerprint.
 
 Defined cases: a null or empty text is one empty line; keys under ``min_chars`` code points never
 repeat; rows that share a doc_id are one document; rows without doc_id are one document that comes
@@ -29,13 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profusion.llm.common import NO_ID, id_or_last, mix, signed, slices, unsigned
+from profusion.llm.common import fresh, id_or_last, mix, slices, task, unsigned
 from profusion.session import shuffle_partitions, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
-#: Keys in a shard at most, roughly: its arrays then take some 5 MB.
-SHARD_KEYS = 200_000
+#: Keys in a shard, roughly; how many times the mean of probes makes a shard hot; hot shards that are broadcast at most.
+SHARD_KEYS, HOT, HOT_SHARDS = 20_000, 4, 100_000
+SEVERAL = 255
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -96,11 +99,12 @@ class PerfectHash:
         return out
 
 
-SHARD = "shard int, sizes array<long>, bits binary, prints binary, counts binary, firsts binary"
+SHARD = "shard int, sizes array<long>, bits binary, prints binary, counts binary, firsts binary, probes long"
 KEYS = "h1 long, h2 long, id long"
 
 
 def _document_keys(min_chars: int):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -120,90 +124,106 @@ def _build_shard(rows: pa.Table) -> pa.Table:
     h1, h2 = (unsigned(rows.column(c).to_numpy()) for c in ("h1", "h2"))
     _, one = np.unique(h1, return_index=True)  # of two keys that share h1 (2**-64) the first stands for both
     h1, h2 = h1[one], h2[one]
-    counts, firsts = rows.column("n").to_numpy()[one], rows.column("first").to_numpy()[one]
+    first, last, n = (rows.column(c).to_numpy()[one] for c in ("first", "last", "n"))
+    counts = np.where(first == last, 1, np.minimum(n, SEVERAL))  # rows that share a doc_id are one document
     perfect = PerfectHash.build(h1)
     order = np.empty(len(h1), np.int64)
     order[perfect.index(h1)] = np.arange(len(h1))
-    blob = lambda x, kind: pa.array([x[order].astype(kind).tobytes()], pa.binary())
+    counts, first = counts[order], first[order]
+    blob = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
     return pa.table({
         "shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()),
         "sizes": pa.array([perfect.sizes], pa.list_(pa.int64())),
         "bits": pa.array([perfect.words.tobytes()], pa.binary()),
-        "prints": blob(h2, np.uint64), "counts": blob(np.minimum(counts, 2**32 - 1), np.uint32), "firsts": blob(firsts, np.int64),
+        "prints": blob(h2[order], np.uint32), "counts": blob(counts, np.uint8), "firsts": blob(first[counts > 1], np.int64),
+        "probes": pa.array([int(n.sum())]),
     })
 
 
+class Shard:
+    """The arrays of a shard."""
+
+    def __init__(self, row: dict):
+        self.perfect = PerfectHash(row["sizes"], np.frombuffer(row["bits"], np.uint64))
+        self.prints, self.counts, self.firsts = (np.frombuffer(row[k], t) for k, t in (("prints", np.uint32), ("counts", np.uint8), ("firsts", np.int64)))
+        self.place = np.cumsum(self.counts > 1) - 1
+
+    def repeats(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which probes are of a key that several documents hold, a smaller one among them."""
+        at = self.perfect.index(h1)
+        hit = (at >= 0) & (self.prints[at] == h2.astype(np.uint32)) & (self.counts[at] > 1)
+        hit[hit] = self.firsts[self.place[at[hit]]] != ids[hit]
+        return hit
+
+
+@task
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted: the arrays of a shard, then the probes that belong to it."""
-    now, held, perfect = None, None, None
+    now, held = None, None
     for batch in batches:
         key = np.stack([batch.column("shard").to_numpy(), batch.column("salt").to_numpy()])
-        probe = np.flatnonzero(batch.column("kind").to_numpy() == 1)
+        kind = batch.column("kind").to_numpy()
         h1, h2, ids = (batch.column(c).fill_null(0).to_numpy() for c in ("h1", "h2", "id"))
         cut = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
-        out = []
+        hit = np.zeros(batch.num_rows, bool)
         for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
             if a == b:
                 continue
             if (k := (key[0, a], key[1, a])) != now:
                 now, held = k, None
-            if batch.column("kind")[a].as_py() == 0:
-                row = batch.slice(a, 1).to_pylist()[0]
-                perfect = PerfectHash(row["sizes"], np.frombuffer(row["bits"], np.uint64))
-                held = np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["firsts"], np.int64)
-            own = probe[(probe >= a) & (probe < b)]
-            if held is None or not len(own):
-                continue
-            at = perfect.index(unsigned(h1[own]))
-            own, at = own[at >= 0], at[at >= 0]
-            out.append(own[(held[0][at] == unsigned(h2[own])) & (held[1][at] != ids[own])])
-        hit = np.concatenate(out) if out else np.zeros(0, np.int64)
+            if kind[a] == 0:
+                held = Shard(batch.slice(a, 1).to_pylist()[0])
+                a += 1
+            if held is not None and a < b:
+                hit[a:b] = held.repeats(unsigned(h1[a:b]), unsigned(h2[a:b]), ids[a:b])
         yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (h1, h2, ids)], ["h1", "h2", "id"])
 
 
-def shards_of(keys: DataFrame) -> DataFrame:
-    """The compact arrays over all keys that two or more documents hold."""
-    repeated = (
-        keys.groupBy("h1", "h2")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-        .filter("first <> last")
-        .select("h1", "h2", "first", "n")
-    )
-    repeated = written(repeated, "repeated-lines")
-    n = max(1, -(-repeated.count() // SHARD_KEYS))
-    return written(repeated.withColumn("shard", F.pmod("h1", F.lit(n)).cast("int")).groupBy("shard").applyInArrow(_build_shard, SHARD), "line-shards")
+def shards_of(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The compact arrays over all distinct keys, and the number of shards that keys are dealt to."""
+    distinct = written(keys.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")), "distinct-lines")
+    n = max(1, -(-distinct.count() // SHARD_KEYS))
+    return written(distinct.withColumn("shard", F.pmod("h1", F.lit(n)).cast("int")).groupBy("shard").applyInArrow(_build_shard, SHARD), "line-shards"), n
+
+
+def hot_shards(shards: DataFrame) -> DataFrame:
+    """shard and salts of the shards with more than ``HOT`` times the mean of probes; at most ``HOT_SHARDS`` rows."""
+    mean, times = shards.agg(F.coalesce(F.avg("probes"), F.lit(1.0))).first()[0], HOT
+    while True:
+        hot = shards.filter(F.col("probes") > times * mean).select("shard", F.ceil(F.col("probes") / (times * mean)).cast("int").alias("salts"))
+        if hot.count() <= HOT_SHARDS:
+            return hot
+        times *= 2  # fewer than shards / times lie over that
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Columns id and drop (array of h1, h2): the keys whose lines document ``id`` loses."""
     spark = docs.sparkSession
     keys = docs.select(id_or_last().alias("id"), "text").mapInArrow(_document_keys(min_chars), KEYS)
-    shards = shards_of(keys)
-    n = shards.count()
-    if not n:
-        return spark.createDataFrame([], "id long, drop array<struct<h1:long,h2:long>>")
-    n = 1 + shards.agg(F.max("shard")).first()[0]
-    salts = max(8, -(-2 * shuffle_partitions(spark) // n))
-    probes = keys.select(
-        F.pmod("h1", F.lit(n)).cast("int").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "id",
-        *(F.lit(None).cast(t).alias(c) for c, t in (("sizes", "array<long>"), ("bits", "binary"), ("prints", "binary"), ("firsts", "binary"))),
+    shards, n = shards_of(keys)
+    hot = F.broadcast(hot_shards(shards))
+    salts = F.coalesce("salts", F.lit(1))
+    probes = keys.withColumn("shard", F.pmod("h1", F.lit(n)).cast("int")).join(hot, "shard", "left").select(
+        "shard", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "id",
+        *(F.lit(None).cast(t).alias(c) for c, t in (("sizes", "array<long>"), ("bits", "binary"), ("prints", "binary"), ("counts", "binary"), ("firsts", "binary"))),
     )
-    arrays = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "id")), "sizes", "bits", "prints", "firsts")
+    arrays = shards.join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "id")), "sizes", "bits", "prints", "counts", "firsts")
     hits = (
         probes.union(arrays).repartition(shuffle_partitions(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
         .mapInArrow(_probe, KEYS)
     )
-    return hits.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+    return written(hits.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop")), "dropped-lines")
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], finish, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+@task
+def _rewrite(batches: Iterator[pa.RecordBatch], drop: str, finish, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             out = {"text": [], "n_lines": [], "n_dropped": []}
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("__drop").to_pylist(), strict=True):
+            for text, lost in zip(batch.column("text").to_pylist(), batch.column(drop).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
-                if drop:
-                    gone = {np.array([x["h1"], x["h2"]], np.int64).tobytes() for x in drop}
+                if lost:
+                    gone = {np.array([x["h1"], x["h2"]], np.int64).tobytes() for x in lost}
                     stay = [line for line, k in zip(lines, line_keys(text), strict=True) if key_hash(k) not in gone]
                 else:
                     stay = lines
@@ -222,10 +242,11 @@ def _joined(docs: DataFrame, min_chars: int, digest: bool) -> DataFrame:
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    hits = repeated_lines(docs, min_chars).withColumnsRenamed({"id": "__id", "drop": "__drop"})
+    own, drop = fresh("__id", docs), fresh("__drop", docs)
+    hits = repeated_lines(docs, min_chars).withColumnsRenamed({"id": own, "drop": drop})
     kept = docs.select("doc_id", "text") if digest else docs
-    rows = kept.withColumn("__id", id_or_last()).join(hits, "__id", "left").drop("__id")
-    base = [f for f in rows.schema.fields if f.name not in ("__drop", "text", "n_lines", "n_dropped")]
+    rows = kept.withColumn(own, id_or_last()).join(hits, own, "left").drop(own)
+    base = [f for f in rows.schema.fields if f.name not in (drop, "text", "n_lines", "n_dropped")]
     tail = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     if digest:
         fields = [T.StructField("doc_id", kept.schema["doc_id"].dataType), *tail, T.StructField("kept_sha256", T.StringType())]
@@ -239,7 +260,7 @@ def _joined(docs: DataFrame, min_chars: int, digest: bool) -> DataFrame:
             out["kept_sha256"] = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in out["text"]]
         return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
-    return rows.mapInArrow(lambda it: _rewrite(it, finish, arrow), schema)
+    return rows.mapInArrow(lambda it: _rewrite(it, drop, finish, arrow), schema)
 
 
 def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
