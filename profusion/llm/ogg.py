@@ -6,8 +6,8 @@ page's checksum, keeps the streams apart by serial number, puts packets together
 stream of unsigned 8-bit samples at 8 kHz beside a stream of one mark per second.
 
 Defined cases: a null or empty text has the empty payload, padded to one block; equal payloads have equal
-bytes, whatever their ids; damaged bytes raise ``OggError`` in ``demux`` and give a null row with the
-reason in ``read_media``; other columns pass through; an empty table gives an empty result.
+bytes, whatever their ids; damaged bytes, streams without a last page, and headers that make no sense raise
+``OggError`` in ``demux`` or ``load`` and give a null row with the reason in ``read_media``; other columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from profusion.llm.common import slices
+from profusion.llm.common import slices, task
 
 RATE, BLOCK, PACKET, PAGE_SEGMENTS = 8000, 192, 4096, 255
 _HEAD = struct.Struct("<4sBBqIIIB")
@@ -97,6 +97,7 @@ def demux(data: bytes) -> dict[int, Stream]:
     out: dict[int, Stream] = {}
     partial: dict[int, list[bytes]] = {}
     number: dict[int, int] = {}
+    over: set[int] = set()
     at = 0
     while at < len(data):
         if len(data) - at < _HEAD.size:
@@ -112,6 +113,10 @@ def demux(data: bytes) -> dict[int, Stream]:
             raise OggError(f"wrong checksum at byte {at}")
         if bool(flags & FIRST) == (serial in out) or seq != number.get(serial, -1) + 1:
             raise OggError(f"page {seq} of stream {serial} is out of order")
+        if serial in over:
+            raise OggError(f"stream {serial} goes on after its last page")
+        if flags & LAST:
+            over.add(serial)
         number[serial] = seq
         stream, parts = out.setdefault(serial, Stream(serial)), partial.setdefault(serial, [])
         if bool(flags & CONTINUED) != bool(parts):
@@ -129,6 +134,8 @@ def demux(data: bytes) -> dict[int, Stream]:
         at = end
     if any(partial.values()):
         raise OggError("a stream ends within a packet")
+    if cut := set(out) - over:
+        raise OggError(f"stream {min(cut)} has no last page")
     return out
 
 
@@ -140,6 +147,8 @@ def times(s: Stream, rate: int, samples: list[int]) -> list[float]:
     ends: list[int] = [0] * len(samples)
     known = None
     for i in range(len(samples) - 1, -1, -1):
+        if s.granules[i] < 0 and known is None:
+            raise OggError(f"stream {s.serial} has no granule position at its end")
         known = s.granules[i] if s.granules[i] >= 0 else known - samples[i + 1]
         ends[i] = known
     return [(e - n) / rate for e, n in zip(ends, samples, strict=True)]
@@ -167,12 +176,14 @@ def store(payload: bytes) -> bytes:
 def load(media: bytes) -> tuple[bytes, dict[str, float]]:
     """The payload read back from the stored bytes, and what the container says."""
     streams = demux(media)
-    audio = next((s for s in streams.values() if s.packets[0].startswith(_PCM_MAGIC)), None)
+    audio = next((s for s in streams.values() if s.packets and s.packets[0].startswith(_PCM_MAGIC)), None)
     if audio is None:
         raise OggError("no PCM stream")
+    if len(audio.packets[0]) != _PCM.size:
+        raise OggError("the PCM header has another length")
     _, _, _, _, rate, bits, channels, _, _ = _PCM.unpack(audio.packets[0])
-    if bits != 8 or channels != 1:
-        raise OggError("not 8-bit mono")
+    if bits != 8 or channels != 1 or not rate:
+        raise OggError("not 8-bit mono with a rate")
     payload = b"".join(audio.packets[1:])
     start = times(audio, rate, [0, *map(len, audio.packets[1:])])
     return payload, {"streams": len(streams), "packets": sum(len(s.packets) for s in streams.values()), "rate": rate, "seconds": len(payload) / rate, "last": start[-1]}
@@ -199,6 +210,7 @@ def _digest(text: str | None) -> tuple:
 def media_digests(docs: DataFrame) -> DataFrame:
     """The contract's columns per document: sizes, digests and features of the stored and reread payload."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -212,6 +224,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
 def with_media(docs: DataFrame) -> DataFrame:
     """doc_id and media (binary): the text's padded payload as Ogg."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -223,6 +236,7 @@ def with_media(docs: DataFrame) -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """doc_id, payload (binary) and error (string, null if sound) from a media column."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "media"):
