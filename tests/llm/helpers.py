@@ -61,10 +61,10 @@ def line_dedup(texts):
     return out
 
 
-def contained(docs, items):
-    """(doc, item) with at least 0.8 of the item's distinct shingles."""
+def contained(docs, items, bound=0.8):
+    """(doc, item) with at least the bound of the item's distinct shingles."""
     d = {i: set(b) for i, t in docs.items() if (b := bag_unicode(t))}
-    return {(i, j) for j, t in items.items() if (s := bag_unicode(t)) for i, x in d.items() if len(set(s) & x) >= 0.8 * len(s)}
+    return {(i, j) for j, t in items.items() if (s := bag_unicode(t)) for i, x in d.items() if len(set(s) & x) >= bound * len(s)}
 
 
 def bag_unicode(text):

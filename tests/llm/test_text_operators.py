@@ -1,5 +1,6 @@
 """Line dedup, near-dedup, decontamination and language ID against plain versions."""
 
+import math
 import random
 
 import numpy as np
@@ -43,6 +44,20 @@ def test_line_dedup(spark, monkeypatch):
     assert full.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_hot_lines_are_salted(spark, monkeypatch):
+    """A line that all documents hold goes to several copies of its shard's arrays; columns of the operator's own names pass through."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 7)
+    docs = H.documents(spark, [f"a line that all of them hold\nown line number {i}" for i in range(300)])
+    keys = docs.selectExpr("doc_id AS id", "text").mapInArrow(line_dedup._document_keys(10), line_dedup.KEYS)
+    shards, n = line_dedup.shards_of(keys)
+    assert n == 43 and [x["salts"] > 1 for x in line_dedup.hot_shards(shards).collect()] == [True]
+    assert sum(len(x["counts"]) for x in shards.collect()) == 301  # every distinct line is in the index
+    got = line_dedup.dedup_lines(docs.selectExpr("*", "doc_id * 2 AS __id", "'x' AS __drop", "1 AS shard", "2 AS salts")).collect()
+    assert all((x["n_dropped"], x["__id"], x["__drop"], x["shard"]) == (int(x["doc_id"] > 0), 2 * x["doc_id"], "x", 1) for x in got)
+    kept = near_dedup.near_dedup(H.documents(spark, ["a b c d e f"] * 3).selectExpr("*", "doc_id * 2 AS __id", "7 AS bucket")).collect()
+    assert [(x["doc_id"], x["__id"], x["bucket"]) for x in kept] == [(0, 0, 7)]
+
+
 def test_line_dedup_ids(spark):
     rows = [(5, "a repeated line"), (5, "a repeated line\na repeated line"), (None, "a repeated line\nx"), (None, "only without an id")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -124,11 +139,35 @@ def test_contamination(spark):
         decontamination.BROADCAST_ROWS = monkey
 
 
+@pytest.mark.parametrize("bound", [0.3, 0.5, 0.8, 1.0])
+def test_containment_bounds(spark, bound):
+    """Any bound, items of mixed sizes, documents that hold from a fifth to all of an item: equal to brute force."""
+    r = random.Random(12)
+    items = [prose(r, n) for n in (6, 9, 20, 20, 70, 170, 400)]
+    docs = [prose(r, 300) + "\n" + " ".join(t.split()[: max(1, round(len(t.split()) * share))]) for t in items for share in (0.2, 0.35, 0.45, 0.55, 0.7, 0.85, 0.95, 1.0)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.contaminated(H.documents(spark, docs), bench, bound).collect()
+    want = H.contained(dict(enumerate(docs)), dict(enumerate(items)), bound)
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(got) == len(want)
+
+
+def test_sketches_miss_rarely():
+    """The needed hits against the exact hypergeometric tail, for documents that hold just the bound."""
+    for t in (0.1, 0.3, 0.5, 0.8, 0.95):
+        k = decontamination.sketch_length(t)
+        need = decontamination.needed_hits(k, t)
+        for n in (k, 2 * k, 1000 + k):
+            held = math.ceil(t * n)
+            tail = sum(math.comb(held, x) * math.comb(n - held, k - x) for x in range(need)) / math.comb(n, k)
+            assert need >= 1 and tail <= decontamination.MISS
+
+
 def test_contamination_ids_and_empty_tables(spark):
     t = "a b c d e f g h"
     docs = spark.createDataFrame([(1, t), (1, t), (None, t), (2, "a b c d e f g"), (2, "f g h d e f g h")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, t), (7, t), (None, t)], "item_id long, text string")
-    assert sorted(tuple(x) for x in decontamination.contaminated(docs, bench).collect()) == [(1, 7, 4, 4, 1.0), (2, 7, 4, 4, 1.0)]
+    assert sorted(map(tuple, decontamination.contaminated(docs, bench).collect()), key=lambda x: x[0] or 0) == [(None, 7, 4, 4, 1.0), (1, 7, 4, 4, 1.0), (2, 7, 4, 4, 1.0)]
+    assert decontamination.decontaminate(docs.selectExpr("*", "1 AS __id"), bench).count() == 0  # rows without doc_id are a document like others
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == 5
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
