@@ -33,6 +33,7 @@ def match_keys(records: DataFrame, normalized_phone_match: bool = False, default
 def star_edges(rows: DataFrame, key: str, node: str = "rec_pos") -> DataFrame:
     """Edges (a, b) from the smallest node of each key to the others."""
     first = rows.groupBy(key).agg(F.min(node).alias("a"), F.max(node).alias("__last")).filter("a <> __last").drop("__last")
+    first = written(first, "shared-keys")  # so that Spark can split the rows of a hot key
     return rows.join(first, key).select("a", F.col(node).alias("b")).filter("a <> b")
 
 
@@ -44,7 +45,7 @@ def conflict(a: Column, b: Column) -> Column:
 def blocked_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges inside equal sets of keys, and pairs (a, b, conflicting) of distinct sets within a block."""
     blocks = keys.filter("name <> '' AND company <> ''")
-    same = blocks.groupBy("name", "company", "emails", "phones").agg(F.min("rec_pos").alias("a"))
+    same = written(blocks.groupBy("name", "company", "emails", "phones").agg(F.min("rec_pos").alias("a")), "distinct-keys")
     inside = blocks.join(same, ["name", "company", "emails", "phones"]).select("a", F.col("rec_pos").alias("b")).filter("a <> b")
     x, y = same.alias("x"), same.alias("y")
     pairs = x.join(y, (F.col("x.name") == F.col("y.name")) & (F.col("x.company") == F.col("y.company")) & (F.col("x.a") < F.col("y.a")))

@@ -189,7 +189,7 @@ def merge(records: DataFrame, as_of: Column | None = None, default_region: str =
     )
     ids = F.array_sort(F.transform(of("")["vals"], lambda v: v["value"]))
     out = whole.select(
-        "entity", F.concat(F.lit("cand_"), F.substring(F.sha2(F.array_join(ids, "\u0001"), 256), 1, 12)).alias("candidate_id"), win("full_name").alias("full_name"),
+        "entity", F.concat(F.lit("cand_"), F.substring(F.sha2(F.array_join(ids, "\u0001"), 256), 1, 32)).alias("candidate_id"), win("full_name").alias("full_name"),
         values("emails").alias("emails"), values("phones").alias("phones"),
         F.when(city.isNotNull() | region.isNotNull() | country.isNotNull(), F.struct(city.alias("city"), region.alias("region"), country.alias("country"))).alias("location"),
         F.struct(*(win(f"links.{k}").alias(k) for k in ("linkedin", "github", "portfolio")), values("links.other").alias("other")).alias("links"),

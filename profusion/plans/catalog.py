@@ -17,10 +17,12 @@ from profusion.functions import textparse as X
 from profusion.functions.selector import load_config, project
 from profusion.functions.text import clean_name, find_emails, find_phones, first_filled
 from profusion.operators.components import components
-from profusion.operators.match import conflict, star_edges
-from profusion.operators.merge import corroborated, field_groups, value_groups
+from profusion.operators.match import blocked_pairs, star_edges
+from profusion.operators.merge import corroborated, field_groups, flag_duplicates, merge, proposals, value_groups
+from profusion.plans.pipeline import resolve
+from profusion.schema import PROVENANCE
 from profusion.session import table
-from profusion.sources.files import ats_json, recruiter_csv
+from profusion.sources.files import RECORD_FIELDS, ats_json, detect, read_files, recruiter_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -79,32 +81,50 @@ def q2(spark, sf_dir):
     return _event_confidence(spark, sf_dir)
 
 
-@_register("Q3_overall_confidence", f"SELECT user_id, CAST(sum(conf_milli) // count(*) AS BIGINT) AS overall_milli, count(*) AS n_values FROM ({_EVENT_SQL}) GROUP BY user_id")
+def _records(df: DataFrame, entity: str, pos: str, source_type: Column, **columns: Column) -> DataFrame:
+    """Rows as source records that already have their entity; missing columns are null."""
+    kinds = dict(RECORD_FIELDS)
+    given = columns | {"source_id": F.col(pos).cast("string"), "source_type": source_type, "method": F.lit("direct_field")}
+    rest = [(given[c] if c in given else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items() if c not in ("file", "item")]
+    return df.select(F.col(entity).cast("long").alias("entity"), F.col(pos).cast("long").alias("rec_pos"), *rest)
+
+
+_TRUSTED = "CASE event_id % 4 WHEN 0 THEN 900 WHEN 1 THEN 850 WHEN 2 THEN 750 ELSE 550 END"
+_EVENT_VALUES_SQL = f"""
+v AS (SELECT user_id, event_type, least(1000, max({_TRUSTED}) + 50 * (count(DISTINCT event_id) - 1)) AS conf, min(event_id) AS first FROM events GROUP BY 1, 2)"""
+
+
+def _merged_events(spark, sf_dir):
+    """Each event as a record of its user that proposes its type as an e-mail; the source's kind follows the event."""
+    kind = F.element_at(F.array(*map(F.lit, ["recruiter_csv", "ats_json", "resume", "recruiter_notes"])), (F.col("event_id") % 4 + 1).cast("int"))
+    return merge(_records(table(spark, sf_dir, "events"), "user_id", "event_id", kind, emails=F.array("event_type")))
+
+
+@_register("Q3_overall_confidence", f"""
+WITH {_EVENT_VALUES_SQL}
+SELECT user_id, CAST((2 * sum(conf) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000 AS overall, (SELECT count(*) FROM events e WHERE e.user_id = v.user_id) AS n_log FROM v GROUP BY user_id""")
 def q3(spark, sf_dir):
-    return _event_confidence(spark, sf_dir).groupBy("user_id").agg(F.expr("sum(conf_milli) div count(*)").alias("overall_milli"), F.count("*").alias("n_values"))
+    return _merged_events(spark, sf_dir).select(F.col("entity").alias("user_id"), F.col("overall_confidence").alias("overall"), F.size("provenance").cast("long").alias("n_log"))
 
 
-@_register("Q4_multi_value_union", """
-WITH f AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events)
-SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS event_types FROM f WHERE r = 1 GROUP BY user_id""")
+@_register("Q4_multi_value_union", f"WITH {_EVENT_VALUES_SQL} SELECT user_id, string_agg(lower(event_type), ',' ORDER BY first) AS event_types FROM v GROUP BY user_id")
 def q4(spark, sf_dir):
-    firsts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    ordered = F.array_sort(F.collect_list(F.struct("first", "event_type")))
-    return firsts.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("event_types"))
+    return _merged_events(spark, sf_dir).select(F.col("entity").alias("user_id"), F.array_join("emails", ",").alias("event_types"))
 
 
 _SPELLINGS = ["ReactJS", "js", " Python 3", "K8s", "cpp", "Rust"]
-_SPELLING_SQL = "CASE p_size % 6 WHEN 0 THEN 'react' WHEN 1 THEN 'javascript' WHEN 2 THEN 'python' WHEN 3 THEN 'kubernetes' WHEN 4 THEN 'c++' ELSE 'rust' END"
+_SPELLING_SQL = "CASE p_size % 7 WHEN 0 THEN 'react' WHEN 1 THEN 'javascript' WHEN 2 THEN 'python' WHEN 3 THEN 'kubernetes' WHEN 4 THEN 'c++' WHEN 5 THEN 'rust' ELSE lower(trim(p_type)) END"
 
 
 @_register("Q5_skill_aggregation", f"""
-SELECT p_brand, {_SPELLING_SQL} AS name, CAST(least(1000, 550 + 50 * (count(DISTINCT l_suppkey) - 1)) AS BIGINT) AS conf_milli, count(DISTINCT l_suppkey) AS n_sources
-FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity >= 49 GROUP BY 1, 2""")
+SELECT l_orderkey, {_SPELLING_SQL} AS name, CAST(least(1000, 550 + 50 * (count(DISTINCT l_suppkey) - 1)) AS BIGINT) AS conf_milli, count(DISTINCT l_suppkey) AS n_sources
+FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2""")
 def q5(spark, sf_dir):
-    spelled = F.element_at(F.array(*map(F.lit, _SPELLINGS)), (F.col("p_size") % 6 + 1).cast("int"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    v = value_groups(_proposals(rows, "p_brand", N.skill(spelled), "l_suppkey", F.lit(550)))
-    return v.select(F.col("entity").alias("p_brand"), F.col("value").alias("name"), F.col("conf").cast("long").alias("conf_milli"), F.size("sources").cast("long").alias("n_sources"))
+    k = F.col("p_size") % 7
+    spelled = F.when(k < 6, F.get(F.array(*map(F.lit, _SPELLINGS)), k.cast("int"))).otherwise(F.concat(F.lit(" "), "p_type"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    v = value_groups(_proposals(rows, "l_orderkey", N.skill(spelled), "l_suppkey", F.lit(550)))
+    return v.select(F.col("entity").alias("l_orderkey"), F.col("value").alias("name"), F.col("conf").cast("long").alias("conf_milli"), F.size("sources").cast("long").alias("n_sources"))
 
 
 @_register("Q6_nested_fusion", f"""
@@ -262,40 +282,44 @@ def q16b(spark, sf_dir):
 
 
 _SETS_SQL = """
-c AS (SELECT c_custkey AS id, c_nationkey, c_mktsegment, list_sort(list_distinct(list(strftime(o_orderdate, '%Y-%m')))) AS a, list_sort(list_distinct(list(o_orderpriority))) AS b
-      FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3),
+c AS (SELECT c_custkey AS id, c_nationkey, c_mktsegment, list_sort(list_distinct(list(o_orderstatus))) AS a, list_sort(list_distinct(list(o_orderpriority))) AS b
+      FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 5 > 0 OR o_orderkey % 3 = 0 GROUP BY 1, 2, 3),
+k AS (SELECT c_nationkey, c_mktsegment, a, b, min(id) AS id FROM c GROUP BY 1, 2, 3, 4),
 q AS (SELECT x.id AS a, y.id AS b, NOT list_has_any(x.a, y.a) OR NOT list_has_any(x.b, y.b) AS conflicting
-      FROM c x JOIN c y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.id < y.id)"""
+      FROM k x JOIN k y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.id < y.id)"""
 
 
-def _customer_pairs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM"))).alias("months"), F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"))
-    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_nationkey", "c_mktsegment", "months", "priorities")
-    x, y = c.alias("x"), c.alias("y")
-    same = (F.col("x.c_nationkey") == F.col("y.c_nationkey")) & (F.col("x.c_mktsegment") == F.col("y.c_mktsegment")) & (F.col("x.c_custkey") < F.col("y.c_custkey"))
-    clash = conflict(F.col("x.months"), F.col("y.months")) | conflict(F.col("x.priorities"), F.col("y.priorities"))
-    return x.join(y, same).select(F.col("x.c_custkey").alias("a"), F.col("y.c_custkey").alias("b"), clash.alias("conflicting"))
+def _customer_blocks(spark, sf_dir):
+    """Customers of one nation and segment as a block; the statuses and priorities of their orders as keys."""
+    o = table(spark, sf_dir, "orders").filter((F.col("o_custkey") % 5 > 0) | (F.col("o_orderkey") % 3 == 0)).groupBy("o_custkey")
+    o = o.agg(F.array_sort(F.collect_set("o_orderstatus")).alias("emails"), F.array_sort(F.collect_set("o_orderpriority")).alias("phones"))
+    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    return blocked_pairs(c.select(F.col("c_custkey").alias("rec_pos"), "emails", "phones", F.col("c_nationkey").cast("string").alias("name"), F.col("c_mktsegment").alias("company")))
 
 
-@_register("Q17_blocked_pairs_conflict", f"WITH {_SETS_SQL} SELECT a, b, conflicting FROM q")
+@_register("Q17_blocked_pairs_conflict", f"""
+WITH {_SETS_SQL}
+SELECT a, b, conflicting FROM q UNION ALL SELECT k.id, c.id, false FROM c JOIN k ON c.c_nationkey = k.c_nationkey AND c.c_mktsegment = k.c_mktsegment AND c.a = k.a AND c.b = k.b AND c.id <> k.id""")
 def q17(spark, sf_dir):
-    return _customer_pairs(spark, sf_dir)
+    inside, pairs = _customer_blocks(spark, sf_dir)
+    return pairs.union(inside.select("a", "b", F.lit(False)))
 
 
 @_register("Q18_possible_duplicates", f"""
 WITH {_SETS_SQL},
 g AS (SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey % 3) AS entity FROM customer),
 l AS (SELECT x.entity AS ea, y.entity AS eb FROM q JOIN g x ON q.a = x.id JOIN g y ON q.b = y.id WHERE conflicting AND x.entity <> y.entity),
-b AS (SELECT ea, eb FROM l UNION SELECT eb, ea FROM l)
-SELECT ea AS entity, string_agg(CAST(eb AS VARCHAR), ',' ORDER BY eb) AS possible_duplicate_of FROM b GROUP BY ea""")
+b AS (SELECT ea, eb FROM l UNION SELECT eb, ea FROM l),
+d AS (SELECT ea, string_agg('c' || eb, ',' ORDER BY 'c' || eb) AS dup FROM b GROUP BY ea)
+SELECT entity, coalesce(dup, '') AS possible_duplicate_of, CASE WHEN dup IS NULL THEN 0 ELSE 1 END AS n_log FROM (SELECT DISTINCT entity FROM g) LEFT JOIN d ON entity = ea""")
 def q18(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("part", F.col("c_custkey") % 3)
     firsts = c.groupBy("c_nationkey", "c_mktsegment", "part").agg(F.min("c_custkey").alias("entity"))
-    of = c.join(firsts, ["c_nationkey", "c_mktsegment", "part"]).select("c_custkey", "entity")
-    at = lambda name: of.withColumnsRenamed({"c_custkey": name, "entity": f"e{name}"})
-    pairs = _customer_pairs(spark, sf_dir).filter("conflicting").join(at("a"), "a").join(at("b"), "b").filter("ea <> eb").select("ea", "eb")
-    both = pairs.union(pairs.select("eb", "ea")).distinct()
-    return both.groupBy(F.col("ea").alias("entity")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("eb")), lambda x: x.cast("string")), ",").alias("possible_duplicate_of"))
+    assigned = c.join(firsts, ["c_nationkey", "c_mktsegment", "part"]).select(F.col("c_custkey").alias("rec_pos"), "entity")
+    none = F.array()
+    merged = firsts.select("entity", F.concat(F.lit("c"), F.col("entity").cast("string")).alias("candidate_id"), none.cast("array<string>").alias("possible_duplicate_of"), none.cast(f"array<{PROVENANCE}>").alias("provenance"))
+    found = flag_duplicates(merged, assigned, _customer_blocks(spark, sf_dir)[1].filter("conflicting").select("a", "b"))
+    return found.select("entity", F.array_join("possible_duplicate_of", ",").alias("possible_duplicate_of"), F.size("provenance").alias("n_log"))
 
 
 @_register("Q19_current_company", """
@@ -364,9 +388,13 @@ def q24(spark, sf_dir):
 WITH b AS (SELECT l_orderkey, l_linenumber, min(CASE WHEN l_discount >= 0.08 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS bad FROM lineitem)
 SELECT l_orderkey, l_linenumber FROM b WHERE bad IS NULL OR l_linenumber < bad""")
 def q25(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
-    bad = items.filter("l_discount >= 0.08").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("bad"))
-    return items.join(bad, "l_orderkey", "left").filter("bad IS NULL OR l_linenumber < bad").select("l_orderkey", "l_linenumber")
+    """An order is a file, its lines are items; a discount of 0.08 or more makes an item of impossible form."""
+    years = F.when(F.col("l_discount") >= 0.08, F.lit('[1]')).otherwise(F.lit('1'))
+    item = F.concat(F.lit('{"ats_id": "'), F.col("l_linenumber").cast("string"), F.lit('", "years_experience": '), years, F.lit("}"))
+    files = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_discount") < 0.08).alias("good"), item.alias("item")))).alias("items"))
+    files = files.select(F.col("l_orderkey").cast("string").alias("file"), F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]")).alias("text"))
+    part = lambda i: F.get(F.split("source_id", "_ats_"), F.lit(i))
+    return ats_json(files).select(part(0).cast("long").alias("l_orderkey"), part(1).cast("int").alias("l_linenumber"))
 
 
 @_register("Q26_source_union", """
@@ -424,6 +452,75 @@ def q31(spark, sf_dir):
     return rows.groupBy("full_name", F.get("emails", F.lit(0)).alias("email"), F.col("years_experience").alias("years")).agg(F.count("*").alias("n"))
 
 
+def _folder(spark, sf_dir) -> DataFrame:
+    """The files of a folder, made of customers: each has a CSV row, the even ones notes that disagree in title, and every seventh a JSON item."""
+    k, c = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    mail, phone, years = text("c", k.cast("string"), "@example.com"), text("(650) 555-", F.lpad((k % 10000).cast("string"), 4, "0")), (k % 30 + 1).cast("string")
+    row = F.concat_ws(",", "c_name", mail, phone, "c_mktsegment", F.lit("Clerk"), years)
+    rows = c.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    csvs = rows.select(text("n", F.col("c_nationkey").cast("string"), ".CSV").alias("file"), text("name,email,phone,company,title,years_experience\n", F.col("rows")).alias("text"))
+    notes = c.filter(k % 2 == 0).select(text("c", k.cast("string"), ".txt").alias("file"), text("Candidate notes on ", F.col("c_name"), "\nEmail: ", mail, "\nCompany: ", F.col("c_mktsegment"), "\nTitle: Boss\nSkills: Go, Rust\n").alias("text"))
+    items = c.filter(k % 7 == 0).select(text("j", k.cast("string"), ".json").alias("file"), text('{"ats_id": "', k.cast("string"), '", "name": "', F.col("c_name"), '", "email": "', mail, '", "skills": "rust, Excel", "education": [{"institution": "MIT", "degree": "BS", "end_year": ', (k % 20 + 1990).cast("string"), "}], \"location\": \"Rome, IT\"}").alias("text"))
+    odd = c.filter(k % 50 == 0).select(text("x", k.cast("string"), F.when(k % 100 == 0, ".json").otherwise(".md")).alias("file"), F.lit("{").alias("text"))
+    plain = c.filter(k % 11 == 0).select(text("r", k.cast("string"), ".TXT").alias("file"), F.lit("Some words\nof nobody").alias("text"))
+    return csvs.union(notes).union(items).union(odd).union(plain).withColumn("content", F.col("text").cast("binary"))
+
+
+@_register("Q32_detect_kinds", """
+SELECT 'n' || c_nationkey || '.CSV' AS file, 'recruiter_csv' AS source_type FROM customer GROUP BY 1
+UNION ALL SELECT 'c' || c_custkey || '.txt', 'recruiter_notes' FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'j' || c_custkey || '.json', 'ats_json' FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT 'r' || c_custkey || '.TXT', 'resume' FROM customer WHERE c_custkey % 11 = 0
+UNION ALL SELECT 'x' || c_custkey || CASE WHEN c_custkey % 100 = 0 THEN '.json' ELSE '.md' END, NULL FROM customer WHERE c_custkey % 50 = 0""")
+def q32(spark, sf_dir):
+    return detect(_folder(spark, sf_dir)).select("file", "source_type")
+
+
+def _people(spark, sf_dir):
+    """The whole run over the folder's files."""
+    files = detect(_folder(spark, sf_dir)).filter("source_type <> 'resume'")
+    return resolve(read_files(files), F.lit("2026-01-01").cast("date"))
+
+
+#: A value of one source keeps its trust; e-mail, name, company and the skill they share gain 50 for each further source.
+_PEOPLE_SQL = """
+p AS (SELECT c_custkey AS k, c_name, c_mktsegment, c_custkey % 2 = 0 AS noted, c_custkey % 7 = 0 AS listed, c_custkey % 30 + 1 AS years FROM customer),
+f AS (SELECT *, least(1000, 900 + 50 * (CAST(noted AS INT) + CAST(listed AS INT))) AS shared, least(1000, 900 + 50 * CAST(noted AS INT)) AS company FROM p)"""
+
+
+@_register("Q33_resolve_people", f"""
+WITH {_PEOPLE_SQL}
+SELECT c_name AS full_name, 'c' || k || '@example.com' AS emails, '+1650555' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS phones, CAST(years AS DOUBLE) AS years, c_mktsegment AS company, 'Clerk' AS title,
+       CASE WHEN noted AND listed THEN 'excel,go,rust' WHEN noted THEN 'go,rust' WHEN listed THEN 'excel,rust' ELSE '' END AS skills,
+       CASE WHEN listed THEN 'IT' END AS country, CASE WHEN listed THEN 'MIT/BS/' || (k % 20 + 1990) ELSE '' END AS education FROM f""")
+def q33(spark, sf_dir):
+    e, d = F.get("experience", F.lit(0)), F.col("education")
+    return _people(spark, sf_dir).select(
+        "full_name", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), F.col("years_experience").alias("years"), e["company"].alias("company"), e["title"].alias("title"),
+        F.array_join(F.array_sort(F.transform("skills", lambda s: s["name"])), ",").alias("skills"), "location.country",
+        F.array_join(F.transform(d, lambda x: F.concat_ws("/", x["institution"], x["degree"], x["end_year"].cast("string"))), ",").alias("education"),
+    )
+
+
+@_register("Q34_run_log_and_ids", f"""
+WITH {_PEOPLE_SQL}
+SELECT c_name AS full_name, 7 + CASE WHEN noted THEN 6 ELSE 0 END + CASE WHEN listed THEN 8 ELSE 0 END AS n_log, 1 + CAST(noted AS INT) + CAST(listed AS INT) AS n_sources, true AS id_form FROM f""")
+def q34(spark, sf_dir):
+    log = F.size(F.array_distinct(F.transform("provenance", lambda p: p["source_id"]))).alias("n_sources")
+    return _people(spark, sf_dir).select("full_name", F.size("provenance").alias("n_log"), log, F.col("candidate_id").rlike("^cand_[0-9a-f]{32}$").alias("id_form"))
+
+
+@_register("Q35_proposals", """
+SELECT o_orderkey, 'years_experience' AS field, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 3.5 ELSE 2 END AS DOUBLE) AS num, CASE WHEN o_orderkey % 2 = 0 THEN 550 ELSE 440 END AS conf FROM orders""")
+def q35(spark, sf_dir):
+    k = F.col("o_orderkey")
+    work = F.when(k % 2 == 1, F.array(F.struct(F.lit("Acme").alias("company"), F.lit("t").alias("title"), F.lit("2018-01").alias("start"), F.lit("2020-01").alias("end"), F.lit(None).cast("string").alias("summary"))))
+    rows = _records(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", F.lit("recruiter_notes"), years_experience=F.when(k % 2 == 0, 3.5), experience=work)
+    p = proposals(rows, F.lit("2026-01-01").cast("date")).filter("field = 'years_experience'")
+    return p.select(F.col("entity").alias("o_orderkey"), "field", "num", "conf")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -22,6 +22,7 @@ from pyspark.sql import Window
 from profusion.functions import textparse as X
 from profusion.functions.text import first_filled, number, strip
 from profusion.schema import EDUCATION, EXPERIENCE, LINKS, LOCATION
+from profusion.session import written
 
 #: A source record with its place: file and item.
 RECORD = (
@@ -228,19 +229,35 @@ def recruiter_notes(files: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, folder: str, strict_dates: bool = False) -> DataFrame:
     """All source records of a folder; rec_pos follows file name and place in the file."""
-    files = detect(scan(spark, folder))
+    return read_files(detect(scan(spark, folder)), strict_dates)
+
+
+def read_files(files: DataFrame, strict_dates: bool = False) -> DataFrame:
+    """All source records of detected files (file, content, text, source_type)."""
+    return positioned(_found(files, strict_dates), files)
+
+
+def _found(files: DataFrame, strict_dates: bool = False) -> DataFrame:
     of = lambda kind: files.filter(F.col("source_type") == kind)
-    found = recruiter_csv(of("recruiter_csv")).unionByName(ats_json(of("ats_json"))).unionByName(resumes(of("resume"), strict_dates)).unionByName(recruiter_notes(of("recruiter_notes")))
-    return positioned(found)
+    return recruiter_csv(of("recruiter_csv")).unionByName(ats_json(of("ats_json"))).unionByName(resumes(of("resume"), strict_dates)).unionByName(recruiter_notes(of("recruiter_notes")))
+
+
+def without_records(files: DataFrame) -> DataFrame:
+    """file and source_type of the files that are of a known kind but gave no record: damaged, empty or bad from the first item on."""
+    known = detect(files).filter("source_type is not null")
+    return known.join(_found(known).select("file").distinct(), "file", "left_anti").select("file", "source_type")
 
 
-def positioned(found: DataFrame) -> DataFrame:
-    """rec_pos: the files in name order, each file's items in order, without a global sort.
+def positioned(found: DataFrame, files: DataFrame) -> DataFrame:
+    """rec_pos: the files in name order, each file's items in order, without a global sort of records.
 
-    The upper bits number the files (few against their records), the lower 32 the items.
+    The upper bits number the files, the lower 32 the items. The file names alone are sorted, over all tasks: each
+    partition of the sorted names is numbered by itself and begins after those before it. No parser runs for that.
     """
-    names = found.select("file").distinct()
-    numbered = names.select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("file_no"))
+    names = written(files.filter("source_type is not null").select("file").distinct().repartitionByRange("file").sortWithinPartitions("file").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "file-names")
+    sizes = names.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = names.join(F.broadcast(before), "part").select("file", (F.col("before") + F.col("at") + 1).alias("file_no"))
     return found.join(numbered, "file").withColumn("rec_pos", F.col("file_no") * F.lit(1 << 32) + F.col("item")).drop("file_no", "file", "item")
 
 
