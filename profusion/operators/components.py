@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profusion.session import shuffle_partitions, written
+from profusion.session import dropped, shuffle_partitions, written
 
 #: Edges that a task holds at a time.
 CHUNK = 1 << 20
@@ -69,9 +69,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     n = shuffle_partitions(edges.sparkSession)
     now = edges.select(F.greatest("a", "b").cast("long").alias("v"), F.least("a", "b").cast("long").alias("u")).filter("u < v")
+    before: tuple[DataFrame, ...] = ()
     while True:
         forest = written(_trees(_trees(now).repartition(n, "v")), "forest")
         parents = written(forest.groupBy("v").agg(F.min("u").alias("m"), F.max("u").alias("last")), "parents")
+        dropped(*before)
+        before = forest, parents
         if parents.filter("m < last").isEmpty() and forest.join(parents.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             return parents.select(F.col("v").alias("id"), F.col("m").alias("class"))
         now = forest.join(parents.select(F.col("v").alias("u"), "m"), "u", "left").select("v", F.coalesce("m", "u").alias("u"))

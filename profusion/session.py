@@ -20,10 +20,14 @@ def _remove_own() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, read from the session.
 
-    Only where it is unset (tests, a single machine) is a temporary folder made; it goes at exit.
+    Only where it is unset and everything runs in this process (a ``local`` master) is a temporary folder made; it
+    goes at exit. A cluster without the setting is an error: each executor would write to its own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="profusion-")
         if not _own:
             atexit.register(_remove_own)
@@ -36,12 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder, with the writer's options, and read it back.
 
-    Unlike ``localCheckpoint`` the copy survives lost executors, and it keeps column statistics.
+    Unlike ``localCheckpoint`` the copy survives lost executors, and it keeps column statistics. Tables stay until
+    ``dropped`` or ``cleared``, since nobody knows when a result that reads them is used for the last time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/profusion/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/profusion/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path.rpartition("/")[0]
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` has made and that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_to)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all tables that ``written`` has made in this application; results that read them must have been used."""
+    _delete(spark, f"{shared_dir(spark)}/profusion/{spark.sparkContext.applicationId}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

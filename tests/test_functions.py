@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -11,6 +12,7 @@ from profusion.functions import normalize as N
 from profusion.functions import textparse as X
 from profusion.functions.text import clean_name, find_emails, number
 from profusion.operators.components import components
+from profusion.session import shared_dir
 from profusion.sources.files import ats_json, detect, docx_text, recruiter_csv
 
 
@@ -119,3 +121,28 @@ def test_components_of_chains(spark):
     got = {r["id"]: r["class"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and got[110] == got[120] == 100
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_hubs_and_random_graphs(spark):
+    """Stars around the smallest and the largest id, and random edges, in many partitions."""
+    r = random.Random(4)
+    edges = [(0, i) for i in range(1, 400)] + [(2000, i) for i in range(1001, 1400)] + [(r.randrange(3000, 3600), r.randrange(3000, 3600)) for _ in range(350)]
+    up = {x: x for e in edges for x in e}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    got = {x["id"]: x["class"] for x in components(spark.createDataFrame(edges, "a long, b long").repartition(16)).collect()}
+    assert got == {x: top(x) for x in up if top(x) != x}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
