@@ -13,5 +13,5 @@ def test_success_and_failure(spark, tmp_path):
     config.write_text(json.dumps({"include_provenance": False, "include_confidence": False, "on_missing": "omit", "fields": [{"path": "name", "from": "full_name"}, {"path": "phone", "from": "phones[0]"}]}))
     assert cli.main(["--inputs", str(folder), "--config", str(config), "--output", str(out)]) == 0
     rows = json.loads(out.read_text())
-    assert rows[0] == {"name": "Alice Smith", "phone": "+16505550100"} and rows[3] == {"name": "Bob Johnson"}
+    assert rows[0] == {"name": "Mira Okafor", "phone": "+13125550147"} and rows[3] == {"name": "Raj Verma"}
     assert cli.main(["--inputs", str(tmp_path / "none")]) == 1
