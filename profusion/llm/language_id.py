@@ -11,8 +11,8 @@ Two calibrations on labelled documents that were not trained on: a temperature t
 into the probability ``score``, and for each language the highest acceptable cross-entropy, half-way
 between the 99.9 % quantile of its own texts and the entropy of random letters.
 
-Training reads at most about ``SAMPLE_DOCS`` labelled documents per language, chosen by a hash of their
-text; the model is therefore bounded and is broadcast. Every row of the input is predicted.
+Training reads at most ``SAMPLE_DOCS`` and ``CALIBRATION_DOCS`` different labelled texts per language, chosen by a
+hash of the text; the model is therefore bounded and is broadcast. Every row of the input is predicted.
 
 Defined cases: null texts and texts without a letter give ``und``, score 0 and not accepted; documents
 without a label or text are not learned from; no labelled document at all gives ``und`` for every row;
@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from profusion.llm.common import slices, task
@@ -187,18 +187,20 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
-    """Fit on columns text and lang. Reads about ``sample_docs`` texts per language, and as many of
-    ``calibration_docs`` others to calibrate; both are chosen by a hash of the text."""
+    """Fit on columns text and lang. Reads about ``sample_docs`` different texts per language, and about ``calibration_docs``
+    others to calibrate, together never more than the sum; both are chosen by a hash of the text. A repeated text counts once."""
     have = labelled.filter("text is not null and lang is not null").select("text", "lang")
     sizes = {r["lang"]: r["n"] for r in have.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [])
-    share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, (sample_docs + calibration_docs) / sizes[k])))))
+    most = sample_docs + calibration_docs
+    share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, most / sizes[k])))))
     draw = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = have.withColumn("part", draw / share[F.col("lang")]).filter("part < 1")
-    cut = calibration_docs / (sample_docs + calibration_docs)
-    chosen = written(chosen, "language-sample")
+    chosen = have.withColumn("part", draw / share[F.col("lang")]).filter("part < 1").groupBy("lang", "text").agg(F.min("part").alias("part"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("part", "text"))  # some ``most`` texts a language
+    cut = calibration_docs / most
+    chosen = written(chosen.withColumn("place", place).filter(F.col("place") <= most), "language-sample")
     counted = chosen.filter(F.col("part") >= cut).select("lang", "text").mapInPandas(_word_counts, "lang string, word string, n long")
     counts: dict[str, dict[str, int]] = {k: {} for k in langs}
     for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
