@@ -1,6 +1,8 @@
 """Line dedup, near-dedup, decontamination and language ID against plain versions."""
 
+import collections
 import math
+import os
 import random
 
 import numpy as np
@@ -219,6 +221,31 @@ def test_language_of_held_out_documents(spark, languages):
     assert held and all(x["lang_pred"] == x["lang"] and x["accepted"] for x in held)
 
 
+DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="no tables")
+def test_language_of_held_out_rows_of_documents(spark):
+    """Accuracy by language on labelled rows that were not learned from."""
+    docs = spark.read.parquet(DOCUMENTS)
+    got = language_id.predictions(docs).filter("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").filter("lang is not null and lang_pred <> 'und'").collect()
+    right = collections.defaultdict(list)
+    for x in got:
+        right[x["lang"]].append(x["lang_pred"] == x["lang"])
+    assert len(got) > 100 and len(right) >= 4 and all(np.mean(v) >= 0.97 for v in right.values())
+
+
+def test_the_language_sample_is_bounded(spark, languages, monkeypatch):
+    """A text that repeats a thousand times counts once; no more texts than asked for are read."""
+    seen = []
+    real = language_id.written
+    monkeypatch.setattr(language_id, "written", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    many = languages.union(languages.limit(1).crossJoin(spark.range(1000)).select(*languages.columns))
+    language_id.train(many, 20, 10)
+    counts = {x["lang"]: (x["count"], x["texts"]) for x in seen[0].groupBy("lang").agg(language_id.F.count("*").alias("count"), language_id.F.count_distinct("text").alias("texts")).collect()}
+    assert all(n == k <= 30 for n, k in counts.values()) and counts
+
+
 def test_language_edge_cases(spark, languages):
     model = language_id.train(languages)
     r = random.Random(1)
