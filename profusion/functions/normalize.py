@@ -11,7 +11,8 @@ from profusion.functions.text import strip
 
 FAILED = "normalize_failed: "
 
-# Country spellings, skill spellings, calling codes with national number forms, trust.
+# Country spellings, skill spellings, calling codes with national number forms, trust. A code or skill with its
+# spellings is the natural form of the first two; the lookups below need them by spelling.
 COUNTRIES = {
     "US": ["united states", "united states of america", "usa", "us"],
     "GB": ["united kingdom", "uk", "great britain", "gb"],
@@ -43,8 +44,14 @@ SKILLS = {
 CALLING = {
     "1": r"[2-9]\d{2}[2-9]\d{6}", "44": r"[1-37]\d{8,9}", "91": r"[6-9]\d{9}|[1-5]\d{9}", "49": r"[1-9]\d{5,12}", "33": r"[1-9]\d{8}",
     "81": r"[1-9]\d{8,9}", "61": r"[2-478]\d{8}", "65": r"[3689]\d{7}",
+    "7": r"[3489]\d{9}", "27": r"[1-8]\d{8}", "31": r"[1-9]\d{8}", "32": r"[1-9]\d{7,8}", "34": r"[5-9]\d{8}", "41": r"[2-9]\d{8}", "43": r"[1-9]\d{3,12}", "45": r"[2-9]\d{7}", "46": r"[1-9]\d{6,9}", "47": r"[2-9]\d{7}",
+    "48": r"[1-9]\d{8}", "52": r"[1-9]\d{9}", "55": r"[1-9][1-9](?:9\d{8}|[2-5]\d{7})", "82": r"[1-9]\d{7,9}", "86": r"1[3-9]\d{9}|[2-9]\d{8,10}", "351": r"[2-46-9]\d{8}", "353": r"[1-9]\d{6,8}", "852": r"[2-9]\d{7}",
+    "971": r"5\d{8}|[2-9]\d{7}", "972": r"5\d{8}|[2-9]\d{7}",
+}
+REGION_CODE = {
+    "US": "1", "CA": "1", "GB": "44", "IN": "91", "DE": "49", "FR": "33", "JP": "81", "AU": "61", "SG": "65", "RU": "7", "ZA": "27", "NL": "31", "BE": "32", "ES": "34", "CH": "41", "AT": "43", "DK": "45",
+    "SE": "46", "NO": "47", "PL": "48", "MX": "52", "BR": "55", "KR": "82", "CN": "86", "PT": "351", "IE": "353", "HK": "852", "AE": "971", "IL": "972",
 }
-REGION_CODE = {"US": "1", "CA": "1", "GB": "44", "IN": "91", "DE": "49", "FR": "33", "JP": "81", "AU": "61", "SG": "65"}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 #: Confidence in thousandths by source type (rows) and method (columns), rounded as the sum of parts requires.
 METHODS = ["direct_field", "regex_extract", "heuristic_parse", "derived", ""]

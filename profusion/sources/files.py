@@ -8,7 +8,6 @@ A file or item that cannot be read gives no record and never fails the run.
 from __future__ import annotations
 
 import csv
-import importlib.util
 import io
 import zipfile
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ from profusion.functions import textparse as X
 from profusion.functions.text import first_filled, number, strip
 from profusion.schema import EDUCATION, EXPERIENCE, LINKS, LOCATION
 from profusion.session import written
+from profusion.sources.pdftext import pdf_text
 
 #: A source record with its place: file and item.
 RECORD = (
@@ -197,18 +197,6 @@ def docx_text(content: bytes) -> str | None:
         return None
 
 
-def pdf_text(content: bytes) -> str | None:
-    """Text page by page; null if the file is damaged or no PDF reader is installed."""
-    if not importlib.util.find_spec("pypdf"):
-        return None
-    import pypdf
-
-    try:
-        return "".join((page.extract_text() or "") + "\n" for page in pypdf.PdfReader(io.BytesIO(content)).pages)
-    except Exception:  # noqa: BLE001  a reader fails in many ways on damaged bytes; such a file has no text
-        return None
-
-
 def _document_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for files in batches:
         texts = [docx_text(c) if n.lower().endswith(".docx") else pdf_text(c) for n, c in zip(files["file"], files["content"], strict=True)]

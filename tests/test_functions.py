@@ -4,6 +4,7 @@ import io
 import json
 import random
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from profusion.functions import textparse as X
 from profusion.functions.text import clean_name, find_emails, number
 from profusion.operators.components import components
 from profusion.session import shared_dir
-from profusion.sources.files import ats_json, detect, docx_text, recruiter_csv
+from profusion.sources.files import ats_json, detect, docx_text, read_records, recruiter_csv
+from profusion.sources.pdftext import pdf_text
 
 
 def evaluate(spark, values, f, kind="string"):
@@ -30,6 +32,13 @@ def test_phone(spark):
     assert got == [("+16505550100", None), ("+16505550100", None), (None, bad + "ambiguous_region"), (None, None), (None, None), (None, bad + "invalid_format"), ("+442079460958", None), ("+919876543210", None), ("+16505550100", None)]
 
 
+def test_phones_of_further_plans(spark):
+    good = ["+41 44 668 18 00", "+46 8 123 456 78", "+55 11 91234-5678", "+353 1 234 5678", "+34 612 345 678", "+7 912 345-67-89"]
+    assert all(note is None and value == "+" + "".join(filter(str.isdigit, text)) for text, (value, note) in zip(good, pairs(evaluate(spark, good, N.phone)), strict=True))
+    assert all(note for _, note in pairs(evaluate(spark, ["+41 44 668 18", "+34 112 345 678", "+47 123 45 678", "+55 11 1234"], N.phone)))
+    assert pairs(evaluate(spark, ["044 668 18 00"], lambda c: N.phone(c, "CH"))) == [("+41446681800", None)]
+
+
 def test_date(spark):
     got = pairs(evaluate(spark, ["2020-05", "2020", "May 2020", "2020 DEC", "2020/13", "2020-05-17", "Present", "", None], N.date))
     year = "precision: year"
@@ -116,6 +125,43 @@ def test_docx():
     assert docx_text(data.getvalue()) == "one\ntwo\na b\n" and docx_text(b"no") is None
 
 
+def pdf(pages, packed=True, to_unicode=None):
+    """A small PDF: one content stream a page."""
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages))) + b"] /Count %d /Resources << /Font << /F1 3 0 R >> >> >>" % len(pages)]
+    parts.append(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica" + (b" /ToUnicode %d 0 R" % (4 + 2 * len(pages)) if to_unicode else b"") + b" >>")
+
+    def stream(raw):
+        data = zlib.compress(raw) if packed else raw
+        return b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), b" /Filter /FlateDecode" if packed else b"", data)
+
+    for i, raw in enumerate(pages):
+        parts += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (5 + 2 * i), stream(raw)]
+    if to_unicode:
+        parts.append(stream(to_unicode))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, x) for i, x in enumerate(parts, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf(packed):
+    one = b"BT /F1 12 Tf 72 700 Td (Mira \\(M\\) Okafor) Tj 0 -14 Td [(Data) -300 (Engi) 20 (neer)] TJ T* (caf\\351) Tj ET"
+    assert pdf_text(pdf([one, b"BT (two) Tj (<6f6e>) Tj <6f6e> Tj ET"], packed)) == "Mira (M) Okafor\nData Engineer\ncafé\ntwo<6f6e>on\n"
+    codes = b"1 beginbfchar <0001> <0041> endbfchar 1 beginbfrange <0002> <0004> <0062> endbfrange"
+    assert pdf_text(pdf([b"BT /F1 9 Tf <0001000200030004> Tj ET"], packed, codes)) == "Abcd\n"
+
+
+def test_pdf_damage():
+    sound = pdf([b"BT (x) Tj ET"])
+    for bad in (b"", b"%PDF-1.4 cut off", sound[:150], sound.replace(b"FlateDecode", b"LZWDecode"), sound.replace(b"/Root", b"/Encrypt 9 0 R /Root"), sound.replace(zlib.compress(b"BT (x) Tj ET"), b"nonsense")):
+        assert pdf_text(bad) is None
+
+
+def test_pdf_resume(spark, tmp_path):
+    text = b"BT 72 700 Td (Mira Okafor) Tj 0 -14 Td (mira@okafor.dev) Tj 0 -14 Td (6 years of experience with Docker) Tj ET"
+    (tmp_path / "r.pdf").write_bytes(pdf([text]))
+    r = read_records(spark, str(tmp_path)).first()
+    assert (r["full_name"], r["emails"], r["years_experience"], r["skills"], r["source_type"]) == ("Mira Okafor", ["mira@okafor.dev"], 6.0, ["docker"], "resume")
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 120), (120, 110), (7, 7)]
     got = {r["id"]: r["class"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
