@@ -289,6 +289,25 @@ def test_many_spans_in_a_text(spark):
     assert times[1] < 8 * times[0] + 5
 
 
+SF = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables")
+def test_recall_and_precision_on_documents(spark):
+    """Secrets found by a plain pattern that no template of the training phrases has made, against the spans; and what else is marked."""
+    docs = spark.read.parquet(SF)
+    texts = {x["doc_id"]: x["text"] or "" for x in docs.collect()}
+    plain = {i: [m.span() for m in re.finditer(r'\w+ = "[0-9a-f]{32,64}"', t)] for i, t in texts.items()}
+    found, more = 0, []
+    for x in pii.digests(docs).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in x["spans"].split(",") if s)]
+        found += sum(any(a <= i and j <= b for _, a, b in spans) for i, j in plain[x["doc_id"]])
+        more += [texts[x["doc_id"]][a:b] for k, a, b in spans if k not in pii.BASE]
+    total = sum(map(len, plain.values()))
+    assert total > 10 and found == total
+    assert sum(bool(re.search("token|key|secret|password", m)) or sum(map(str.isdigit, m)) >= 7 for m in more) >= 0.95 * len(more)
+
+
 def test_open_generators(spark):
     """No length bounds: names, values, addresses and groups of digits of any length are whole."""
     texts = ["my" + "x" * 50 + "password" + "y" * 50 + "=q1w2e3r4t5", "jo.ann-smith" * 9 + " [at] " + "mail-host" * 12 + " [dot] com", "passwordtoken" * 20_000, "1 2 " * 30_000 + "x", "(a) [at] " * 20_000]
