@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import unicodedata
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", "  ", "\n\n", "one", "ÀÉ 日本 ▁\u0000😀", "word " * 30000]
@@ -74,3 +76,73 @@ def bag_unicode(text):
 
 def sha256(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def letter_runs(text):
+    """Words of letters, lower case."""
+    out = [""]
+    for c in (text or "").lower():
+        if c.isalpha():
+            out[-1] += c
+        elif (c.isdigit() or c.isnumeric() or unicodedata.category(c).startswith("M")) and not re.match(r"[\W\d_]", c):
+            pass  # a sign within a word, such as 2 in superscript
+        elif out[-1]:
+            out.append("")
+    return [w for w in out if w]
+
+
+class SlowKneserNey:
+    """Interpolated Kneser-Ney over the characters of words, by recursion."""
+
+    def __init__(self, words, order, symbols):
+        self.order, self.floor, self.cache = order, 1.0 / (symbols + 2), {}
+        raw = [collections.Counter() for _ in range(order + 2)]
+        for word, times in words.items():
+            marked = f"\2{word}\3"
+            for end in range(2, len(marked) + 1):
+                for n in range(1, min(order, end) + 1):
+                    raw[n][marked[end - n : end]] += times
+        self.counts = [collections.Counter() for _ in range(order + 1)]
+        for n in range(1, order + 1):
+            left = collections.Counter(g[1:] for g in raw[n + 1])
+            for g, c in raw[n].items():
+                self.counts[n][g] = c if n == order or g[0] == "\2" else left[g]
+        self.discount = [0.0]
+        for n in range(1, order + 1):
+            of = collections.Counter(self.counts[n].values())
+            self.discount.append(of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5)
+        self.after = collections.defaultdict(list)
+        for n in range(1, order + 1):
+            for g, c in self.counts[n].items():
+                self.after[g[:-1]].append(c)
+
+    def p(self, context, char):
+        """P of a character after as much of the context as the order allows."""
+        key = context, char
+        if key not in self.cache:
+            lower = self.p(context[1:], char) if context else self.floor
+            n, follow = len(context) + 1, self.after.get(context)
+            if follow:
+                d = self.discount[n]
+                lower = max(self.counts[n][context + char] - d, 0) / sum(follow) + d * len(follow) / sum(follow) * lower
+            self.cache[key] = lower
+        return self.cache[key]
+
+    def bits(self, word):
+        marked = f"\2{word}\3"
+        return -sum(math.log2(max(1e-12, self.p(marked[max(0, i - self.order + 1) : i], marked[i]))) for i in range(1, len(marked)))
+
+
+def slow_languages(sample, texts, order):
+    """For each text its cross-entropy in each language; sample: rows (lang, text) learned from."""
+    words = collections.defaultdict(collections.Counter)
+    for lang, text in sample:
+        words[lang].update(letter_runs(text))
+    symbols = len({c for own in words.values() for w in own for c in w})
+    models = {k: SlowKneserNey(own, order, symbols) for k, own in sorted(words.items())}
+    out = []
+    for text in texts:
+        own = letter_runs(text)
+        n = sum(map(len, own)) + len(own)
+        out.append({k: sum(map(m.bits, own)) / n for k, m in models.items()} if n else {})
+    return out

@@ -224,6 +224,34 @@ def test_language_of_held_out_documents(spark, languages):
 DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
 
 
+def captured(monkeypatch):
+    """The tables that the operator writes while training."""
+    seen, real = [], language_id.written
+    monkeypatch.setattr(language_id, "written", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    return seen
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS.replace("0.01", "0.001")), reason="no tables")
+def test_language_equals_the_slow_way(spark, monkeypatch):
+    """Every row of the smallest table against a recursive model of the same sample: language, cross-entropy, acceptance."""
+    docs = spark.read.parquet(DOCUMENTS.replace("0.01", "0.001"))
+    seen = captured(monkeypatch)
+    model = language_id.train(docs)
+    cut = language_id.CALIBRATION_DOCS / (language_id.SAMPLE_DOCS + language_id.CALIBRATION_DOCS)
+    sample = [(x["lang"], x["text"]) for x in seen[0].filter(language_id.F.col("part") >= cut).collect()]
+    got = language_id.detect(docs.select("doc_id", "text"), model).collect()
+    want = H.slow_languages(sample, [x["text"] for x in got], model.order)
+    limit = dict(zip(model.langs, model.limit, strict=True))
+    assert len(got) >= 200
+    for x, h in zip(got, want, strict=True):
+        if not h:
+            assert (x["lang_pred"], x["accepted"]) == ("und", False)
+            continue
+        best = min(h, key=h.get)
+        assert x["lang_pred"] == best and x["cross_entropy"] == pytest.approx(h[best], rel=1e-4)
+        assert x["accepted"] == (h[best] <= limit[best]) or abs(h[best] - limit[best]) < 1e-3
+
+
 @pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="no tables")
 def test_language_of_held_out_rows_of_documents(spark):
     """Accuracy by language on labelled rows that were not learned from."""
@@ -237,9 +265,7 @@ def test_language_of_held_out_rows_of_documents(spark):
 
 def test_the_language_sample_is_bounded(spark, languages, monkeypatch):
     """A text that repeats a thousand times counts once; no more texts than asked for are read."""
-    seen = []
-    real = language_id.written
-    monkeypatch.setattr(language_id, "written", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    seen = captured(monkeypatch)
     many = languages.union(languages.limit(1).crossJoin(spark.range(1000)).select(*languages.columns))
     language_id.train(many, 20, 10)
     counts = {x["lang"]: (x["count"], x["texts"]) for x in seen[0].groupBy("lang").agg(language_id.F.count("*").alias("count"), language_id.F.count_distinct("text").alias("texts")).collect()}
