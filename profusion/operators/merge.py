@@ -202,6 +202,16 @@ def merge(records: DataFrame, as_of: Column | None = None, default_region: str =
     return out.withColumn("overall_confidence", F.when(F.size("__c") > 0, F.round(mean / 1000, 3)).otherwise(0.0)).drop("__c")
 
 
+def provenance_rows(records: DataFrame, as_of: Column | None = None, default_region: str = "US") -> DataFrame:
+    """The log as a long table, a row per proposal: entity, rec_pos, idx (its order) and the columns of a provenance entry.
+
+    Nothing is gathered, so an entity of any number of records has its log in as many tasks; a country that cannot be read
+    is logged once.
+    """
+    p = proposals(records, F.current_date() if as_of is None else as_of, default_region).filter("field <> ''")
+    return p.select("entity", "rec_pos", "idx", "field", "source_id", "source_type", "method", F.col("json").alias("value"), (F.col("conf") / 1000).alias("confidence"), "note")
+
+
 def flag_duplicates(merged: DataFrame, assigned: DataFrame, flags: DataFrame) -> DataFrame:
     """Lift flagged record pairs to entities: possible_duplicate_of and one provenance row each."""
     at = lambda c: assigned.withColumnsRenamed({"rec_pos": c, "entity": f"e{c}"})

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from profusion.functions.selector import load_config, project, to_json_rows
+from profusion.operators.match import cluster
+from profusion.operators.merge import provenance_rows
 from profusion.plans.pipeline import Options, resolve, run, write_json
 from profusion.schema import RAW
 from profusion.sources.files import read_records, scan, unsupported, without_records
@@ -49,6 +51,17 @@ def test_log(entities):
     assert sorted(json.loads(p["value"]) for p in derived) == [2.3, 3.0]
 
 
+def test_log_as_a_long_table(spark, folder, entities):
+    """The same rows as in the entities, but for flags and the second log of an unreadable country."""
+    as_of = F.lit("2025-03-01").cast("date")
+    records = read_records(spark, folder)
+    assigned, _ = cluster(records)
+    rows = provenance_rows(records.join(assigned, "rec_pos"), as_of).collect()
+    got = collections.Counter((r["entity"], r["field"], r["source_id"], r["value"]) for r in rows)
+    nested = collections.Counter((e["entity"], p["field"], p["source_id"], p["value"]) for e in entities for p in e["provenance"] if p["field"] != "possible_duplicate_of")
+    assert set(got) == set(nested) and sum((nested - got).values()) == 1
+
+
 def test_conflicting_namesakes_are_flagged_not_merged(entities):
     one, two = entities[1], entities[4]
     assert one["possible_duplicate_of"] == [two["candidate_id"]] and two["possible_duplicate_of"] == [one["candidate_id"]]
