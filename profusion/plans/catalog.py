@@ -220,14 +220,19 @@ def q12(spark, sf_dir):
 
 
 _PLACES = ["USA", " uk", "u.k.", "India", "Deutschland", "FR", "ZZ", "zz", "nowhere"]
+_COUNTRY_SQL = "CASE lower(trim(place)) " + " ".join(f"WHEN '{x}' THEN '{code}'" for code, names in N.COUNTRIES.items() for x in names) + " ELSE CASE WHEN regexp_full_match(trim(place), '[A-Z]{2}') THEN trim(place) END END"
 
 
-@_register("Q13_country_normalize", """
-SELECT n_name, CASE n_nationkey % 9 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 3 THEN 'IN' WHEN 4 THEN 'DE' WHEN 5 THEN 'FR' WHEN 6 THEN 'ZZ' END AS value,
-       CASE WHEN n_nationkey % 9 IN (2, 7, 8) THEN 'normalize_failed: unknown_country' END AS note FROM nation""")
+@_register("Q13_country_normalize", f"""
+WITH p AS (
+  SELECT n_name, unnest([n_name, ' ' || lower(n_name), substr(n_name, 1, 2), lower(substr(n_name, 1, 3)), {str(_PLACES)}[n_nationkey % 9 + 1]]) AS place FROM nation),
+v AS (SELECT *, {_COUNTRY_SQL} AS value FROM p)
+SELECT n_name, place, value, CASE WHEN value IS NULL THEN 'normalize_failed: unknown_country' END AS note FROM v""")
 def q13(spark, sf_dir):
-    place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("n_nationkey") % 9 + 1).cast("int"))
-    return table(spark, sf_dir, "nation").select("n_name", N.country(place).alias("r")).select("n_name", "r.value", "r.note")
+    other = F.get(F.array(*map(F.lit, _PLACES)), (F.col("n_nationkey") % 9).cast("int"))
+    name = F.col("n_name")
+    places = F.array(name, F.concat(F.lit(" "), F.lower(name)), F.substring(name, 1, 2), F.lower(F.substring(name, 1, 3)), other)
+    return table(spark, sf_dir, "nation").select("n_name", F.explode(places).alias("place")).select("n_name", "place", N.country(F.col("place")).alias("r")).select("n_name", "place", "r.value", "r.note")
 
 
 @_register("Q14_clean_string", r"""
@@ -405,28 +410,48 @@ def q26(spark, sf_dir):
     return c.unionByName(s)
 
 
-@_register("Q27_skill_scan", """
-SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'javascript,react' WHEN 1 THEN 'c++,git' WHEN 2 THEN 'java' ELSE '' END AS skills FROM part""")
+_ALIASES = [x for names in N.SKILLS.values() for x in names]
+
+
+def _skill_scan_sql() -> str:
+    def found(alias: str) -> str:
+        own = alias.replace(".", r"\.").replace("+", r"\+")
+        return rf"regexp_matches(t, '\b{own}(?:\b|\s|$)')" if alias in ("c++", "node.js") else rf"regexp_matches(t, '(?:\b|_){own}(?:\b|_)')"
+
+    each = ", ".join(f"CASE WHEN {' OR '.join(map(found, names))} THEN '{skill}' END" for skill, names in N.SKILLS.items())
+    n = len(_ALIASES)
+    text = f"lower(p_name || '/' || {_ALIASES}[p_partkey % {n} + 1] || ', ' || upper({_ALIASES}[p_partkey // {n} % {n} + 1]) || CASE p_size % 3 WHEN 0 THEN '_x' WHEN 1 THEN '!' ELSE 'x' END)"
+    return f"WITH p AS (SELECT p_partkey, {text} AS t FROM part) SELECT p_partkey, array_to_string(list_sort(list_filter([{each}], lambda x: x IS NOT NULL)), ',') AS skills FROM p"
+
+
+@_register("Q27_skill_scan", _skill_scan_sql())
 def q27(spark, sf_dir):
-    text = F.element_at(F.array(*map(F.lit, ["React.js here", "cpp, GitHub", "Java!", "React only"])), (F.col("p_size") % 4 + 1).cast("int"))
+    n, k = len(_ALIASES), F.col("p_partkey")
+    alias = lambda i: F.get(F.array(*map(F.lit, _ALIASES)), (i % n).cast("int"))
+    tail = F.when(F.col("p_size") % 3 == 0, "_x").when(F.col("p_size") % 3 == 1, "!").otherwise("x")
+    text = F.concat("p_name", F.lit("/"), alias(k), F.lit(", "), F.upper(alias(F.floor(k / n))), tail)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(N.skills_in(text), ",").alias("skills"))
 
 
 @_register("Q28_notes_parser", """
-SELECT c_custkey, c_name AS full_name, lower(c_mktsegment) || '@example.com' AS emails, c_mktsegment AS company, 'Python,Go' AS skills, CAST(c_nationkey AS DOUBLE) AS years FROM customer""")
+SELECT c_custkey, c_name AS full_name, lower(c_mktsegment) || c_custkey || '@example.com' AS emails, c_mktsegment AS company, 'Python,' || c_mktsegment || ' ' || c_nationkey AS skills, CAST(c_custkey % 45 AS DOUBLE) AS years FROM customer""")
 def q28(spark, sf_dir):
-    text = F.concat(F.lit("Recruiter Notes on "), "c_name", F.lit("\n  EMAIL : "), F.concat(F.lower("c_mktsegment"), F.lit("@example.com, ")), F.lit("\nCurrent Company: "), "c_mktsegment", F.lit("\nSkills: Python, Go,\nYears of Experience: "), F.col("c_nationkey").cast("string"), F.lit(" years\n"))
+    text = F.concat(
+        F.lit("Recruiter Notes on "), "c_name", F.lit("\n  EMAIL : "), F.lower("c_mktsegment"), F.col("c_custkey").cast("string"), F.lit("@example.com, \nCurrent Company: "), "c_mktsegment",
+        F.lit("\nSkills: Python, "), "c_mktsegment", F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(",\nYears of Experience: "), (F.col("c_custkey") % 45).cast("string"), F.lit(" years\n"),
+    )
     c = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")).withColumn("keyed", X.keyed_lines(F.col("text")))
     return c.select("c_custkey", *X.notes(F.col("text"), F.col("keyed"))).select("c_custkey", "full_name", F.array_join("emails", ",").alias("emails"), F.get("experience", F.lit(0))["company"].alias("company"), F.array_join("skills", ",").alias("skills"), F.col("years_experience").alias("years"))
 
 
 @_register("Q29_resume_sections", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m') END AS start_text, 'Engineer' AS title, 'Acme Corp' AS company,
-       CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m') ELSE 'present' END AS end_text, CAST(7.5 AS DOUBLE) AS years FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m') END AS start_text, 'Clerk ' || chr(CAST(65 + o_orderkey % 26 AS INT)) AS title, 'Acme ' || chr(CAST(65 + o_custkey % 26 AS INT)) AS company,
+       CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m') ELSE 'present' END AS end_text, o_orderkey % 40 + CAST(0.5 AS DOUBLE) AS years FROM orders""")
 def q29(spark, sf_dir):
-    month = F.date_format("o_orderdate", "yyyy-MM")
-    block = F.concat(F.lit("Company: Acme Corp\nTitle: Engineer\nDates: "), month, F.lit(" to 2030-01\n7.5+ years of experience"))
-    section = F.concat(F.lit("Work History:\nEngineer at Acme Corp ("), month, F.lit(" - present)\n\n7.5 years experience"))
+    month, years = F.date_format("o_orderdate", "yyyy-MM"), (F.col("o_orderkey") % 40).cast("string")
+    title, company = F.concat(F.lit("Clerk "), F.char(65 + F.col("o_orderkey") % 26)), F.concat(F.lit("Acme "), F.char(65 + F.col("o_custkey") % 26))
+    block = F.concat(F.lit("Company: "), company, F.lit("\nTitle: "), title, F.lit("\nDates: "), month, F.lit(" to 2030-01\n"), years, F.lit(".5+ years of experience"))
+    section = F.concat(F.lit("Work History:\n"), title, F.lit(" at "), company, F.lit(" ("), month, F.lit(" - present)\n\n"), years, F.lit(".5 years experience"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, block).otherwise(section).alias("text"))
     e = F.get(X.resume_experience(F.col("text")), F.lit(0))
     return o.select("o_orderkey", e.alias("e"), X.stated_years(F.col("text")).alias("years")).select("o_orderkey", F.col("e.start").alias("start_text"), "e.title", "e.company", F.col("e.end").alias("end_text"), "years")
