@@ -63,7 +63,10 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def cleared(spark: SparkSession) -> None:
-    """Delete all tables that ``written`` has made in this application; results that read them must have been used."""
+    """Delete all tables that ``written`` has made in this application; results that read them must have been used.
+
+    For the end of an application: executors that start later also fetch from there the files that scoring has sent to all.
+    """
     _delete(spark, f"{shared_dir(spark)}/profusion/{spark.sparkContext.applicationId}")
 
 
