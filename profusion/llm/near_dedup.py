@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profusion.llm.common import NO_ID, fresh, id_or_last, mix, slices, task, token_hashes
@@ -44,8 +44,8 @@ COMPONENTS, ROWS = 128, 4
 LIKELY = 0.6
 #: So that a similarity of exactly the bound counts.
 ROUNDING = 1e-6
-#: Members a copy of a leader's text serves; signatures and multisets in a block; columns of a product.
-LEADER_SHARE, BLOCK, EXACT_BLOCK, COLUMNS = 256, 512, 256, 8192
+#: Members, counted in each bucket, that a copy of a leader's text serves; signatures and multisets in a block; columns of a product.
+LEADER_SHARE, BLOCK, EXACT_BLOCK, COLUMNS = 2048, 512, 256, 8192
 #: The class that stands for all small ones, which share their blocks.
 SHARED = -(1 << 63)
 #: Open groups whose lists of blocks are broadcast.
@@ -162,10 +162,10 @@ def _verify(least: float):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) whose texts are alike enough; n: how many members a bucket of the pair has at most.
+    """Those pairs (a, b) whose texts are alike enough; n: how many members all buckets of a have.
 
-    A leader's text has a copy for every ``LEADER_SHARE`` members of its largest bucket; a member goes to one of as
-    many copies as its own bucket needs. So neither a leader's members nor its text need a join on the leader.
+    A leader's text has a copy for every ``LEADER_SHARE`` of them, and a member goes to one by its hash. All pairs of
+    a leader know n, so no member needs a join on the leader.
     """
     share = lambda n: F.ceil(n / LEADER_SHARE).cast("int")
     leaders = pairs.groupBy("a").agg(share(F.max("n")).alias("copies"))
@@ -299,7 +299,8 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     same = written(nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("filled").alias("filled")), "distinct-texts")
     reps = same.filter("filled").select(F.col("rep").alias("id"), "sig")
     bands = reps.select("id", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(COMPONENTS // ROWS)))).alias("bucket"))
-    buckets = written(bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    buckets = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    buckets = written(buckets.withColumn("n", F.sum("n").over(Window.partitionBy("first"))), "buckets")  # a document leads a bucket for each band at most
     members = written(bands.join(buckets, "bucket"), "bucket-members")
     texts = written(source.join(members.select("id").distinct(), "id", "left_semi"), "candidate-texts")
 
