@@ -45,7 +45,7 @@ LIKELY = 0.6
 #: So that a similarity of exactly the bound counts.
 ROUNDING = 1e-6
 #: Members, counted in each bucket, that a copy of a leader's text serves; signatures and multisets in a block; columns of a product.
-LEADER_SHARE, BLOCK, EXACT_BLOCK, COLUMNS = 2048, 512, 256, 8192
+LEADER_SHARE, BLOCK, EXACT_BLOCK, COLUMNS = 512, 512, 256, 8192
 #: The class that stands for all small ones, which share their blocks.
 SHARED = -(1 << 63)
 #: Open groups whose lists of blocks are broadcast.
