@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +50,11 @@ REGION_CODE = {
     "US": "1", "CA": "1", "GB": "44", "IN": "91", "DE": "49", "FR": "33", "JP": "81", "AU": "61", "SG": "65", "RU": "7", "ZA": "27", "NL": "31", "BE": "32", "ES": "34", "CH": "41", "AT": "43", "DK": "45",
     "SE": "46", "NO": "47", "PL": "48", "MX": "52", "BR": "55", "KR": "82", "CN": "86", "PT": "351", "IE": "353", "HK": "852", "AE": "971", "IL": "972",
 }
+#: The calling codes of E.164 that are assigned to countries and networks.
+CODES = (
+    "1 7 20 27 211-213 216 218 220-229 230-239 240-249 250-258 260-269 290 291 297-299 30-34 36 39 350-359 370-383 385-387 389 40 41 43-49 420 421 423 51-58 500-509 590-599 60-66 670 672-683 685-692 "
+    "81 82 84 86 850 852 853 855 856 870 878 880-883 886 888 90-95 98 960-968 970-977 979 992-996 998"
+)
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 #: Confidence in thousandths by source type (rows) and method (columns), rounded as the sum of parts requires.
 METHODS = ["direct_field", "regex_extract", "heuristic_parse", "derived", ""]
@@ -68,7 +71,20 @@ COUNTRY_OF = {alias: code for code, aliases in COUNTRIES.items() for alias in al
 
 
 def _lookup(table: dict, key: Column) -> Column:
-    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
+    """The table's text for a key, null if it has none; one constant, whatever the table's size."""
+    return F.str_to_map(F.lit("\n".join(f"{a}\t{b}" for a, b in table.items())), F.lit("\n"), F.lit("\t"))[key]
+
+
+def assigned_codes() -> list[str]:
+    """CODES, without its ranges."""
+    return [str(n) for part in CODES.split() for a, _, b in [part.partition("-")] for n in range(int(a), int(b or a) + 1)]
+
+
+def _numbers() -> str:
+    """One pattern of all numbers with a calling code: the groups that match are the code and the national number."""
+    plans = [f"({code}){'' if code == '1' else '0?'}({form})" for code, form in CALLING.items()]
+    rest = "|".join(c for c in assigned_codes() if c not in CALLING)
+    return f"^(?:{'|'.join(plans)}|(?=\\d{{9,14}}$)({rest})(\\d+))$"
 
 
 def _result(value: Column | None, note: Column | str | None) -> Column:
@@ -78,24 +94,21 @@ def _result(value: Column | None, note: Column | str | None) -> Column:
 def phone(c: Column, default_region: str = "US") -> Column:
     """E.164 form of a phone number. Numbers without + are read in the default region.
 
-    Known number plans are those of CALLING; other calling codes need 7 to 12 national digits.
+    Known number plans are those of CALLING; other assigned calling codes need 9 to 14 digits in all, unassigned ones fail.
     """
     plus = strip(c).startswith("+")
     digits = F.regexp_replace(c, r"(?U)[^\d]", "")
     home = REGION_CODE[default_region]
-
-    def plan(code: str, national: Column) -> Column:
-        bare = F.regexp_replace(national, "^0", "") if code != "1" else national
-        return F.when(bare.rlike(f"^(?:{CALLING[code]})$"), F.concat(F.lit(f"+{code}"), bare))
-
-    abroad = reduce(lambda rest, code: F.when(digits.startswith(code), plan(code, F.substring(digits, len(code) + 1, 20))).otherwise(rest), CALLING, F.when(digits.rlike(r"^[2-9]\d{8,13}$"), F.concat(F.lit("+"), digits)))
-    at_home = F.coalesce(plan(home, digits), F.when(digits.startswith(home), plan(home, F.substring(digits, len(home) + 1, 20))))
-    got = F.when(plus, abroad).otherwise(at_home)
+    zero = "" if home == "1" else "0?"
+    own, every = f"^(?:{zero}({CALLING[home]})|{home}{zero}({CALLING[home]}))$", _numbers()
+    groups = "".join(f"${i + 1}" for i in range(2 * len(CALLING) + 2))  # those of other plans are empty
+    got = F.when(plus & digits.rlike(every), F.concat(F.lit("+"), F.regexp_replace(digits, every, groups))).when(~plus & digits.rlike(own), F.concat(F.lit(f"+{home}"), F.regexp_replace(digits, own, "$1$2")))
+    known = digits.rlike(f"^(?:{'|'.join(assigned_codes())})")
     return (
         F.when(c.isNull() | (c == ""), _result(None, None))
         .when(~c.rlike(r"(?U)[\d+]"), _result(None, FAILED + "invalid_format"))
         .when(got.isNotNull(), _result(got, None))
-        .otherwise(_result(None, FAILED + "ambiguous_region"))
+        .otherwise(_result(None, F.when(plus & ~known, FAILED + "unknown_calling_code").otherwise(FAILED + "ambiguous_region")))
     )
 
 
@@ -104,7 +117,9 @@ def date(c: Column) -> Column:
     t = strip(c)
     year = F.regexp_extract(t, r"\b((?:19|20)\d{2})\b", 1)
     low = F.lower(t)
-    month = F.coalesce(*(F.when(F.contains(low, F.lit(m)), F.lit(f"{i:02d}")) for i, m in enumerate(MONTHS, 1)))
+    months = F.split(F.lit(" ".join(MONTHS)), " ")
+    month = F.get(F.filter(months, lambda m: F.contains(low, m)), F.lit(0))  # the first of the year that occurs
+    month = F.lpad(F.array_position(months, month).cast("string"), 2, "0")
     return (
         F.when(c.isNull() | (c == ""), _result(None, None))
         .when(t.rlike(r"^\d{4}$"), _result(F.concat(t, F.lit("-01")), "precision: year"))
@@ -128,15 +143,14 @@ def skill(c: Column) -> Column:
 
 def skills_in(text: Column) -> Column:
     """Sorted canonical skills whose spellings occur as words in a free text."""
+    # A search at each place, for any spelling that begins there: spellings that begin alike are of one skill.
+    quoted = lambda a: a.replace(".", r"\.").replace("+", r"\+")
+    special = ["c++", "node.js"]  # their ends are no ends of words
+    plain = "|".join(quoted(a) for a in SKILL_OF if a not in special)
     low = F.lower(text)
-
-    def pattern(alias: str) -> str:
-        if alias in ("c++", "node.js"):
-            return rf"(?U)\b{alias.replace('+', chr(92) + '+').replace('.', chr(92) + '.')}(?:\b|\s|$)"
-        return rf"(?U)(?:\b|_){alias.replace('.', chr(92) + '.').replace('+', chr(92) + '+')}(?:\b|_)"
-
-    hits = [F.when(reduce(lambda a, b: a | b, (low.rlike(pattern(a)) for a in aliases)), F.lit(name)) for name, aliases in SKILLS.items()]
-    return F.array_sort(F.array_compact(F.array(*hits)))
+    all_ = lambda pattern: F.regexp_extract_all(low, F.lit(f"(?U)(?={pattern})"), F.lit(1))
+    found = F.concat(all_(rf"(?:\b|_)({plain})(?:\b|_)"), all_(rf"\b({'|'.join(map(quoted, special))})(?:\b|\s|$)"))
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(found), lambda a: _lookup(SKILL_OF, a))))
 
 
 def years_between(start: Column, end: Column, as_of: Column) -> Column:
@@ -159,4 +173,4 @@ def trust(source_type: Column, method: Column) -> Column:
     table = {f"{s}|{m}": v for s, row in TRUST.items() for m, v in zip(METHODS, row, strict=True)}
     kind = F.when(source_type.isin(*filter(None, TRUST)), source_type).otherwise("")
     how = F.when(method.isin(*filter(None, METHODS)), method).otherwise("")
-    return _lookup(table, F.concat_ws("|", kind, how))
+    return _lookup(table, F.concat_ws("|", kind, how)).cast("int")

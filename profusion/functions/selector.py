@@ -85,6 +85,13 @@ class OutputConfig:
     on_missing: str = "null"
 
 
+def needs(config: OutputConfig) -> tuple[set[str] | None, bool]:
+    """The canonical fields that a configuration puts out (None: all, as the overall confidence takes all), and whether it needs the log."""
+    bases = {parse_path(f.source).base for f in config.fields}
+    every = config.include_confidence or "overall_confidence" in bases
+    return None if every else bases, config.include_provenance or "provenance" in bases
+
+
 def load_config(data: dict | str | None = None) -> OutputConfig:
     """A checked configuration from a dict or JSON text; without fields, the default ones."""
     data = json.loads(data) if isinstance(data, str) else data or {}

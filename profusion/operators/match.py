@@ -1,8 +1,13 @@
 """Matching: shared e-mails and phones, and guarded agreement of name and company.
 
-Shared keys make stars, by one aggregation each, not joins. Records of one name and company are first
-collapsed by their sets of e-mails and phones; only distinct sets are compared, and a pair whose e-mails
-or phones are both known and disjoint is flagged instead of linked.
+Shared keys make stars, by one aggregation each, not joins. Two records of one name and company (a block) are linked unless their
+e-mails, or their phones, are both known and disjoint; then they are flagged instead.
+
+Neither needs pairs. Which links a block adds depends only on what its records lack: two records that both know e-mails, or both
+phones, and are not in conflict share one, so the stars have linked them already. What is left are records that know neither,
+which link with all, and those that know only e-mails, which link with those that know only phones. That is a star or two.
+And every pair of a block is linked or flagged; so two entities are possible duplicates exactly if they meet in a block. The flags are
+kept as rows (block, entity), as many as there are records at most, and are expanded only where a list is asked for.
 """
 
 from __future__ import annotations
@@ -42,8 +47,32 @@ def conflict(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
 
 
+def block_links(keys: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect, together with those of shared keys, all records of a block that are not in conflict."""
+    blocks = keys.filter("name <> '' AND company <> ''").select("rec_pos", "name", "company", (F.size("emails") > 0).alias("mailed"), (F.size("phones") > 0).alias("phoned"))
+    mailed, phoned, p = F.col("mailed"), F.col("phoned"), F.col("rec_pos")
+    tops = blocks.groupBy("name", "company").agg(
+        F.min(F.when(~mailed & ~phoned, p)).alias("bare"), F.min(F.when(mailed & ~phoned, p)).alias("mail"), F.min(F.when(~mailed & phoned, p)).alias("phone"), F.count("*").alias("n"),
+    )
+    tops = written(tops.filter("n > 1 AND (bare IS NOT NULL OR mail IS NOT NULL AND phone IS NOT NULL)").drop("n"), "block-tops")  # so that Spark can split the rows of a hot block
+    other = F.when(~mailed & phoned, F.col("mail")).when(mailed & ~phoned, F.col("phone"))
+    edges = blocks.join(tops, ["name", "company"]).select(F.explode(F.array("bare", other)).alias("a"), p.alias("b"))
+    return edges.filter("a <> b")
+
+
+def duplicate_groups(keys: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Entities that are possible duplicates of each other: name and company (of the block), entity, n (entities of the block), for
+    blocks of several."""
+    blocks = keys.filter("name <> '' AND company <> ''").select("rec_pos", "name", "company")
+    members = blocks.join(assigned, "rec_pos").select("name", "company", "entity").distinct()
+    members = written(members, "block-members")
+    several = written(members.groupBy("name", "company").agg(F.count("*").alias("n")).filter("n > 1"), "shared-blocks")
+    return members.join(several, ["name", "company"])
+
+
 def blocked_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges inside equal sets of keys, and pairs (a, b, conflicting) of distinct sets within a block."""
+    """Edges inside equal sets of keys, and pairs (a, b, conflicting) of distinct sets within a block: a report of all pairs, for
+    blocks of which all pairs are wanted. Clustering does without."""
     blocks = keys.filter("name <> '' AND company <> ''")
     same = written(blocks.groupBy("name", "company", "emails", "phones").agg(F.min("rec_pos").alias("a")), "distinct-keys")
     inside = blocks.join(same, ["name", "company", "emails", "phones"]).select("a", F.col("rec_pos").alias("b")).filter("a <> b")
@@ -54,12 +83,10 @@ def blocked_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cluster(records: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """(rec_pos, entity) for each record, entity being the smallest rec_pos of its cluster; flagged pairs (a, b)."""
+    """(rec_pos, entity) for each record, entity being the smallest rec_pos of its cluster; and its ``duplicate_groups``."""
     keys = written(match_keys(records, **options), "match-keys")
     by = lambda c: star_edges(keys.select("rec_pos", F.explode(c).alias("key")), "key")
-    inside, pairs = blocked_pairs(keys)
-    pairs = written(pairs, "blocked-pairs")
-    edges = by("emails").union(by("phones")).union(inside).union(pairs.filter("NOT conflicting").select("a", "b"))
-    entity = components(edges).withColumnsRenamed({"id": "rec_pos", "class": "entity"})
+    entity = components(by("emails").union(by("phones")).union(block_links(keys))).withColumnsRenamed({"id": "rec_pos", "class": "entity"})
     assigned = keys.select("rec_pos").join(entity, "rec_pos", "left").select("rec_pos", F.coalesce("entity", "rec_pos").alias("entity"))
-    return assigned, pairs.filter("conflicting").select("a", "b")
+    assigned = written(assigned, "assigned")
+    return assigned, duplicate_groups(keys, assigned)

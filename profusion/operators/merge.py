@@ -3,6 +3,11 @@
 Each record proposes values for fields. Values are aggregated (confidence of the most trusted source plus
 0.05 per further agreeing source, 1 at most), then fields (the value of highest confidence, the first
 proposed among equals), then entities. Confidences are integers in thousandths until the end.
+
+There are two ways. With the log, each value carries the proposals made for it, and the entity's row holds them all. Without it
+(``log=False``) values are first aggregated by source, so that no list grows with the records of an entity: a winner per field, the
+distinct values of those fields that keep all, and the sources of skills are all that is gathered. The log is then a table of its
+own (``provenance_rows``). Only the fields asked for are proposed.
 """
 
 from __future__ import annotations
@@ -12,7 +17,11 @@ from pyspark.sql import functions as F
 
 from profusion.functions import normalize as N
 from profusion.functions.text import clean_name, email_key, strip
+from profusion.session import written
 
+#: Output fields that records propose values for, and those of them that keep all values.
+PROPOSED = ["full_name", "headline", "years_experience", "location", "emails", "phones", "links", "skills", "experience", "education"]
+LISTS = ["emails", "phones", "links.other", "skills"]
 #: Order of the fields in the provenance log.
 FIELDS = [
     "full_name", "headline", "years_experience", "location.city", "location.region", "location.country", "emails", "phones",
@@ -54,8 +63,11 @@ def _each(values: Column, proposal, kind: str = "array<string>") -> Column:
     return F.transform(F.coalesce(values, F.array().cast(kind)), proposal)
 
 
-def proposals(records: DataFrame, as_of: Column, default_region: str = "US") -> DataFrame:
-    """Rows entity, rec_pos, idx, source_id, source_type, method and the proposal's fields. ``records`` has a column entity."""
+def proposals(records: DataFrame, as_of: Column, default_region: str = "US", fields: set[str] | None = None) -> DataFrame:
+    """Rows entity, rec_pos, idx, source_id, source_type, method and the proposal's fields. ``records`` has a column entity.
+
+    Of ``PROPOSED`` only ``fields`` are proposed, all if that is None; besides, each record proposes its source, for the field ''.
+    """
     conf, derived = N.trust(F.col("source_type"), F.col("method")), N.trust(F.col("source_type"), F.lit("derived"))
     col = F.col
 
@@ -93,21 +105,25 @@ def proposals(records: DataFrame, as_of: Column, default_region: str = "US") ->
         return F.when(grp != "\u0001", parts).otherwise(F.array().cast(f"array<{_PROPOSAL}>"))
 
     country = col("location.country")
-    every = F.concat(
-        F.array(_proposal("", col("source_id"), conf)),
-        _if(F.coalesce(strip(col("full_name")) != "", F.lit(False)), _proposal("full_name", strip(col("full_name")), conf)),
-        plain("headline", col("headline")),
-        _if(col("years_experience").isNotNull(), years(col("years_experience"), conf)), _if(computed > 0, years(computed, derived)),
-        plain("location.city", col("location.city")), plain("location.region", col("location.region")),
-        _if(_filled(country), coded("location.country", country, N.country(country))),
-        _each(F.filter(F.coalesce("emails", F.array().cast("array<string>")), not_blank), lambda x: _proposal("emails", email_key(x), conf, json=json_text(x))),
-        _each(F.filter(F.coalesce("phones", F.array().cast("array<string>")), not_blank), lambda x: coded("phones", x, N.phone(x, default_region))),
-        plain("links.linkedin", col("links.linkedin")), plain("links.github", col("links.github")), plain("links.portfolio", col("links.portfolio")),
-        _each(F.filter(F.coalesce(col("links.other"), F.array().cast("array<string>")), _filled), lambda x: _proposal("links.other", strip(x), conf)),
-        _each(F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: _proposal("skills", N.skill(x), conf)),
-        F.flatten(F.transform(F.coalesce("experience", F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>")), experience)),
-        F.flatten(F.transform(F.coalesce("education", F.array().cast("array<struct<institution:string,degree:string,field:string,end_year:int>>")), education)),
-    )
+    parts = {
+        "full_name": [_if(F.coalesce(strip(col("full_name")) != "", F.lit(False)), _proposal("full_name", strip(col("full_name")), conf))],
+        "headline": [plain("headline", col("headline"))],
+        "years_experience": [_if(col("years_experience").isNotNull(), years(col("years_experience"), conf)), _if(computed > 0, years(computed, derived))],
+        "location": [
+            plain("location.city", col("location.city")), plain("location.region", col("location.region")), _if(_filled(country), coded("location.country", country, N.country(country))),
+        ],
+        "emails": [_each(F.filter(F.coalesce("emails", F.array().cast("array<string>")), not_blank), lambda x: _proposal("emails", email_key(x), conf, json=json_text(x)))],
+        "phones": [_each(F.filter(F.coalesce("phones", F.array().cast("array<string>")), not_blank), lambda x: coded("phones", x, N.phone(x, default_region)))],
+        "links": [
+            plain("links.linkedin", col("links.linkedin")), plain("links.github", col("links.github")), plain("links.portfolio", col("links.portfolio")),
+            _each(F.filter(F.coalesce(col("links.other"), F.array().cast("array<string>")), _filled), lambda x: _proposal("links.other", strip(x), conf)),
+        ],
+        "skills": [_each(F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: _proposal("skills", N.skill(x), conf))],
+        "experience": [F.flatten(F.transform(F.coalesce("experience", F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>")), experience))],
+        "education": [F.flatten(F.transform(F.coalesce("education", F.array().cast("array<struct<institution:string,degree:string,field:string,end_year:int>>")), education))],
+    }
+    wanted = [part for name in PROPOSED if fields is None or name in fields for part in parts[name]]
+    every = F.concat(F.array(_proposal("", col("source_id"), conf)), *wanted)
     return records.select("entity", "rec_pos", "source_id", "source_type", "method", F.posexplode(every).alias("idx", "p")).select("entity", "rec_pos", "idx", "source_id", "source_type", "method", "p.*")
 
 
@@ -131,21 +147,46 @@ def field_groups(v: DataFrame) -> DataFrame:
     return v.groupBy("entity", "field", "grp").agg(
         F.max_by(F.struct("value", "num"), rank).alias("win"), F.max(F.when(~F.col("failed"), F.col("conf"))).alias("conf"), F.min("first").alias("first"),
         F.max_by("entry", rank).alias("entry"), F.array_sort(F.collect_list(F.struct("first", "value", "conf", "sources", "failed", "log"))).alias("vals"),
+        _id_of(F.col("value")).alias("id"),
+    )
+
+
+def lean_groups(p: DataFrame) -> DataFrame:
+    """``field_groups`` without logs: values are aggregated by source first, and only fields of ``LISTS`` keep their values."""
+    key = ["entity", "field", "grp", "value", "failed"]
+    rank = F.struct("conf", -F.col("rec_pos"), -F.col("idx"))
+    by_source = p.groupBy(*key, "source_id").agg(F.max("conf").alias("conf"), F.max("num").alias("num"), F.min(F.struct("rec_pos", "idx")).alias("first"), F.max(F.struct(rank.alias("rank"), "entry")).alias("top"))
+    v = by_source.groupBy(*key).agg(
+        corroborated(F.max("conf"), F.count("*")).alias("conf"), F.array_sort(F.collect_list(F.when(F.col("field") == "skills", F.col("source_id")))).alias("sources"), F.max("num").alias("num"),
+        F.min("first").alias("first"), F.max("top")["entry"].alias("entry"),
     )
+    won = F.when(~F.col("failed"), F.struct("conf", -F.col("first.rec_pos"), -F.col("first.idx")))
+    kept = F.when(F.col("field").isin(*LISTS), F.struct("first", "value", "conf", "sources", "failed"))
+    return v.groupBy("entity", "field", "grp").agg(
+        F.max_by(F.struct("value", "num"), won).alias("win"), F.max(F.when(~F.col("failed"), F.col("conf"))).alias("conf"), F.min("first").alias("first"),
+        F.max_by("entry", won).alias("entry"), F.array_sort(F.collect_list(kept)).alias("vals"), _id_of(F.col("value")).alias("id"),
+    )
+
+
+def _id_of(values: Column) -> Column:
+    """An id of a set of texts, whatever their order: two sums without carry of hashes, in hexadecimal digits."""
+    return F.concat(*(F.lpad(F.lower(F.hex(F.bit_xor(F.xxhash64(values, F.lit(seed))))), 16, "0") for seed in (1, 2)))
 
 
-def merge(records: DataFrame, as_of: Column | None = None, default_region: str = "US", strict_compat: bool = True) -> DataFrame:
+def merge(records: DataFrame, as_of: Column | None = None, default_region: str = "US", strict_compat: bool = True, fields: set[str] | None = None, log: bool = True) -> DataFrame:
     """One row per entity: column entity, then those of the canonical schema, possible_duplicate_of being empty.
 
-    ``strict_compat`` logs an unreadable country twice per proposal, as the original behaviour has it.
+    ``strict_compat`` logs an unreadable country twice per proposal, as the original behaviour has it. Only ``fields`` are
+    merged, all if that is None (the overall confidence then is that of these fields); without ``log``, provenance is empty.
     """
     as_of = F.current_date() if as_of is None else as_of
-    fields = field_groups(value_groups(proposals(records, as_of, default_region)))
-    whole = fields.groupBy("entity").agg(F.collect_list(F.struct("field", "grp", "win", "conf", "first", "entry", "vals")).alias("items"))
-    items = F.col("items")
+    p = proposals(records, as_of, default_region, fields)
+    fields = field_groups(value_groups(p)) if log else lean_groups(p)
+    whole = fields.groupBy("entity").agg(F.max(F.when(F.col("field") == "", F.col("id"))).alias("__id"), F.collect_list(F.when(F.col("field") != "", F.struct("field", "grp", "win", "conf", "first", "entry", "vals"))).alias("items"))
+    items, vals = F.col("items"), fields.schema["vals"].dataType
     of = lambda f: F.get(F.filter(items, lambda x: x["field"] == f), F.lit(0))
     within = lambda f, g: F.get(F.filter(items, lambda x: (x["field"] == f) & (x["grp"] == g)), F.lit(0))
-    good = lambda f: F.filter(F.coalesce(of(f)["vals"], F.array().cast(fields.schema["vals"].dataType)), lambda v: ~v["failed"])
+    good = lambda f: F.filter(F.coalesce(of(f)["vals"], F.array().cast(vals)), lambda v: ~v["failed"])
     groups = lambda f: F.transform(F.array_sort(F.transform(F.filter(items, lambda x: x["field"] == f), lambda x: F.struct(x["first"].alias("first"), x["grp"].alias("grp"), x["conf"].alias("conf"), x["entry"].alias("entry")))), lambda x: x)
     whole = whole.withColumns({"exp": groups("experience"), "edu": groups("education")})
     values = lambda f: F.transform(good(f), lambda v: v["value"])
@@ -176,7 +217,7 @@ def merge(records: DataFrame, as_of: Column | None = None, default_region: str =
     none = F.array().cast("array<struct<field:string,source_id:string,source_type:string,method:string,value:string,confidence:double,note:string>>")
     logged = lambda item, twice=False: F.when(item.isNotNull(), entries(item, twice)).otherwise(none)
     by_group = lambda c, names: F.flatten(F.transform(F.col(c), lambda g: F.concat(*(logged(within(f, g["grp"])) for f in names))))
-    provenance = F.concat(
+    provenance = none if not log else F.concat(
         *(logged(of(f), twice=strict_compat and f == "location.country") for f in FIELDS),
         by_group("exp", EXPERIENCE_FIELDS), by_group("edu", EDUCATION_FIELDS),
     )
@@ -187,9 +228,8 @@ def merge(records: DataFrame, as_of: Column | None = None, default_region: str =
         *map(single, ["full_name", "location.city", "location.region", "location.country", "headline", "years_experience"]), *map(confs, ["emails", "phones", "skills"]),
         F.transform("exp", lambda g: g["conf"]), F.transform("edu", lambda g: g["conf"]),
     )
-    ids = F.array_sort(F.transform(of("")["vals"], lambda v: v["value"]))
     out = whole.select(
-        "entity", F.concat(F.lit("cand_"), F.substring(F.sha2(F.array_join(ids, "\u0001"), 256), 1, 32)).alias("candidate_id"), win("full_name").alias("full_name"),
+        "entity", F.concat(F.lit("cand_"), F.col("__id")).alias("candidate_id"), win("full_name").alias("full_name"),
         values("emails").alias("emails"), values("phones").alias("phones"),
         F.when(city.isNotNull() | region.isNotNull() | country.isNotNull(), F.struct(city.alias("city"), region.alias("region"), country.alias("country"))).alias("location"),
         F.struct(*(win(f"links.{k}").alias(k) for k in ("linkedin", "github", "portfolio")), values("links.other").alias("other")).alias("links"),
@@ -212,13 +252,8 @@ def provenance_rows(records: DataFrame, as_of: Column | None = None, default_reg
     return p.select("entity", "rec_pos", "idx", "field", "source_id", "source_type", "method", F.col("json").alias("value"), (F.col("conf") / 1000).alias("confidence"), "note")
 
 
-def flag_duplicates(merged: DataFrame, assigned: DataFrame, flags: DataFrame) -> DataFrame:
-    """Lift flagged record pairs to entities: possible_duplicate_of and one provenance row each."""
-    at = lambda c: assigned.withColumnsRenamed({"rec_pos": c, "entity": f"e{c}"})
-    pairs = flags.join(at("a"), "a").join(at("b"), "b").filter("ea <> eb").select("ea", "eb")
-    both = pairs.union(pairs.select("eb", "ea")).distinct()
-    names = merged.select(F.col("entity").alias("eb"), "candidate_id")
-    listed = both.join(names, "eb").groupBy("ea").agg(F.array_sort(F.collect_set("candidate_id")).alias("__dup")).withColumnRenamed("ea", "entity")
+def _flagged(merged: DataFrame, listed: DataFrame) -> DataFrame:
+    """``merged`` with the lists of ``listed`` (entity, __dup) as possible duplicates, and one provenance row each."""
     row = F.struct(
         F.lit("possible_duplicate_of").alias("field"), F.lit(None).cast("string").alias("source_id"), F.lit("system").alias("source_type"), F.lit("fuzzy_name_company_match").alias("method"),
         json_text(F.col("__dup")).alias("value"), F.lit(0.4).alias("confidence"), F.lit("matched_via: fuzzy_name_company").alias("note"),
@@ -227,3 +262,21 @@ def flag_duplicates(merged: DataFrame, assigned: DataFrame, flags: DataFrame) ->
     return found.withColumns({
         "possible_duplicate_of": F.coalesce("__dup", "possible_duplicate_of"), "provenance": F.when(F.col("__dup").isNotNull(), F.concat("provenance", F.array(row))).otherwise(F.col("provenance")),
     }).drop("__dup")
+
+
+def flag_duplicates(merged: DataFrame, assigned: DataFrame, flags: DataFrame) -> DataFrame:
+    """Lift flagged record pairs to entities: possible_duplicate_of and one provenance row each."""
+    at = lambda c: assigned.withColumnsRenamed({"rec_pos": c, "entity": f"e{c}"})
+    pairs = flags.join(at("a"), "a").join(at("b"), "b").filter("ea <> eb").select("ea", "eb")
+    both = pairs.union(pairs.select("eb", "ea")).distinct()
+    names = merged.select(F.col("entity").alias("eb"), "candidate_id")
+    return _flagged(merged, both.join(names, "eb").groupBy("ea").agg(F.array_sort(F.collect_set("candidate_id")).alias("__dup")).withColumnRenamed("ea", "entity"))
+
+
+def flag_groups(merged: DataFrame, groups: DataFrame) -> DataFrame:
+    """Expand groups of possible duplicates (``match.duplicate_groups``) to a list per entity: the ids of a group are gathered once
+    and go to its members as one list. The lists are what is long, m ids for each of m members; nothing else is."""
+    named = written(groups.join(merged.select("entity", "candidate_id"), "entity"), "group-members")
+    ids = written(named.groupBy("name", "company").agg(F.collect_list("candidate_id").alias("ids")), "group-ids")
+    lists = named.join(ids, ["name", "company"]).groupBy("entity", "candidate_id").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    return _flagged(merged, lists.select("entity", F.array_sort(F.array_remove(F.array_distinct("ids"), F.col("candidate_id"))).alias("__dup")))

@@ -194,13 +194,15 @@ def _phone_sql() -> str:
         bare = national if code == "1" else f"regexp_replace({national}, '^0', '')"
         return f"CASE WHEN regexp_full_match({bare}, '{N.CALLING[code]}') THEN '+{code}' || {bare} END"
 
-    abroad = "CASE " + " ".join(f"WHEN starts_with(d, '{c}') THEN {plan(c, f'substr(d, {len(c) + 1})')}" for c in reversed(N.CALLING)) + r" WHEN regexp_full_match(d, '[2-9]\d{8,13}') THEN '+' || d END"
+    known = f"(?:{'|'.join(N.assigned_codes())})[0-9]+"
+    abroad = "CASE " + " ".join(f"WHEN starts_with(d, '{c}') THEN {plan(c, f'substr(d, {len(c) + 1})')}" for c in reversed(N.CALLING)) + rf" WHEN regexp_full_match(d, '{known}') AND length(d) BETWEEN 9 AND 14 THEN '+' || d END"
     home = f"coalesce({plan('1', 'd')}, CASE WHEN starts_with(d, '1') THEN {plan('1', 'substr(d, 2)')} END)"
     return f"""
 WITH p AS (SELECT DISTINCT trim(x) AS phone FROM (SELECT unnest({_PHONE_SQL}) AS x FROM documents)),
 d AS (SELECT phone, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM p),
-v AS (SELECT phone, CASE WHEN starts_with(phone, '+') THEN {abroad} ELSE {home} END AS value FROM d)
-SELECT phone, value, CASE WHEN value IS NULL THEN 'normalize_failed: ambiguous_region' END AS note FROM v"""
+v AS (SELECT phone, d, CASE WHEN starts_with(phone, '+') THEN {abroad} ELSE {home} END AS value FROM d)
+SELECT phone, value, CASE WHEN value IS NOT NULL THEN NULL WHEN starts_with(phone, '+') AND NOT regexp_matches(d, '^(?:{'|'.join(N.assigned_codes())})') THEN 'normalize_failed: unknown_calling_code'
+  ELSE 'normalize_failed: ambiguous_region' END AS note FROM v"""
 
 
 @_register("Q11_phone_normalize", _phone_sql())

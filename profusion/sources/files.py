@@ -1,16 +1,22 @@
 """File sources: a folder of CSV exports, JSON exports, resumes and notes becomes source records.
 
-Files are read whole by Spark's ``binaryFile`` source, so any store Spark reads will do. Detection and
-parsing are Column expressions; Python workers only see what needs them: CSV dialects, DOCX and PDF.
-A file or item that cannot be read gives no record and never fails the run.
+All reading goes through Spark's sources, so any store Spark reads will do. CSV and JSON files of any size are cut in many
+tasks (``splits``); documents and notes are read whole. Detection and parsing are Column expressions; Python workers only see what
+needs them: CSV dialects, cuts, DOCX and PDF.
+
+A file or item that cannot be read gives no record and never fails the run. Parsers give rows that are records or errors;
+``read_folder`` writes them once and parts them, so the table of errors (file, item, source_type, reason) costs no second parse.
+Files can also be rows of a table (file, content, text); then each is parsed by one task.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,8 +28,11 @@ from profusion.functions import textparse as X
 from profusion.functions.text import first_filled, number, strip
 from profusion.schema import EDUCATION, EXPERIENCE, LINKS, LOCATION
 from profusion.session import written
+from profusion.sources import splits
 from profusion.sources.pdftext import pdf_text
 
+csv.field_size_limit(sys.maxsize)
+
 #: A source record with its place: file and item.
 RECORD = (
     f"file string, item long, source_id string, source_type string, method string, full_name string, emails array<string>, phones array<string>, location {LOCATION}, links {LINKS}, "
@@ -39,13 +48,27 @@ CSV_COLUMNS = {
     "years": ["years_experience", "experience_years"],
 }
 NOTE_HEADS = ["recruiter notes", "candidate notes", "notes on candidate"]
+CSV_COLUMN_NAMES = [c for columns in CSV_COLUMNS.values() for c in columns]
+#: File names by how they are read.
+CSV_NAMES, JSON_NAMES, WHOLE_NAMES = "*.[cC][sS][vV]", "*.[jJ][sS][oO][nN]", "*.{[tT][xX][tT],[pP][dD][fF],[dD][oO][cC][xX]}"
+#: Documents and notes of more bytes are not read, and JSON texts of more are not parsed as one value.
+WHOLE_BYTES, VARIANT_BYTES = 1 << 30, 100 << 20
+
 
+def _names(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", pattern).load(folder)
+    return files.withColumn("file", F.col("_metadata.file_name"))
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
+
+def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """The files of a folder, not of folders below it: file, content, text (UTF-8, invalid bytes dropped)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return files.select(F.col("_metadata.file_name").alias("file"), "content", text.alias("text"))
+    return _names(spark, folder, pattern).filter(F.col("length") <= WHOLE_BYTES).select("file", "content", splits.valid_text(F.col("content").cast("string")).alias("text"))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON; of one that no value can hold, whether its list or object can be read through."""
+    long = F.coalesce(F.json_array_length(text), F.size(F.json_object_keys(text))).isNotNull()
+    return F.when(F.octet_length(text) <= VARIANT_BYTES, F.try_parse_json(text).isNotNull()).otherwise(long)
 
 
 def source_type(name: Column, text: Column) -> Column:
@@ -57,7 +80,7 @@ def source_type(name: Column, text: Column) -> Column:
         noted = noted | F.contains(head, F.lit(phrase))
     return (
         F.when(low.endswith(".csv"), "recruiter_csv")
-        .when(low.endswith(".json") & F.try_parse_json(text).isNotNull(), "ats_json")
+        .when(low.endswith(".json") & is_json(text), "ats_json")
         .when(low.endswith(".pdf") | low.endswith(".docx"), "resume")
         .when(low.endswith(".txt"), F.when(noted, "recruiter_notes").otherwise("resume"))
     )
@@ -68,14 +91,17 @@ def detect(files: DataFrame) -> DataFrame:
 
 
 def _complete(df: DataFrame) -> DataFrame:
-    """All columns of RECORD in order; those ``df`` lacks are null."""
+    """All columns of RECORD in order, and ``reason``; those ``df`` lacks are null. Rows with a reason are errors."""
     out = []
-    for part in RECORD_FIELDS:
-        name, kind = part
+    for name, kind in [*RECORD_FIELDS, ("reason", "string")]:
         out.append(F.col(name).cast(kind).alias(name) if name in df.columns else F.lit(None).cast(kind).alias(name))
     return df.select(*out)
 
 
+def _records(found: DataFrame) -> DataFrame:
+    return found.filter("reason is null").drop("reason")
+
+
 def _fields() -> list[tuple[str, str]]:
     fields, depth, at = [], 0, 0
     for i, c in enumerate(RECORD + ","):
@@ -101,26 +127,24 @@ def _one(c: Column) -> Column:
 
 
 def _csv_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c for columns in CSV_COLUMNS.values() for c in columns]
     for files in batches:
         for name, text in zip(files["file"], files["text"], strict=True):
-            rows = []
-            try:
-                for i, row in enumerate(csv.DictReader(io.StringIO(text, newline=""))):
-                    rows.append([name, i, *(row.get(c) for c in names)])
-            except csv.Error:
-                pass  # the rows before the error stay
-            yield pd.DataFrame(rows, columns=["file", "item", *names])
+            rows = [[name, i, *(row.get(c) for c in CSV_COLUMN_NAMES), None] for i, row in enumerate(csv.DictReader(io.StringIO(text, newline="")))]
+            yield pd.DataFrame(rows, columns=["file", "item", *CSV_COLUMN_NAMES, "reason"])
 
 
 def recruiter_csv(files: DataFrame) -> DataFrame:
-    names = [c for columns in CSV_COLUMNS.values() for c in columns]
-    rows = files.select("file", "text").mapInPandas(_csv_rows, "file string, item long, " + ", ".join(f"`{c}` string" for c in names))
+    """Records of CSV files that are rows (file, text)."""
+    ddl = "file string, item long, " + ", ".join(f"`{c}` string" for c in CSV_COLUMN_NAMES) + ", reason string"
+    return _records(_csv_found(files.select("file", "text").mapInPandas(_csv_rows, ddl)))
+
+
+def _csv_found(rows: DataFrame) -> DataFrame:
     of = {k: first_filled(*map(F.col, columns)) for k, columns in CSV_COLUMNS.items()}
     return _complete(rows.select(
         "file", "item", F.concat_ws("_row_", "file", F.col("item").cast("string")).alias("source_id"), F.lit("recruiter_csv").alias("source_type"), F.lit("direct_field").alias("method"),
         strip(of["full_name"]).alias("full_name"), _one(of["email"]).alias("emails"), _one(of["phone"]).alias("phones"), number(of["years"]).alias("years_experience"),
-        _role(of["company"], of["title"], F.lit("Current role from Recruiter CSV")).alias("experience"), F.array().cast("array<string>").alias("skills"),
+        _role(of["company"], of["title"], F.lit("Current role from Recruiter CSV")).alias("experience"), F.array().cast("array<string>").alias("skills"), "reason",
     ))
 
 
@@ -144,18 +168,31 @@ def _first(*paths: str) -> Column:
 
 
 def ats_json(files: DataFrame) -> DataFrame:
-    """Items of the JSON exports. An item of impossible form drops itself and the items after it in its file."""
+    """Records of JSON files that are rows (file, text). An item of impossible form drops itself and the items after it in its file."""
     parsed = files.select("file", F.try_parse_json("text").alias("v"))
     many = F.expr("coalesce(try_variant_get(v, '$', 'array<variant>'), array(v))")
-    items = parsed.select("file", F.posexplode(many).alias("at", "item")).withColumn("item_no", F.col("at").cast("long"))
-    no_object = F.expr("coalesce(schema_of_variant(item), 'VOID') NOT LIKE 'OBJECT%'")
+    items = parsed.select("file", F.posexplode(many).alias("at", "item"))
+    return _records(_ats_found(items.select("file", F.col("at").cast("long").alias("item_no"), "item", F.lit(None).cast("string").alias("reason"))))
+
+
+def _impossible() -> Column:
+    """Why an item cannot be read, null if it can."""
     # float() of a list or object; strip() of what is no string; int() of a list or object.
-    bad_years = F.expr(f"NOT {_filled('years_experience')} AND ({_kind('experience')} LIKE 'ARRAY%' OR {_kind('experience')} LIKE 'OBJECT%') OR {_kind('years_experience')} LIKE 'OBJECT<_%' OR ({_kind('years_experience')} LIKE 'ARRAY%' AND {_filled('years_experience')})")
+    years = F.expr(f"NOT {_filled('years_experience')} AND ({_kind('experience')} LIKE 'ARRAY%' OR {_kind('experience')} LIKE 'OBJECT%') OR {_kind('years_experience')} LIKE 'OBJECT<_%' OR ({_kind('years_experience')} LIKE 'ARRAY%' AND {_filled('years_experience')})")
     no_text = lambda a, b: F.expr(f"CASE WHEN {_filled(a)} THEN {_kind(a)} <> 'STRING' WHEN {_filled(b)} THEN {_kind(b)} <> 'STRING' ELSE false END")
-    years_of = "exists(coalesce(try_variant_get(item, '$.education', 'array<variant>'), array()), e -> coalesce(schema_of_variant(try_variant_get(e, '$.end_year', 'variant')), '') RLIKE '^(OBJECT<.|ARRAY<[^V])')"
-    bad = no_object | bad_years | no_text("email_address", "email") | no_text("telephone", "phone") | F.expr(years_of)
-    first_bad = F.min(F.when(F.coalesce(bad, F.lit(False)), F.col("item_no"))).over(Window.partitionBy("file"))
-    good = items.withColumn("first_bad", first_bad).filter(F.col("first_bad").isNull() | (F.col("item_no") < F.col("first_bad")))
+    ends = "exists(coalesce(try_variant_get(item, '$.education', 'array<variant>'), array()), e -> coalesce(schema_of_variant(try_variant_get(e, '$.end_year', 'variant')), '') RLIKE '^(OBJECT<.|ARRAY<[^V])')"
+    return (
+        F.when(F.expr("coalesce(schema_of_variant(item), 'VOID') NOT LIKE 'OBJECT%'"), "the item is no object").when(years, "years of experience are a list or object")
+        .when(no_text("email_address", "email"), "the e-mail is no text").when(no_text("telephone", "phone"), "the phone is no text").when(F.expr(ends), "an end year is a list or object")
+    )
+
+
+def _ats_found(items: DataFrame) -> DataFrame:
+    """Records and errors of items (file, item_no, item, reason); those after a file's first impossible item are errors."""
+    items = items.withColumn("bad", F.when(F.col("reason").isNull(), _impossible()))
+    first = items.filter("bad is not null").groupBy("file").agg(F.min("item_no").alias("first_bad"))
+    why = F.coalesce("reason", F.when(F.col("item_no") == F.col("first_bad"), F.col("bad")), F.when(F.col("item_no") > F.col("first_bad"), "it follows an item that cannot be read"))
+    good = items.join(first, "file", "left").withColumn("why", why)
 
     place = F.transform(F.split(F.expr(_text("location")), ","), strip)
     at = lambda i: F.get(place, F.lit(i))
@@ -173,12 +210,12 @@ def ats_json(files: DataFrame) -> DataFrame:
     )
     company, title = _first("company_name", "company"), _first("job_title", "title")
     return _complete(good.select(
-        "file", F.col("item_no").alias("item"), F.concat(F.col("file"), F.lit("_ats_"), F.coalesce(_first("ats_id"), F.concat(F.lit("index_"), F.col("at").cast("string")))).alias("source_id"),
+        "file", F.col("item_no").alias("item"), F.concat(F.col("file"), F.lit("_ats_"), F.coalesce(_first("ats_id"), F.concat(F.lit("index_"), F.col("item_no").cast("string")))).alias("source_id"),
         F.lit("ats_json").alias("source_type"), F.lit("direct_field").alias("method"), strip(_first("candidate_name", "full_name", "name")).alias("full_name"),
         _one(_first("email_address", "email")).alias("emails"), _one(_first("telephone", "phone")).alias("phones"), location.alias("location"), skills.alias("skills"),
         number(_first("years_experience", "experience")).alias("years_experience"),
         F.when(F.expr(f"{_kind('experience')} LIKE 'ARRAY%'"), entries).otherwise(_role(company, title, F.lit(None))).alias("experience"),
-        F.coalesce(education, F.array().cast(f"array<{EDUCATION}>")).alias("education"),
+        F.coalesce(education, F.array().cast(f"array<{EDUCATION}>")).alias("education"), F.col("why").alias("reason"),
     ))
 
 
@@ -193,7 +230,7 @@ def docx_text(content: bytes) -> str | None:
         for table in body.findall(f"{w}tbl"):
             out += [" ".join("\n".join(words(p) for p in cell.iter(f"{w}p")) for cell in row.findall(f"{w}tc")) for row in table.findall(f"{w}tr")]
         return "".join(f"{line}\n" for line in out)
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError):
+    except Exception:  # noqa: BLE001  whatever a damaged archive or document makes the parsers raise
         return None
 
 
@@ -203,37 +240,65 @@ def _document_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file": files["file"], "text": texts})
 
 
-def resumes(files: DataFrame, strict_dates: bool = False) -> DataFrame:
+def _resumes_found(files: DataFrame, strict_dates: bool = False) -> DataFrame:
     binary = F.lower("file").rlike(r"\.(pdf|docx)$")
     texts = files.filter(~binary).select("file", "text").union(files.filter(binary).select("file", "content").mapInPandas(_document_texts, "file string, text string"))
-    full = texts.filter("text is not null").filter(strip(F.col("text")) != "")
-    return _complete(full.select("file", F.lit(0).alias("item"), F.col("file").alias("source_id"), F.lit("resume").alias("source_type"), F.lit("regex_extract").alias("method"), *X.resume(F.col("text"), strict_dates)))
+    reason = F.when(F.col("text").isNull(), "a damaged document, or one that cannot be read").when(strip(F.col("text")) == "", "no text")
+    return _complete(texts.select("file", F.lit(0).alias("item"), F.col("file").alias("source_id"), F.lit("resume").alias("source_type"), F.lit("regex_extract").alias("method"), *X.resume(F.col("text"), strict_dates), reason.alias("reason")))
+
+
+def resumes(files: DataFrame, strict_dates: bool = False) -> DataFrame:
+    return _records(_resumes_found(files, strict_dates))
 
 
 def recruiter_notes(files: DataFrame) -> DataFrame:
     keyed = files.select("file", "text", X.keyed_lines(F.col("text")).alias("keyed"))
-    return _complete(keyed.select("file", F.lit(0).alias("item"), F.col("file").alias("source_id"), F.lit("recruiter_notes").alias("source_type"), F.lit("heuristic_parse").alias("method"), *X.notes(F.col("text"), F.col("keyed"))))
+    return _complete(keyed.select("file", F.lit(0).alias("item"), F.col("file").alias("source_id"), F.lit("recruiter_notes").alias("source_type"), F.lit("heuristic_parse").alias("method"), *X.notes(F.col("text"), F.col("keyed")))).drop("reason")
 
 
-def read_records(spark: SparkSession, folder: str, strict_dates: bool = False) -> DataFrame:
-    """All source records of a folder; rec_pos follows file name and place in the file."""
-    return read_files(detect(scan(spark, folder)), strict_dates)
+@dataclass(frozen=True)
+class Found:
+    """What a folder holds: records (rec_pos follows file name and place in the file), and errors (file, item, source_type, reason)."""
 
+    records: DataFrame
+    errors: DataFrame
 
-def read_files(files: DataFrame, strict_dates: bool = False) -> DataFrame:
-    """All source records of detected files (file, content, text, source_type)."""
-    return positioned(_found(files, strict_dates), files)
 
+def read_folder(spark: SparkSession, folder: str, strict_dates: bool = False) -> Found:
+    """All source records of a folder, and why files and items gave none. Everything is parsed once.
 
-def _found(files: DataFrame, strict_dates: bool = False) -> DataFrame:
-    of = lambda kind: files.filter(F.col("source_type") == kind)
-    return recruiter_csv(of("recruiter_csv")).unionByName(ats_json(of("ats_json"))).unionByName(resumes(of("resume"), strict_dates)).unionByName(recruiter_notes(of("recruiter_notes")))
+    Files without a byte are not seen by Spark's sources: they give neither.
+    """
+    names = _names(spark, folder).select("file", "length")
+    low = F.lower("file")
+    csvs, jsons = low.endswith(".csv"), low.endswith(".json")
+    whole = low.endswith(".txt") | low.endswith(".pdf") | low.endswith(".docx")
+    texts = scan(spark, folder, WHOLE_NAMES).withColumn("source_type", source_type(F.col("file"), F.col("text")))
+    of = lambda kind: texts.filter(F.col("source_type") == kind)
+    parts = [_resumes_found(of("resume"), strict_dates), _complete(recruiter_notes(of("recruiter_notes")))]
+    if not names.filter(csvs).isEmpty():
+        parts.append(_csv_found(splits.csv_rows(splits.pieces(spark, folder, CSV_NAMES, splits.Csv.separator), CSV_COLUMN_NAMES)))
+    if not names.filter(jsons).isEmpty():
+        parts.append(_ats_found(splits.json_items(splits.pieces(spark, folder, JSON_NAMES, splits.Json.separator))))
+    reason = F.when(~(csvs | jsons | whole), "no known kind of file").when(whole & (F.col("length") > WHOLE_BYTES), "too long for a document")
+    parts.append(_complete(names.select("file", reason.alias("reason")).filter("reason is not null")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = written(found, "found")
+    return Found(positioned(_records(found), names.select("file", F.lit("").alias("source_type"))), found.filter("reason is not null").select("file", "item", "source_type", "reason"))
 
 
-def without_records(files: DataFrame) -> DataFrame:
-    """file and source_type of the files that are of a known kind but gave no record: damaged, empty or bad from the first item on."""
-    known = detect(files).filter("source_type is not null")
-    return known.join(_found(known).select("file").distinct(), "file", "left_anti").select("file", "source_type")
+def read_records(spark: SparkSession, folder: str, strict_dates: bool = False) -> DataFrame:
+    """All source records of a folder; rec_pos follows file name and place in the file."""
+    return read_folder(spark, folder, strict_dates).records
+
+
+def read_files(files: DataFrame, strict_dates: bool = False) -> DataFrame:
+    """All source records of detected files that are rows (file, content, text, source_type)."""
+    of = lambda kind: files.filter(F.col("source_type") == kind)
+    found = recruiter_csv(of("recruiter_csv")).unionByName(ats_json(of("ats_json"))).unionByName(resumes(of("resume"), strict_dates)).unionByName(recruiter_notes(of("recruiter_notes")))
+    return positioned(found, files)
 
 
 def positioned(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -247,8 +312,3 @@ def positioned(found: DataFrame, files: DataFrame) -> DataFrame:
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = names.join(F.broadcast(before), "part").select("file", (F.col("before") + F.col("at") + 1).alias("file_no"))
     return found.join(numbered, "file").withColumn("rec_pos", F.col("file_no") * F.lit(1 << 32) + F.col("item")).drop("file_no", "file", "item")
-
-
-def unsupported(files: DataFrame) -> DataFrame:
-    """Names of the files that are of no known kind."""
-    return detect(files).filter("source_type is null").select("file")

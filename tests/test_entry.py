@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from profusion.plans import catalog
+from profusion.plans import catalog, run_catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -25,11 +25,14 @@ def plain(rows):
     return sorted(tuple(map(form, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+QUERIES, SQL = catalog.queries() | run_catalog.queries(), catalog.oracle_sql() | run_catalog.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, duck, name):
-    got = catalog.queries()[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})")
+    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})")
     assert plain(got.select(*columns).collect()) == plain(want.fetchall())
 
 
@@ -38,5 +41,5 @@ def test_entry(spark):
 
 
 def test_every_query_of_the_catalog_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(QUERIES) == set(SQL) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -39,6 +39,14 @@ def test_phones_of_further_plans(spark):
     assert pairs(evaluate(spark, ["044 668 18 00"], lambda c: N.phone(c, "CH"))) == [("+41446681800", None)]
 
 
+def test_calling_codes(spark):
+    assert len(N.assigned_codes()) == len(set(N.assigned_codes())) and not any(a != b and b.startswith(a) for a in N.assigned_codes() for b in N.assigned_codes())
+    assert set(N.CALLING) <= set(N.assigned_codes())
+    got = pairs(evaluate(spark, ["+254 712 345 678", "+999 12345678", "+210 1234567890", "+254 1", "+254 712 345 678 901"], N.phone))
+    bad = "normalize_failed: "
+    assert got == [("+254712345678", None), (None, bad + "unknown_calling_code"), (None, bad + "unknown_calling_code"), (None, bad + "ambiguous_region"), (None, bad + "ambiguous_region")]
+
+
 def test_date(spark):
     got = pairs(evaluate(spark, ["2020-05", "2020", "May 2020", "2020 DEC", "2020/13", "2020-05-17", "Present", "", None], N.date))
     year = "precision: year"

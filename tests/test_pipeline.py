@@ -11,7 +11,7 @@ from profusion.operators.match import cluster
 from profusion.operators.merge import provenance_rows
 from profusion.plans.pipeline import Options, resolve, run, write_json
 from profusion.schema import RAW
-from profusion.sources.files import read_records, scan, unsupported, without_records
+from profusion.sources.files import read_folder, read_records
 from tests import fixtures
 
 
@@ -25,10 +25,10 @@ def entities(spark, folder):
     return resolve(read_records(spark, folder), F.lit("2025-03-01").cast("date")).orderBy("entity").collect()
 
 
-def test_records_and_unsupported_files(spark, folder):
-    assert read_records(spark, folder).count() == 8
-    assert {r["file"] for r in unsupported(scan(spark, folder)).collect()} == {"g.md", "h.json"}
-    assert [tuple(r) for r in without_records(scan(spark, folder)).collect()] == [("e.pdf", "resume")]
+def test_records_and_files_without(spark, folder):
+    found = read_folder(spark, folder)
+    assert found.records.count() == 8
+    assert {(r["file"], r["source_type"]) for r in found.errors.collect()} == {("g.md", None), ("h.json", "ats_json"), ("e.pdf", "resume")}
 
 
 def test_entities(entities):
