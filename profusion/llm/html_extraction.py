@@ -7,16 +7,19 @@ or id as a whole says so.
 
 The ratio of characters to tags per line is smoothed with a Gaussian kernel and cut in two by the
 one-dimensional two-means threshold. The characters of the lines above it count for the elements around
-them. The region is the article or main element that counts most, if it has ``ARTICLE_SHARE`` of the count, else the
-innermost division with ``REGION_SHARE`` of it, or the article around that. All lines of the region are the text, short
-ones and lines of links too.
+them, and these counts decide twice:
+
+* A class or id that only ends in the name of an unwanted part, or a form, is a hint: a part that is so marked but holds ``MARKED_SHARE`` of the
+  page's count or more is its content (as where a page lies in one form, or a wrapper is called ``no-sidebar``), and stays.
+* The region is the innermost division with ``REGION_SHARE`` of the count that is left, or the article around that. All lines of the
+  region are the text, short ones and lines of links too.
 
 Parsing and counting take time in proportion to the page, whatever its nesting: open elements are found by tag, and
 counts are added upwards once.
 
 Defined cases: a null or empty page has the empty text; white space (no-break spaces too) becomes one
-space and is trimmed; unclosed and stray tags are repaired as parsers do; of articles that count the
-same the outer, then the first is taken; rows are judged on their own, so repeated rows do not matter; other columns are not read; an empty table gives an empty result.
+space and is trimmed; unclosed and stray tags are repaired as parsers do; several
+articles stay if no division but one around them holds enough; rows are judged on their own, so repeated rows do not matter; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,11 +36,11 @@ from pyspark.sql import DataFrame
 from profusion.llm.common import slices, task
 
 SIGMA = 1.0
-ARTICLE_SHARE, REGION_SHARE = 0.25, 0.9
+REGION_SHARE, MARKED_SHARE = 0.9, 0.5
 #: Elements of HTML by their part here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video map nav aside footer form button select option textarea input dialog menu".split())
+DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video map nav aside footer button select option textarea input dialog menu".split())
 ENDS = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 HOLDS = frozenset("ul ol dl table article main section div body blockquote td th nav aside footer header form".split())
 MARKS = frozenset(
@@ -53,32 +56,40 @@ _PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _names(value: str, marks: frozenset[str], whole: bool) -> bool:
-    """Whether a class or id says what a part is: as a whole, by its last word, or by a word before a word for a place."""
+#: What is known of an element: it stays, it goes unless it holds much of the content, or it goes.
+KEPT, MARKED, GONE = range(3)
+
+
+def _named(value: str, marks: frozenset[str], whole: bool) -> int:
+    """What a class or id says of a part: for certain if a whole name is a mark, as a hint by its last word, or by a word before a
+    word for a place."""
+    found = KEPT
     for token in value.split():
         if token in marks:
-            return True
+            return GONE
         parts = [] if whole else _PART.findall(token)
         if parts and (parts[-1] in marks or (parts[-1] in PLACES and not marks.isdisjoint(parts))):
-            return True
-    return False
+            found = MARKED
+    return found
 
 
-def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header":
-        return not inside
+def _judged(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+    if tag in DROPPED or (tag == "header" and not inside):
+        return GONE
+    found = MARKED if tag == "form" else KEPT
     if tag in ("html", "body") or not attrs:
-        return False
+        return found
     for name, value in attrs:
         value = (value or "").lower()
         if name in ("class", "id"):
-            if _names(value, MARKS, tag in ARTICLES) or (not inside and tag != "h1" and tag not in ARTICLES and _names(value, frozenset(["header"]), False)):
-                return True
-        elif name == "hidden" or (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
-    return False
+            found = max(found, _named(value, MARKS, tag in ARTICLES))
+            if not inside and tag != "h1" and tag not in ARTICLES:
+                found = max(found, _named(value, frozenset(["header"]), False))
+        elif name == "hidden" or (name == "role" and value in ROLES and value != "form") or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+            return GONE
+        elif name == "role" and value == "form":
+            found = max(found, MARKED)
+    return found
 
 
 class Lines(HTMLParser):
@@ -93,6 +104,7 @@ class Lines(HTMLParser):
         self.around = 0  # open articles
         self.parent = [0]
         self.articles: set[int] = set()
+        self.marked: set[int] = set()
         self.holders: set[int] = set()
         self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
@@ -134,7 +146,8 @@ class Lines(HTMLParser):
         elif tag in ("body", "article", "main") and self.dropping and not self.articles:
             # An unclosed head, menu or advert before the article ends here.
             self._close(self.dropping[0])
-        drop = _unwanted(tag, attrs, self.around > 0)
+        judged = _judged(tag, attrs, self.around > 0)
+        drop = judged == GONE
         number = len(self.parent)
         self.parent.append(self.open[-1][1] if self.open else 0)
         at = len(self.open)
@@ -142,6 +155,8 @@ class Lines(HTMLParser):
         self.where.setdefault(tag, []).append(at)
         if drop:
             self.dropping.append(at)
+        if judged == MARKED:
+            self.marked.add(number)
         if tag in HOLDS:
             self.holders.add(number)
             self.holding.append(at)
@@ -186,34 +201,48 @@ def content_lines(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
         low, high = new
 
 
-def region(page: Lines, content: np.ndarray) -> int:
-    """The number of the element whose lines are the text; 0 for the page."""
-    count, within = [0] * len(page.parent), [0] * len(page.parent)
-    for (text, _, e), good in zip(page.lines, content.tolist(), strict=True):
+def counted(page: Lines, content: list[bool]) -> list[int]:
+    """For each element, the characters of content lines in it."""
+    count = [0] * len(page.parent)
+    for (text, _, e), good in zip(page.lines, content, strict=True):
         count[e] += len(text) * good
     for e in range(len(page.parent) - 1, 0, -1):
         count[page.parent[e]] += count[e]
-    article = max(sorted(page.articles), key=count.__getitem__, default=0)
-    if article and count[article] >= ARTICLE_SHARE * count[0]:
-        return article
+    return count
+
+
+def region(page: Lines, content: list[bool]) -> int:
+    """The number of the element whose lines are the text; 0 for the page."""
+    count = counted(page, content)
     best = max((e for e in page.holders if count[e] >= REGION_SHARE * count[0]), default=0)
+    within = [0] * len(page.parent)
     for e in range(1, len(page.parent)):
         within[e] = e if e in page.articles else within[page.parent[e]]
     return within[best] or best
 
 
+def inside_of(page: Lines, tops: set[int]) -> list[bool]:
+    """Which elements are one of these, or in one."""
+    held = [0 in tops] * len(page.parent)
+    for e in range(1, len(held)):
+        held[e] = e in tops or held[page.parent[e]]
+    return held
+
+
 def extract_text(html: str | None) -> str:
     """The main text of a page, one line per block."""
     page = Lines()
     page.feed(html or "")
     page.close()
     page._end_line()
+    content = content_lines(np.array([len(t) / max(1, n) for t, n, _ in page.lines])).tolist()
+    if page.marked:
+        count = counted(page, content)
+        gone = inside_of(page, {e for e in page.marked if count[e] < MARKED_SHARE * count[0] or not count[e]})
+        page.lines, content = [x for x in page.lines if not gone[x[2]]], [good for x, good in zip(page.lines, content, strict=True) if not gone[x[2]]]
     if not page.lines:
         return ""
-    best = region(page, content_lines(np.array([len(t) / max(1, n) for t, n, _ in page.lines])))
-    held = [best == 0] * len(page.parent)
-    for e in range(1, len(held)):
-        held[e] = e == best or held[page.parent[e]]
+    held = inside_of(page, {region(page, content)})
     return "\n".join(t for t, _, e in page.lines if held[e])
 
 
