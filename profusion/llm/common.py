@@ -29,6 +29,11 @@ def fresh(name: str, *frames) -> str:
     return name
 
 
+def new_names(docs, *names: str) -> list[str]:
+    """Names for new columns: those asked for, or the next that ``docs`` leaves free. Given columns are never replaced."""
+    return [fresh(name, docs) for name in names]
+
+
 def task(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A task's function that gives its memory back at the end; Python workers are used again by later stages."""
 

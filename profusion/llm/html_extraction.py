@@ -190,15 +190,13 @@ def content_lines(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     smooth = np.convolve(ratio, kernel, "full")[reach : reach + len(ratio)] / np.convolve(np.ones(len(ratio)), kernel, "full")[reach : reach + len(ratio)]
     low, high = float(smooth.min()), float(smooth.max())
-    if high <= low:
-        return np.ones(len(ratio), bool)
-    while True:
-        cut = (low + high) / 2
-        upper = smooth >= cut
-        new = float(smooth[~upper].mean()), float(smooth[upper].mean())
-        if new == (low, high):
+    upper = smooth >= (low + high) / 2
+    while high - low > 1e-9 * high:  # else all ratios are the same, but for rounding
+        low, high = float(smooth[~upper].mean()), float(smooth[upper].mean())
+        before, upper = upper, smooth >= (low + high) / 2
+        if np.array_equal(before, upper):
             return upper
-        low, high = new
+    return np.ones(len(ratio), bool)
 
 
 def counted(page: Lines, content: list[bool]) -> list[int]:

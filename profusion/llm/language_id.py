@@ -16,7 +16,8 @@ hash of the text; the model is therefore bounded and is broadcast. Every row of
 
 Defined cases: null texts and texts without a letter give ``und``, score 0 and not accepted; documents
 without a label or text are not learned from; no labelled document at all gives ``und`` for every row;
-ties go to the first language by name; other columns pass through; an empty table gives an empty result.
+ties go to the first language by name; other columns pass through untouched, new ones take the next free
+name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profusion.llm.common import slices, task
+from profusion.llm.common import new_names, slices, task
 from profusion.session import written
 
 ORDER = 4
@@ -44,6 +45,7 @@ CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = np.uint64(0x9E3779B97F4A7C15)
 START, END = 2, 3
+PREDICTED = ("lang_pred", "score", "cross_entropy", "accepted")
 
 
 def letters(text: str | None) -> list[str]:
@@ -187,20 +189,23 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
-    """Fit on columns text and lang. Reads about ``sample_docs`` different texts per language, and about ``calibration_docs``
-    others to calibrate, together never more than the sum; both are chosen by a hash of the text. A repeated text counts once."""
+    """Fit on columns text and lang. Reads ``sample_docs`` different texts per language, and ``calibration_docs`` others to
+    calibrate, in that proportion if there are fewer; both are chosen by a hash of the text. A repeated text counts once, in the
+    draw too: how large a share of a language is drawn follows from its different texts, estimated with room for the error."""
     have = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in have.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in have.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [])
     most = sample_docs + calibration_docs
-    share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, most / sizes[k])))))
+    share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, 1.25 * (most + 100) / max(1, sizes[k]))))))
     draw = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 40)) / float(1 << 40)
     chosen = have.withColumn("part", draw / share[F.col("lang")]).filter("part < 1").groupBy("lang", "text").agg(F.min("part").alias("part"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("part", "text"))  # some ``most`` texts a language
     cut = calibration_docs / most
-    chosen = written(chosen.withColumn("place", place).filter(F.col("place") <= most), "language-sample")
+    chosen = chosen.withColumn("place", place).filter(F.col("place") <= most)
+    part = (F.col("place") - 0.5) / F.count("*").over(Window.partitionBy("lang"))
+    chosen = written(chosen.withColumn("part", part), "language-sample")
     counted = chosen.filter(F.col("part") >= cut).select("lang", "text").mapInPandas(_word_counts, "lang string, word string, n long")
     counts: dict[str, dict[str, int]] = {k: {} for k in langs}
     for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -240,13 +245,14 @@ def _calibrate(model: Model, docs: DataFrame) -> None:
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score, cross_entropy, accepted (replacing columns of these names)."""
+    """``docs`` with lang_pred, score, cross_entropy, accepted (``new_names``)."""
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
-    rest = [f for f in docs.schema.fields if f.name not in {x.name for x in new}]
+    kinds = [T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
+    new = [T.StructField(name, kind) for name, kind in zip(new_names(docs, *PREDICTED), kinds, strict=True)]
+    rest = docs.schema.fields
     schema = T.StructType(rest + new)
     arrow = to_arrow_schema(schema)
 
@@ -258,7 +264,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
                 got = scorer.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(arrow.field(f.name).type) for f in rest] + [pa.array(got[0], pa.string()), *map(pa.array, got[1:])], schema=arrow)
 
-    return docs.select(*(f.name for f in rest)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(folds: int = 5, fold: int = 0):

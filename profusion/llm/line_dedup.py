@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profusion.llm.common import fresh, id_or_last, mix, slices, task, unsigned
+from profusion.llm.common import fresh, id_or_last, mix, new_names, slices, task, unsigned
 from profusion.session import shuffle_partitions, written
 
 STRIP = b" \t\n\x0b\x0c\r"
@@ -234,7 +234,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], drop: str, finish, schema: pa.Sc
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with repeated lines dropped from ``text``, and columns n_lines and n_dropped (long)."""
+    """``docs`` with repeated lines dropped from ``text``, and columns n_lines and n_dropped (long; ``new_names``)."""
     return _joined(docs, min_chars, digest=False)
 
 
@@ -246,19 +246,20 @@ def _joined(docs: DataFrame, min_chars: int, digest: bool) -> DataFrame:
     hits = repeated_lines(docs, min_chars).withColumnsRenamed({"id": own, "drop": drop})
     kept = docs.select("doc_id", "text") if digest else docs
     rows = kept.withColumn(own, id_or_last()).join(hits, own, "left").drop(own)
-    base = [f for f in rows.schema.fields if f.name not in (drop, "text", "n_lines", "n_dropped")]
-    tail = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    counts = dict(zip(new_names(kept, "n_lines", "n_dropped"), ("n_lines", "n_dropped"), strict=True))
+    tail = [T.StructField(name, T.LongType()) for name in counts]
     if digest:
         fields = [T.StructField("doc_id", kept.schema["doc_id"].dataType), *tail, T.StructField("kept_sha256", T.StringType())]
     else:
-        fields = [*(T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in rows.schema.fields if f.name in {b.name for b in base} | {"text"}), *tail]
+        fields = [*(T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in kept.schema.fields), *tail]
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
 
     def finish(batch: pa.RecordBatch, out: dict, schema: pa.Schema) -> pa.RecordBatch:
         if digest:
             out["kept_sha256"] = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in out["text"]]
-        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
+        made = {name: out[of] for name, of in counts.items()} | {k: v for k, v in out.items() if k in ("text", "kept_sha256")}
+        return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return rows.mapInArrow(lambda it: _rewrite(it, drop, finish, arrow), schema)
 

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
-from profusion.llm.common import int_lists, mix, slices, task
+from profusion.llm.common import int_lists, mix, new_names, slices, task
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
@@ -408,14 +408,15 @@ def _codec(model: bytes, *settings) -> Codec:
 
 
 def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, verify: bool = True) -> DataFrame:
-    """``docs`` with ids (array of int), n_tokens (long) and, if ``verify``, lossless (boolean: decoding gives the text)."""
+    """``docs`` with ids (array of int), n_tokens (long) and, if ``verify``, lossless (boolean: decoding gives the text; ``new_names``)."""
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     with open(model, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())] + [T.StructField("lossless", T.BooleanType())] * verify
-    rest = [f for f in docs.schema.fields if f.name not in {x.name for x in new}]
+    ids, n_tokens, lossless = new_names(docs, "ids", "n_tokens", "lossless")
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(n_tokens, T.LongType())] + [T.StructField(lossless, T.BooleanType())] * verify
+    rest = docs.schema.fields
     schema = T.StructType(rest + new)
     arrow = to_arrow_schema(schema)
 
@@ -428,28 +429,28 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
                 more = []
                 if verify:
                     more = [codec.lossless(flat, cut, batch.column("text"))]
-                lists = int_lists(flat, cut, pa.int32()).cast(arrow.field("ids").type)
+                lists = int_lists(flat, cut, pa.int32()).cast(arrow.field(ids).type)
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).cast(arrow.field(f.name).type) for f in rest), lists, pa.array(np.diff(cut)), *more], schema=arrow)
 
-    return docs.select(*(f.name for f in rest)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """``encoded`` with a column decoded (string) from ids; null ids give ''."""
+def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
+    """``encoded`` with a column decoded (string; ``new_names``) from the column ``ids``; null ids give ''."""
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     with open(model, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
-    rest = [f for f in encoded.schema.fields if f.name != "decoded"]
-    schema = T.StructType([*rest, T.StructField("decoded", T.StringType())])
+    rest = encoded.schema.fields
+    schema = T.StructType([*rest, T.StructField(new_names(encoded, "decoded")[0], T.StringType())])
     arrow = to_arrow_schema(schema)
 
     @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, 0.0, SEED)
         for batch in batches:
-            texts = [codec.decode(i or []) for i in batch.column("ids").to_pylist()]  # not valid UTF-8: U+FFFD
+            texts = [codec.decode(i or []) for i in batch.column(ids).to_pylist()]  # not valid UTF-8: U+FFFD
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name).cast(arrow.field(f.name).type) for f in rest), pa.array(texts, pa.string())], schema=arrow)
 
-    return encoded.select(*(f.name for f in rest)).mapInArrow(run, schema)
+    return encoded.mapInArrow(run, schema)

@@ -55,7 +55,20 @@ def test_stages(spark, monkeypatch):
     assert corpus_pipeline.run(spark, SF).count() == len(before)
 
 
+def test_columns_of_any_name_pass_through(spark):
+    """Whatever documents have besides, in any case of letters, comes out as it went in."""
+    own = {"Score": "double", "accepted": "string", "LANG_pred": "string", "cross_entropy": "int", "N_Lines": "long", "n_dropped": "string", "IDS": "int", "n_tokens": "string", "Lossless": "string", "class_id": "long", "item_id": "string", "rank": "int"}
+    docs = table(spark, SF, "documents").limit(60).selectExpr("*", *(f"cast(doc_id % 7 AS {kind}) AS {name}" for name, kind in own.items()))
+    given = {r["doc_id"]: [r[c] for c in own] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.columns[: len(columns) - (name == "sentencepiece")] == [c for c in columns if c != "text" or name != "sentencepiece"]
+        assert all([r[c] for c in own] == given[r["doc_id"]] for r in docs.collect()), name
+    assert docs.columns[-3:] == ["ids_", "n_tokens_", "lossless_"] and docs.count() > 30 and docs.filter("lossless_").count() == docs.count()
+
+
 def test_names():
     names = list(registry.queries())
-    assert names[0] == "pipeline" and [n.split("_")[0] for n in names[1:]] == [f"op{i}" for i in range(1, 11)]
+    assert names[0] == "pipeline" and [n.split("_")[0] for n in names[1:]] == [f"op{i}" for i in range(1, 14)]
     assert set(registry.oracle_sql()) <= set(names)

@@ -43,7 +43,8 @@ def test_line_dedup(spark, monkeypatch):
     assert got == {i: (n, k, H.sha256(t)) for i, (n, k, t) in want.items()}
     full = line_dedup.dedup_lines(H.documents(spark, texts).selectExpr("*", "1 AS n_lines", "2 AS id", "array(1) AS drop"))
     assert {x["doc_id"]: x["text"] for x in full.collect()} == {i: t for i, (_, _, t) in want.items()}
-    assert full.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert full.columns[:6] == ["doc_id", "text", "lang", "source", "n_chars", "n_lines"] and full.columns[-2:] == ["n_lines_", "n_dropped"]
+    assert {x["n_lines"] for x in full.collect()} == {1}
 
 
 def test_hot_lines_are_salted(spark, monkeypatch):
@@ -272,13 +273,26 @@ def test_the_language_sample_is_bounded(spark, languages, monkeypatch):
     assert all(n == k <= 30 for n, k in counts.values()) and counts
 
 
+def test_repeats_do_not_starve_a_language(spark):
+    """60 different texts beside 20,000 equal ones of their language: 40 are learned from, and no language is taken for the other."""
+    r = random.Random(3)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(3, 8)))
+    texts = {k: [" ".join(word(letters) for _ in range(40)) for _ in range(60)] for k, letters in (("aa", "kolamirt"), ("bb", "kolesund"))}
+    rows = spark.createDataFrame([(t, k) for k, own in texts.items() for t in own], "text string, lang string")
+    many = rows.union(rows.filter("lang = 'aa'").limit(1).crossJoin(spark.range(20_000)).select("text", "lang"))
+    model = language_id.train(many, 40, 20)
+    got = language_id.detect(rows, model).groupBy("lang", "lang_pred").count().collect()
+    assert [(x["lang"], x["count"]) for x in sorted(got, key=lambda x: x["lang"]) if x["lang"] == x["lang_pred"]] == [("aa", 60), ("bb", 60)]
+
+
 def test_language_edge_cases(spark, languages):
     model = language_id.train(languages)
     r = random.Random(1)
     odd = H.documents(spark, [None, "²½", "12 -- 3", "KOLAmira tano", "".join(r.choice("qxjvwyzh") for _ in range(200))]).selectExpr("*", "7 AS score", "'x' AS lang_pred", "1 AS h")
     got = language_id.detect(odd, model).orderBy("doc_id").collect()
-    assert [x["lang_pred"] for x in got[:4]] == ["und", "und", "und", "aa"] and [x["accepted"] for x in got] == [False, False, False, True, False]
-    assert [x["score"] for x in got[:3]] == [0.0] * 3 and got[0].asDict().keys() == {*odd.columns, "cross_entropy", "accepted"}
+    assert [x["lang_pred_"] for x in got[:4]] == ["und", "und", "und", "aa"] and [x["accepted"] for x in got] == [False, False, False, True, False]
+    assert [x["score_"] for x in got[:3]] == [0.0] * 3 and got[0].asDict().keys() == {*odd.columns, "lang_pred_", "score_", "cross_entropy", "accepted"}
+    assert {(x["score"], x["lang_pred"]) for x in got} == {(7, "x")}
     nothing = language_id.train(languages.selectExpr("text", "cast(null AS string) AS lang"))
     assert {x["lang_pred"] for x in language_id.detect(languages, nothing).collect()} == {"und"}
     assert language_id.predictions(H.documents(spark, [])).count() == 0
