@@ -85,7 +85,7 @@ def features(texts: pa.Array) -> np.ndarray:
     filled = np.maximum(size - count[:, BLANK], 1)
     letters = np.maximum(count[:, LOWER] + count[:, UPPER], 1)
     # Words whose last byte is neither letter, digit nor mark.
-    odd = np.flatnonzero((kind[:-1] >= SHOUT) & (kind[1:] == BLANK))
+    odd = np.flatnonzero((kind[:-1] >= SHOUT) & (kind[1:] == BLANK) & (of[:-1] == of[1:]))
     odd = np.bincount(of[odd], minlength=n)
 
     h, at = token_hashes(texts)

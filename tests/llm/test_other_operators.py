@@ -120,9 +120,10 @@ def test_batches_equal_single_texts(vocabulary):
 @needs_model
 def test_encode_and_decode_tables(spark):
     docs = H.documents(spark, TEXTS).selectExpr("*", "1 AS ids", "2 AS decoded")
-    got = sp.decode(sp.encode(docs)).orderBy("doc_id").collect()
-    assert all(x["lossless"] for x in got) and [x["decoded"] for x in got] == [t or "" for t in TEXTS]
-    assert got[-1]["ids"] == got[len(H.ODD)]["ids"] and [x["n_tokens"] for x in got] == [len(x["ids"]) for x in got]
+    got = sp.decode(sp.encode(docs), ids="ids_").orderBy("doc_id").collect()
+    assert all(x["lossless"] for x in got) and [x["decoded_"] for x in got] == [t or "" for t in TEXTS]
+    assert got[-1]["ids_"] == got[len(H.ODD)]["ids_"] and [x["n_tokens"] for x in got] == [len(x["ids_"]) for x in got]
+    assert {(x["ids"], x["decoded"]) for x in got} == {(1, 2)}
     assert sp.encode(H.documents(spark, [])).count() == 0
 
 
@@ -517,42 +518,6 @@ def test_names_of_parts(html, want):
     assert html_extraction.extract_text(html) == want
 
 
-def slow_region(page, content):
-    """The element whose lines are the text, by walking up from every line."""
-
-    def above(e):
-        return [e, *above(page.parent[e])] if e else [0]
-
-    count = collections.Counter()
-    for (text, _, e), good in zip(page.lines, content, strict=True):
-        for x in above(e):
-            count[x] += len(text) * bool(good)
-    if page.articles:
-        best = max(sorted(page.articles), key=lambda e: count[e])
-        if count[best] >= 0.25 * count[0]:
-            return best
-    best = max((e for e in page.holders if count[e] >= 0.9 * count[0]), default=0)
-    return next((x for x in above(best) if x in page.articles), best)
-
-
-def test_region_equals_the_slow_way():
-    r = np.random.default_rng(8)
-    tags = ["div", "article", "p", "b", "ul", "li", "section", "td", "main", "span"]
-    for _ in range(300):
-        parts = []
-        for _ in range(r.integers(1, 40)):
-            tag = tags[r.integers(len(tags))]
-            parts.append([f"<{tag}>", f"</{tag}>", "w " * int(r.integers(1, 60))][r.integers(3)])
-        page = html_extraction.Lines()
-        page.feed("".join(parts))
-        page.close()
-        page._end_line()
-        content = html_extraction.content_lines(np.array([len(t) / max(1, n) for t, n, _ in page.lines]))
-        want = slow_region(page, content)
-        assert html_extraction.region(page, content) == want
-
-
-@pytest.mark.parametrize("unit", ["<div>word ", "<b>w<p>", "<span>w ", "<i>x</div>", "<li><ul>q"])
 def test_deep_pages_take_linear_time(unit):
     times = []
     for n in (5_000, 40_000):
