@@ -10,9 +10,10 @@ Native: DataFrame and SQL functions only.
   holds at least c of any m + c. Where m + c fits ``k``, that many make the sketch and the search is exact. Larger items
   have k hashes, of which a document that holds t of the item has fewer than the needed ones with probability
   ``MISS`` at most (Chernoff's bound, which holds for draws without replacement); k grows where t is low.
-* Each partition has a hash bound, the largest hash in its sketches; a shingle is looked up only if it lies under
-  the bound of some partition. Documents of any length are searched whole; a long document costs one pass over its
-  shingles, not a signature per window.
+* Each partition is searched by itself: its hash bound is the largest hash in its sketches, and of a document's shingles only those
+  under it are looked up, among the sketches of that partition. So large items cost few look-ups whatever small items there
+  are. (Partitions whose sketches hold all shingles of their items have no use for a bound; they are one.) Documents of any length
+  are searched whole; a long document costs one pass over its shingles, not a signature per window.
 * Candidates are verified with all shingles of the item: shared distinct shingles over the item's.
 
 The sketch table is as large as the benchmark. It, and the shingles of the candidate items, are broadcast only while
@@ -39,6 +40,8 @@ CONTAINMENT = 0.8
 #: The least length of the longest sketches, the hits that an exact sketch asks for, the accepted probability of a miss.
 SKETCH, HITS, MISS = 32, 4, 1e-9
 BROADCAST_ROWS = 1_000_000
+#: The partition of the items whose sketches hold all their shingles.
+WHOLE = -1
 
 
 def _word_hashes(text: Column) -> Column:
@@ -84,7 +87,7 @@ def sketches(benchmark: DataFrame, t: float = CONTAINMENT) -> tuple[DataFrame, D
     hits = F.least(F.lit(HITS), held)
     length = F.col("n_item") - held + hits
     items = items.withColumns({
-        "part": F.floor(F.log2("n_item")).cast("int"),
+        "part": F.when(F.least(length, F.lit(k)) >= F.col("n_item"), WHOLE).otherwise(F.floor(F.log2("n_item")).cast("int")),
         "length": F.least(length, F.lit(k)).cast("int"),
         "need": F.when(length <= k, hits).otherwise(needed_hits(k, t)).cast("int"),
     })
@@ -92,6 +95,13 @@ def sketches(benchmark: DataFrame, t: float = CONTAINMENT) -> tuple[DataFrame, D
     return items, written(items.select(F.explode(F.slice("s", F.lit(1), F.col("length"))).alias("h"), "item_id", "part"), "sketches")
 
 
+def probes(shingles: DataFrame, bounds: dict[int, int]) -> DataFrame:
+    """doc_id, h and part: each shingle hash once for every partition under whose bound it lies."""
+    under = F.array(*(F.when(F.col("h") <= F.lit(bound), F.lit(part)) for part, bound in sorted(bounds.items()))) if bounds else F.array().cast("array<int>")
+    least = shingles.filter(F.col("h") <= F.lit(max(bounds.values(), default=-(1 << 63))))
+    return least.select("doc_id", "h", F.explode(under).alias("part")).filter("part is not null")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """Rows doc_id, item_id, n_shared, n_item (long), containment (double), for containment at or above the bound (above 0)."""
     if not 0 < containment <= 1:
@@ -100,10 +110,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     # One row per partition: powers of two, so at most 64.
     parts = sketch.groupBy("part").agg(F.max("h").alias("bound"), F.count("*").alias("n")).collect()
     small = (lambda d: F.broadcast(d)) if sum(p["n"] for p in parts) <= BROADCAST_ROWS else (lambda d: d)
-    bound = max((p["bound"] for p in parts), default=-(1 << 63))
-    sought = _shingled(docs, id_or_last(), "doc_id").select("doc_id", F.explode_outer("s").alias("h")).filter(F.col("h") <= F.lit(bound))
+    sought = probes(_shingled(docs, id_or_last(), "doc_id").select("doc_id", F.explode_outer("s").alias("h")), {p["part"]: p["bound"] for p in parts})
     # Rows that share a doc_id may repeat a hash: distinct (h) per document and item.
-    hits = sought.join(small(sketch.select("h", "item_id")), "h").groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("hits"))
+    hits = sought.join(small(sketch.select("h", "part", "item_id")), ["h", "part"]).groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("hits"))
     candidates = hits.join(small(items.select("item_id", "need")), "item_id").filter("hits >= need").select("doc_id", "item_id")
     candidates = written(candidates, "decontamination-candidates")
     # Verification: all shingles of the candidate items, in the candidate documents only.

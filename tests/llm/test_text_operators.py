@@ -142,6 +142,21 @@ def test_contamination(spark):
         decontamination.BROADCAST_ROWS = monkey
 
 
+def test_small_items_cost_large_ones_no_probes(spark):
+    """Each size partition is searched by its own bound: further items of another size leave its probes as they were."""
+    r = random.Random(21)
+    large, small, docs = [prose(r, 400) for _ in range(5)], [prose(r, 7) for _ in range(40)], [prose(r, 300) for _ in range(30)]
+
+    def probed(items):
+        _, sketch = decontamination.sketches(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+        bounds = {x["part"]: x["bound"] for x in sketch.groupBy("part").agg(decontamination.F.max("h").alias("bound")).collect()}
+        shingles = decontamination._shingled(H.documents(spark, docs), decontamination.id_or_last(), "doc_id").selectExpr("doc_id", "explode_outer(s) AS h")
+        return {x["part"]: x["count"] for x in decontamination.probes(shingles, bounds).groupBy("part").count().collect()}, shingles.count()
+
+    (alone, all_), (mixed, _) = probed(large), probed(large + small)
+    assert list(alone) == [8] and alone[8] < 0.4 * all_ and mixed[8] == alone[8] and mixed[decontamination.WHOLE] > 0.8 * all_
+
+
 @pytest.mark.parametrize("bound", [0.3, 0.5, 0.8, 1.0])
 def test_containment_bounds(spark, bound):
     """Any bound, items of mixed sizes, documents that hold from a fifth to all of an item: equal to brute force."""
