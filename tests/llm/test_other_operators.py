@@ -434,6 +434,16 @@ def test_warc_round_trip(spark, monkeypatch, tmp_path):
             assert len([warc.parse(r) for r in warc.read_ranges(h, index[os.path.basename(f)])]) == len(index[os.path.basename(f)])
 
 
+def test_the_query_reads_the_index_first(spark, monkeypatch):
+    """After the archives are written, the index alone is read, without content; only then the records' ranges."""
+    seen, real = [], warc.written
+    monkeypatch.setattr(warc, "written", lambda df, name, **o: seen.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name, **o))
+    got = warc.round_trip(pages(spark, [(i, f"http://x/{i}", f"<p>{i % 7}") for i in range(30)]))
+    assert [name for name, _ in seen] == ["repeated-payloads", "archives", "selected-blocks"]
+    assert "entries" in seen[-1][1] and "content" not in seen[-1][1]
+    assert sorted((x["page_id"], x["record_type"]) for x in got.collect()) == [(i, "response" if i < 7 else "revisit") for i in range(30)]
+
+
 def test_a_selection_reads_few_blocks(spark, monkeypatch):
     """The index is read without content; then only row groups that may hold the selected records."""
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 60_000)
