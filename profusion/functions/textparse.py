@@ -17,15 +17,11 @@ SECTION = r"(?Uids)(?:Experience|Work History|Professional Experience):?\s*\n(.*
 ROLE = r"(?Ui)([A-Za-z\s]+)\s+at\s+([A-Za-z0-9\s]+)\s*\((\d{4}[-/]\d{2}|\d{4})\s*[-–to\s]+\s*(\d{4}[-/]\d{2}|\d{4}|present|current)\)"
 RANGE = r"[-–to]+"
 STRICT_RANGE = r"(?i)\s*–\s*|\s+-\s+|\s+to\s+"
-KEYS = {
-    "name": r"(?Uid)^(?:Candidate\s+)?Name\s*:\s*(.*)$",
-    "email": r"(?Uid)^Email\s*:\s*(.*)$",
-    "phone": r"(?Uid)^Phone\s*:\s*(.*)$",
-    "company": r"(?Uid)^(?:Current\s+)?Company\s*:\s*(.*)$",
-    "title": r"(?Uid)^(?:Current\s+)?Title\s*:\s*(.*)$",
-    "skills": r"(?Uid)^Skills\s*:\s*(.*)$",
-    "years": r"(?Ui)(?:Years\s+of\s+)?Experience\s*:\s*(\d+(?:\.\d+)?)\s*years?",
-}
+#: A line of notes: a key and its value, or years of experience anywhere in it.
+KEYED = (
+    r"(?Uid)^(?:((?:Candidate\s+)?Name|Email|Phone|(?:Current\s+)?Company|(?:Current\s+)?Title|Skills)\s*:\s*(.*)"
+    r"|.*?Experience\s*:\s*(\d+(?:\.\d+)?)\s*years?.*)$"
+)
 HEADER = r"(?Uid)^(?:Recruiter\s+)?Notes\s+(?:on|for|on\s+candidate)\s+(.*)$"
 NO_EXPERIENCE = f"array<{EXPERIENCE}>"
 
@@ -78,14 +74,11 @@ def resume(text: Column, strict_dates: bool = False) -> list[Column]:
 
 
 def keyed_lines(text: Column) -> Column:
-    """Array of (key, value): the first key that each non-blank line matches."""
+    """Array of (key, value): the first key that each non-blank line matches. One pattern finds all keys."""
     def keyed(line: Column) -> Column:
-        key = value = F.lit(None).cast("string")
-        for name, pattern in reversed(KEYS.items()):
-            hit = line.rlike(pattern)
-            key = F.when(hit, F.lit(name)).otherwise(key)
-            value = F.when(hit, strip(_group(line, pattern, 1))).otherwise(value)
-        return F.struct(key.alias("key"), value.alias("value"))
+        years, spelled = _group(line, KEYED, 3), F.translate(_group(line, KEYED, 1), "ſıİK", "siik")  # which fold to letters of keys
+        key = F.when(years != "", "years").otherwise(F.nullif(F.lower(F.regexp_replace(spelled, r"(?Ud)^.*\s", "")), F.lit("")))
+        return F.struct(key.alias("key"), F.when(years != "", years).otherwise(strip(_group(line, KEYED, 2))).alias("value"))
 
     return F.filter(F.transform(lines(text), keyed), lambda x: x["key"].isNotNull())
 

@@ -97,6 +97,26 @@ def test_notes(spark):
     assert (r["full_name"], r["emails"], r["phones"], r["skills"], r["years_experience"], r["experience"]) == ("Bo Li", ["c@x.com"], [], ["A", "B", "C"], 2.0, [])
 
 
+def test_keys_of_notes_equal_separate_patterns(spark):
+    """One pattern for all keys finds what a pattern for each key, tried in order, finds."""
+    import re
+
+    keys = {
+        "name": r"^(?:Candidate\s+)?Name\s*:\s*(.*)$", "email": r"^Email\s*:\s*(.*)$", "phone": r"^Phone\s*:\s*(.*)$", "company": r"^(?:Current\s+)?Company\s*:\s*(.*)$", "title": r"^(?:Current\s+)?Title\s*:\s*(.*)$",
+        "skills": r"^Skills\s*:\s*(.*)$", "years": r"(?:Years\s+of\s+)?Experience\s*:\s*(\d+(?:\.\d+)?)\s*years?",
+    }
+    draw = random.Random(28)
+    parts = ["Name", "candidate\t NAME", "Email", "phone", "Current Company", "company", "TITLE", "current title", "Skills", "SKILLſ", "Years of Experience", "experience", ":", " : ", ":", "3", "2.5 years", "10 year", "x, y", "é", " ", "\r"]
+    texts = ["\n".join("".join(draw.choice(parts) for _ in range(draw.randint(0, 6))) for _ in range(8)) for _ in range(300)]
+    got = [[tuple(x) for x in r] for r in evaluate(spark, texts, X.keyed_lines)]
+    for text, found in zip(texts, got, strict=True):
+        want = []
+        for line in filter(None, map(str.strip, text.split("\n"))):
+            hit = next(((k, m) for k, p in keys.items() if (m := re.search(p, line, re.I))), None)
+            want += [(hit[0], hit[1][1].strip())] if hit else []
+        assert found == want, text
+
+
 def test_detect(spark):
     rows = [("a.CSV", ""), ("b.json", "[]"), ("c.json", "{"), ("d.docx", ""), ("e.txt", "x"), ("My_Notes.txt", "x"), ("f.txt", "x\nCandidate Notes"), ("g.xml", "")]
     got = detect(spark.createDataFrame(rows, "file string, text string")).collect()
