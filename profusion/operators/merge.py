@@ -79,9 +79,13 @@ def proposals(records: DataFrame, as_of: Column, default_region: str = "US", fie
         return _proposal(field, F.coalesce(result["value"], F.concat(F.lit("normalize_failed_"), c)), conf, failed=bad, note=result["note"])
 
     not_blank = lambda x: x.isNotNull() & (strip(x) != "")
-    computed = F.round(F.aggregate(F.coalesce("experience", F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>")), F.lit(0.0), lambda acc, e: acc + N.years_between(e["start"], e["end"], as_of)), 1)
     years = lambda v, c: _proposal("years_experience", v.cast("string"), c, json=v.cast("string"), num=v)
 
+    def stated_and_derived() -> list[Column]:
+        work = F.coalesce("experience", F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>"))
+        computed = F.round(F.aggregate(work, F.lit(0.0), lambda acc, e: acc + N.years_between(e["start"], e["end"], as_of)), 1)
+        return [_if(col("years_experience").isNotNull(), years(col("years_experience"), conf)), _if(computed > 0, years(computed, derived))]
+
     def experience(e: Column) -> Column:
         grp = clean_name(e["company"])
         entry = F.struct(e["company"].alias("company"), e["title"].alias("title"), F.lit(None).cast("string").alias("institution"), F.lit(None).cast("string").alias("degree"))
@@ -106,23 +110,23 @@ def proposals(records: DataFrame, as_of: Column, default_region: str = "US", fie
 
     country = col("location.country")
     parts = {
-        "full_name": [_if(F.coalesce(strip(col("full_name")) != "", F.lit(False)), _proposal("full_name", strip(col("full_name")), conf))],
-        "headline": [plain("headline", col("headline"))],
-        "years_experience": [_if(col("years_experience").isNotNull(), years(col("years_experience"), conf)), _if(computed > 0, years(computed, derived))],
-        "location": [
+        "full_name": lambda: [_if(F.coalesce(strip(col("full_name")) != "", F.lit(False)), _proposal("full_name", strip(col("full_name")), conf))],
+        "headline": lambda: [plain("headline", col("headline"))],
+        "years_experience": stated_and_derived,
+        "location": lambda: [
             plain("location.city", col("location.city")), plain("location.region", col("location.region")), _if(_filled(country), coded("location.country", country, N.country(country))),
         ],
-        "emails": [_each(F.filter(F.coalesce("emails", F.array().cast("array<string>")), not_blank), lambda x: _proposal("emails", email_key(x), conf, json=json_text(x)))],
-        "phones": [_each(F.filter(F.coalesce("phones", F.array().cast("array<string>")), not_blank), lambda x: coded("phones", x, N.phone(x, default_region)))],
-        "links": [
+        "emails": lambda: [_each(F.filter(F.coalesce("emails", F.array().cast("array<string>")), not_blank), lambda x: _proposal("emails", email_key(x), conf, json=json_text(x)))],
+        "phones": lambda: [_each(F.filter(F.coalesce("phones", F.array().cast("array<string>")), not_blank), lambda x: coded("phones", x, N.phone(x, default_region)))],
+        "links": lambda: [
             plain("links.linkedin", col("links.linkedin")), plain("links.github", col("links.github")), plain("links.portfolio", col("links.portfolio")),
             _each(F.filter(F.coalesce(col("links.other"), F.array().cast("array<string>")), _filled), lambda x: _proposal("links.other", strip(x), conf)),
         ],
-        "skills": [_each(F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: _proposal("skills", N.skill(x), conf))],
-        "experience": [F.flatten(F.transform(F.coalesce("experience", F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>")), experience))],
-        "education": [F.flatten(F.transform(F.coalesce("education", F.array().cast("array<struct<institution:string,degree:string,field:string,end_year:int>>")), education))],
+        "skills": lambda: [_each(F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: _proposal("skills", N.skill(x), conf))],
+        "experience": lambda: [F.flatten(F.transform(F.coalesce("experience", F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>")), experience))],
+        "education": lambda: [F.flatten(F.transform(F.coalesce("education", F.array().cast("array<struct<institution:string,degree:string,field:string,end_year:int>>")), education))],
     }
-    wanted = [part for name in PROPOSED if fields is None or name in fields for part in parts[name]]
+    wanted = [part for name in PROPOSED if fields is None or name in fields for part in parts[name]()]
     every = F.concat(F.array(_proposal("", col("source_id"), conf)), *wanted)
     return records.select("entity", "rec_pos", "source_id", "source_type", "method", F.posexplode(every).alias("idx", "p")).select("entity", "rec_pos", "idx", "source_id", "source_type", "method", "p.*")
 

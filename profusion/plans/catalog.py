@@ -459,14 +459,19 @@ def q29(spark, sf_dir):
     return o.select("o_orderkey", e.alias("e"), X.stated_years(F.col("text")).alias("years")).select("o_orderkey", F.col("e.start").alias("start_text"), "e.title", "e.company", F.col("e.end").alias("end_text"), "years")
 
 
+def _file_name() -> Column:
+    """Some customers of a nation make a file, never more than a thousand."""
+    return F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("-"), F.floor(F.col("c_custkey") / 1000).cast("string"))
+
+
 @_register("Q30_ats_items", """
-SELECT 'n' || c_nationkey || '_ats_' || c_custkey AS source_id, c_name AS full_name, c_mktsegment AS city, CASE WHEN c_custkey % 2 = 0 THEN 'US' ELSE 'DE' END AS country, c_custkey % 40 + 0.5 AS years FROM customer""")
+SELECT 'n' || c_nationkey || '-' || c_custkey // 1000 || '_ats_' || c_custkey AS source_id, c_name AS full_name, c_mktsegment AS city, CASE WHEN c_custkey % 2 = 0 THEN 'US' ELSE 'DE' END AS country, c_custkey % 40 + 0.5 AS years FROM customer""")
 def q30(spark, sf_dir):
     k = F.col("c_custkey")
     text_place = F.to_json(F.struct(k.cast("string").alias("ats_id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.lit(", US")).alias("location"), (k % 40 + 0.5).alias("years_experience")))
     map_place = F.to_json(F.struct(k.cast("string").alias("ats_id"), F.col("c_name").alias("full_name"), F.struct(F.col("c_mktsegment").alias("city"), F.lit("DE").alias("country")).alias("location"), (k % 40 + 0.5).cast("string").alias("years_experience")))
-    items = table(spark, sf_dir, "customer").select("c_nationkey", F.when(k % 2 == 0, text_place).otherwise(map_place).alias("item"))
-    files = items.groupBy("c_nationkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("text")).select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("file"), "text")
+    items = table(spark, sf_dir, "customer").select(_file_name().alias("file"), F.when(k % 2 == 0, text_place).otherwise(map_place).alias("item"))
+    files = items.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("text"))
     return ats_json(files).select("source_id", "full_name", "location.city", "location.country", F.col("years_experience").alias("years"))
 
 
@@ -474,8 +479,8 @@ def q30(spark, sf_dir):
 SELECT c_name AS full_name, lower(c_mktsegment) || '@example.com' AS email, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS DOUBLE) END AS years, count(*) AS n FROM customer GROUP BY 1, 2, 3""")
 def q31(spark, sf_dir):
     line = F.concat_ws(",", F.concat(F.lit('"'), "c_name", F.lit('"')), F.concat(F.lower("c_mktsegment"), F.lit("@example.com")), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise("n/a"))
-    files = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("full_name,email_address,experience_years\n"), F.array_join(F.collect_list(line), "\n\n")).alias("text"))
-    rows = recruiter_csv(files.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".csv")).alias("file"), "text"))
+    files = table(spark, sf_dir, "customer").groupBy(_file_name().alias("file")).agg(F.concat(F.lit("full_name,email_address,experience_years\n"), F.array_join(F.collect_list(line), "\n\n")).alias("text"))
+    rows = recruiter_csv(files.select(F.concat("file", F.lit(".csv")).alias("file"), "text"))
     return rows.groupBy("full_name", F.get("emails", F.lit(0)).alias("email"), F.col("years_experience").alias("years")).agg(F.count("*").alias("n"))
 
 
@@ -485,8 +490,8 @@ def _folder(spark, sf_dir) -> DataFrame:
     text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
     mail, phone, years = text("c", k.cast("string"), "@example.com"), text("(650) 555-", F.lpad((k % 10000).cast("string"), 4, "0")), (k % 30 + 1).cast("string")
     row = F.concat_ws(",", "c_name", mail, phone, "c_mktsegment", F.lit("Clerk"), years)
-    rows = c.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
-    csvs = rows.select(text("n", F.col("c_nationkey").cast("string"), ".CSV").alias("file"), text("name,email,phone,company,title,years_experience\n", F.col("rows")).alias("text"))
+    rows = c.groupBy(_file_name().alias("file")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    csvs = rows.select(text(F.col("file"), ".CSV").alias("file"), text("name,email,phone,company,title,years_experience\n", F.col("rows")).alias("text"))
     notes = c.filter(k % 2 == 0).select(text("c", k.cast("string"), ".txt").alias("file"), text("Candidate notes on ", F.col("c_name"), "\nEmail: ", mail, "\nCompany: ", F.col("c_mktsegment"), "\nTitle: Boss\nSkills: Go, Rust\n").alias("text"))
     items = c.filter(k % 7 == 0).select(text("j", k.cast("string"), ".json").alias("file"), text('{"ats_id": "', k.cast("string"), '", "name": "', F.col("c_name"), '", "email": "', mail, '", "skills": "rust, Excel", "education": [{"institution": "MIT", "degree": "BS", "end_year": ', (k % 20 + 1990).cast("string"), "}], \"location\": \"Rome, IT\"}").alias("text"))
     odd = c.filter(k % 50 == 0).select(text("x", k.cast("string"), F.when(k % 100 == 0, ".json").otherwise(".md")).alias("file"), F.lit("{").alias("text"))
@@ -495,7 +500,7 @@ def _folder(spark, sf_dir) -> DataFrame:
 
 
 @_register("Q32_detect_kinds", """
-SELECT 'n' || c_nationkey || '.CSV' AS file, 'recruiter_csv' AS source_type FROM customer GROUP BY 1
+SELECT 'n' || c_nationkey || '-' || c_custkey // 1000 || '.CSV' AS file, 'recruiter_csv' AS source_type FROM customer GROUP BY 1
 UNION ALL SELECT 'c' || c_custkey || '.txt', 'recruiter_notes' FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT 'j' || c_custkey || '.json', 'ats_json' FROM customer WHERE c_custkey % 7 = 0
 UNION ALL SELECT 'r' || c_custkey || '.TXT', 'resume' FROM customer WHERE c_custkey % 11 = 0
