@@ -170,29 +170,33 @@ def _first(*paths: str) -> Column:
 def ats_json(files: DataFrame) -> DataFrame:
     """Records of JSON files that are rows (file, text). An item of impossible form drops itself and the items after it in its file."""
     parsed = files.select("file", F.try_parse_json("text").alias("v"))
-    many = F.expr("coalesce(try_variant_get(v, '$', 'array<variant>'), array(v))")
-    items = parsed.select("file", F.posexplode(many).alias("at", "item"))
-    return _records(_ats_found(items.select("file", F.col("at").cast("long").alias("item_no"), "item", F.lit(None).cast("string").alias("reason"))))
+    many = parsed.select("file", F.expr("coalesce(try_variant_get(v, '$', 'array<variant>'), array(v))").alias("many"))
+    first = F.expr(f"array_min(transform(many, (item, at) -> CASE WHEN {_impossible()} IS NOT NULL THEN at END))")
+    items = many.select("file", first.alias("first_bad"), F.posexplode("many").alias("at", "item"))
+    return _records(_ats_found(items.select("file", F.col("at").cast("long").alias("item_no"), "item", F.lit(None).cast("string").alias("reason"), "first_bad")))
 
 
-def _impossible() -> Column:
-    """Why an item cannot be read, null if it can."""
+def _impossible() -> str:
+    """SQL: why an item cannot be read, null if it can."""
     # float() of a list or object; strip() of what is no string; int() of a list or object.
-    years = F.expr(f"NOT {_filled('years_experience')} AND ({_kind('experience')} LIKE 'ARRAY%' OR {_kind('experience')} LIKE 'OBJECT%') OR {_kind('years_experience')} LIKE 'OBJECT<_%' OR ({_kind('years_experience')} LIKE 'ARRAY%' AND {_filled('years_experience')})")
-    no_text = lambda a, b: F.expr(f"CASE WHEN {_filled(a)} THEN {_kind(a)} <> 'STRING' WHEN {_filled(b)} THEN {_kind(b)} <> 'STRING' ELSE false END")
+    years = f"NOT {_filled('years_experience')} AND ({_kind('experience')} LIKE 'ARRAY%' OR {_kind('experience')} LIKE 'OBJECT%') OR {_kind('years_experience')} LIKE 'OBJECT<_%' OR ({_kind('years_experience')} LIKE 'ARRAY%' AND {_filled('years_experience')})"
+    no_text = lambda a, b: f"CASE WHEN {_filled(a)} THEN {_kind(a)} <> 'STRING' WHEN {_filled(b)} THEN {_kind(b)} <> 'STRING' ELSE false END"
     ends = "exists(coalesce(try_variant_get(item, '$.education', 'array<variant>'), array()), e -> coalesce(schema_of_variant(try_variant_get(e, '$.end_year', 'variant')), '') RLIKE '^(OBJECT<.|ARRAY<[^V])')"
-    return (
-        F.when(F.expr("coalesce(schema_of_variant(item), 'VOID') NOT LIKE 'OBJECT%'"), "the item is no object").when(years, "years of experience are a list or object")
-        .when(no_text("email_address", "email"), "the e-mail is no text").when(no_text("telephone", "phone"), "the phone is no text").when(F.expr(ends), "an end year is a list or object")
-    )
+    return f"""(CASE WHEN coalesce(schema_of_variant(item), 'VOID') NOT LIKE 'OBJECT%' THEN 'the item is no object' WHEN {years} THEN 'years of experience are a list or object'
+        WHEN {no_text('email_address', 'email')} THEN 'the e-mail is no text' WHEN {no_text('telephone', 'phone')} THEN 'the phone is no text' WHEN {ends} THEN 'an end year is a list or object' END)"""
 
 
 def _ats_found(items: DataFrame) -> DataFrame:
-    """Records and errors of items (file, item_no, item, reason); those after a file's first impossible item are errors."""
-    items = items.withColumn("bad", F.when(F.col("reason").isNull(), _impossible()))
-    first = items.filter("bad is not null").groupBy("file").agg(F.min("item_no").alias("first_bad"))
-    why = F.coalesce("reason", F.when(F.col("item_no") == F.col("first_bad"), F.col("bad")), F.when(F.col("item_no") > F.col("first_bad"), "it follows an item that cannot be read"))
-    good = items.join(first, "file", "left").withColumn("why", why)
+    """Records and errors of items (file, item_no, item, reason); those after a file's first impossible item are errors.
+
+    Where the items of a file are in many rows (a written table), its first impossible one is an aggregate; else it comes as ``first_bad``.
+    """
+    bad = F.expr(_impossible())
+    if "first_bad" not in items.columns:
+        first = items.filter(F.col("reason").isNull() & bad.isNotNull()).groupBy("file").agg(F.min("item_no").alias("first_bad"))
+        items = items.join(first, "file", "left")
+    why = F.coalesce("reason", F.when(F.col("item_no") == F.col("first_bad"), bad), F.when(F.col("item_no") > F.col("first_bad"), "it follows an item that cannot be read"))
+    good = items.withColumn("why", why)
 
     place = F.transform(F.split(F.expr(_text("location")), ","), strip)
     at = lambda i: F.get(place, F.lit(i))
