@@ -38,8 +38,8 @@ def _observed(df: DataFrame, name: str, what: str) -> DataFrame:
     return out
 
 
-def resolve(records: DataFrame, as_of: Column | None = None, options: Options = Options(), config: OutputConfig | None = None) -> DataFrame:
-    """Source records to canonical entities, in order of their first record (column entity).
+def linked(records: DataFrame, as_of: Column | None = None, options: Options = Options(), config: OutputConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """Source records to canonical entities without flags, and the groups of possible duplicates among them (``match.duplicate_groups``).
 
     With a configuration only what it puts out is merged: without confidence, only the fields it names; without provenance, no log.
     """
@@ -47,7 +47,13 @@ def resolve(records: DataFrame, as_of: Column | None = None, options: Options =
     assigned, groups = cluster(records, normalized_phone_match=options.normalized_phone_match, default_region=options.default_region)
     fields, logged = needs(config) if config else (None, True)
     merged = merge(records.join(assigned, "rec_pos"), as_of, options.default_region, options.strict_compat, fields, logged)
-    merged = _observed(merged, "merged", "entities")
+    return _observed(merged, "merged", "entities"), groups
+
+
+def resolve(records: DataFrame, as_of: Column | None = None, options: Options = Options(), config: OutputConfig | None = None) -> DataFrame:
+    """Source records to canonical entities (``linked``) with their flags, in order of their first record (column entity)."""
+    merged, groups = linked(records, as_of, options, config)
+    logged = needs(config)[1] if config else True
     return flag_groups(merged, groups) if not config or logged or "possible_duplicate_of" in {f.source for f in config.fields} else merged
 
 
