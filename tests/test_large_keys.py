@@ -31,3 +31,7 @@ def equals_sql(spark, shifted, name):
 
 def test_q33_people_who_share_a_number_stay_apart(spark, shifted):
     equals_sql(spark, shifted, "Q33_resolve_people")
+
+
+def test_q34_logs_of_people_who_share_a_number(spark, shifted):
+    equals_sql(spark, shifted, "Q34_run_log_and_ids")
