@@ -70,6 +70,17 @@ def duplicate_groups(keys: DataFrame, assigned: DataFrame) -> DataFrame:
     return members.join(several, ["name", "company"])
 
 
+def duplicate_counts(groups: DataFrame) -> DataFrame:
+    """Entities of ``duplicate_groups`` with n_duplicates, the number of their possible duplicates, and no lists of them.
+
+    An entity of one block has all others of the block; only those that stand in several blocks need their pairs, so that none counts twice.
+    """
+    of = groups.groupBy("entity").agg(F.count("*").alias("blocks"), F.max("n").alias("n"))
+    several = groups.join(of.filter("blocks > 1").select("entity"), "entity", "left_semi").select("entity", "name", "company")
+    pairs = several.join(groups.select("name", "company", F.col("entity").alias("other")), ["name", "company"]).filter("entity <> other")
+    return of.filter("blocks = 1").select("entity", (F.col("n") - 1).alias("n_duplicates")).union(pairs.groupBy("entity").agg(F.count_distinct("other").alias("n_duplicates")))
+
+
 def blocked_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges inside equal sets of keys, and pairs (a, b, conflicting) of distinct sets within a block: a report of all pairs, for
     blocks of which all pairs are wanted. Clustering does without."""

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from profusion.operators.match import duplicate_counts
 from tests.test_entry import SF, plain
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -35,3 +36,12 @@ def test_q33_people_who_share_a_number_stay_apart(spark, shifted):
 
 def test_q34_logs_of_people_who_share_a_number(spark, shifted):
     equals_sql(spark, shifted, "Q34_run_log_and_ids")
+
+
+def test_q39_blocks_of_people_of_large_keys(spark, shifted):
+    equals_sql(spark, shifted, "Q39_flags_of_a_run")
+
+
+def test_duplicates_are_counted_once_over_several_blocks(spark):
+    groups = spark.createDataFrame([("a", "x", 1, 3), ("a", "x", 2, 3), ("a", "x", 3, 3), ("b", "x", 1, 2), ("b", "x", 2, 2), ("c", "y", 3, 2), ("c", "y", 4, 2)], "name string, company string, entity long, n long")
+    assert {r["entity"]: r["n_duplicates"] for r in duplicate_counts(groups).collect()} == {1: 2, 2: 2, 3: 3, 4: 1}
