@@ -148,19 +148,38 @@ def _csv_found(rows: DataFrame) -> DataFrame:
     ))
 
 
-def _kind(path: str) -> str:
-    return f"coalesce(schema_of_variant(try_variant_get(item, '$.{path}', 'variant')), 'VOID')"
+#: The fields of an item that are read, first those that can make it impossible.
+JUDGED_PATHS = ["years_experience", "experience", "email_address", "email", "telephone", "phone", "education"]
+ITEM_PATHS = [*JUDGED_PATHS, "ats_id", "candidate_name", "full_name", "name", "location", "skills", "company_name", "company", "job_title", "title"]
 
 
-def _text(path: str, item: str = "item") -> str:
-    return f"try_variant_get({item}, '$.{path}', 'string')"
+def _variants(paths: list[str]) -> str:
+    """The type of an item's fields, which are taken from it once, as a struct of variants."""
+    return "struct<" + ",".join(f"{p}:variant" for p in paths) + ">"
 
 
-def _filled(path: str) -> str:
+def _kind_of(path: str, fields: str) -> str:
+    """SQL: the kind of a field. It stands beside ``fields`` as ``kind_<path>``, found once; expressions below read both, at ``of``."""
+    return f"coalesce(schema_of_variant({fields}.{path}), 'VOID')"
+
+
+def _kind(path: str, of: str = "") -> str:
+    return f"{of}kind_{path}"
+
+
+def _text(path: str, of: str = "") -> str:
+    return f"try_variant_get({of}fields.{path}, '$', 'string')"
+
+
+def _part(path: str, entry: str) -> str:
+    return f"try_variant_get({entry}, '$.{path}', 'string')"
+
+
+def _filled(path: str, of: str = "") -> str:
     """SQL: the field is neither missing, null, '', 0, false nor empty."""
-    k = _kind(path)
-    return f"""(CASE WHEN {k} = 'STRING' THEN {_text(path)} <> '' WHEN {k} = 'VOID' THEN false WHEN {k} = 'BOOLEAN' THEN try_variant_get(item, '$.{path}', 'boolean')
-        WHEN {k} LIKE 'ARRAY%' THEN size(try_variant_get(item, '$.{path}', 'array<variant>')) > 0 WHEN {k} LIKE 'OBJECT%' THEN {k} <> 'OBJECT<>' ELSE try_variant_get(item, '$.{path}', 'double') <> 0 END)"""
+    k, v = _kind(path, of), f"{of}fields.{path}"
+    return f"""(CASE WHEN {k} = 'VOID' THEN false WHEN {k} = 'STRING' THEN {_text(path, of)} <> '' WHEN {k} = 'BOOLEAN' THEN try_variant_get({v}, '$', 'boolean')
+        WHEN {k} LIKE 'ARRAY%' THEN size(try_variant_get({v}, '$', 'array<variant>')) > 0 WHEN {k} LIKE 'OBJECT%' THEN {k} <> 'OBJECT<>' ELSE try_variant_get({v}, '$', 'double') <> 0 END)"""
 
 
 def _first(*paths: str) -> Column:
@@ -169,48 +188,61 @@ def _first(*paths: str) -> Column:
 
 def ats_json(files: DataFrame) -> DataFrame:
     """Records of JSON files that are rows (file, text). An item of impossible form drops itself and the items after it in its file."""
+    listed = lambda kind: f"coalesce(try_variant_get(v, '$', 'array<{kind}>'), array(try_variant_get(v, '$', '{kind}')))"
     parsed = files.select("file", F.try_parse_json("text").alias("v"))
-    many = parsed.select("file", F.expr("coalesce(try_variant_get(v, '$', 'array<variant>'), array(v))").alias("many"))
-    first = F.expr(f"array_min(transform(many, (item, at) -> CASE WHEN {_impossible()} IS NOT NULL THEN at END))")
-    items = many.select("file", first.alias("first_bad"), F.posexplode("many").alias("at", "item"))
-    return _records(_ats_found(items.select("file", F.col("at").cast("long").alias("item_no"), "item", F.lit(None).cast("string").alias("reason"), "first_bad")))
+    judged = ", ".join(f"'kind_{p}', {_kind_of(p, 'i')}" for p in JUDGED_PATHS)
+    judged = F.expr(f"transform({listed(_variants(JUDGED_PATHS))}, i -> named_struct('fields', i, {judged}))")
+    many = parsed.select("file", judged.alias("judged"), F.expr(listed("variant")).alias("many"))
+    first = F.expr(f"array_min(transform(judged, (x, at) -> CASE WHEN {_impossible('x.')} IS NOT NULL THEN at END))")
+    # Found once a file, below the explosion; "outer", or Spark infers a filter of empty lists that parses each text again.
+    many = many.select("file", "many", first.alias("first_bad"))
+    items = many.select("file", "first_bad", F.posexplode_outer("many").alias("item_no", "item")).filter("item_no < coalesce(first_bad, 2147483647)")
+    return _items_read(_with_fields(items.select("file", F.col("item_no").cast("long").alias("item_no"), "item", F.lit(None).cast("string").alias("why")))).drop("reason")
 
 
-def _impossible() -> str:
+def _impossible(of: str = "") -> str:
     """SQL: why an item cannot be read, null if it can."""
     # float() of a list or object; strip() of what is no string; int() of a list or object.
-    years = f"NOT {_filled('years_experience')} AND ({_kind('experience')} LIKE 'ARRAY%' OR {_kind('experience')} LIKE 'OBJECT%') OR {_kind('years_experience')} LIKE 'OBJECT<_%' OR ({_kind('years_experience')} LIKE 'ARRAY%' AND {_filled('years_experience')})"
-    no_text = lambda a, b: f"CASE WHEN {_filled(a)} THEN {_kind(a)} <> 'STRING' WHEN {_filled(b)} THEN {_kind(b)} <> 'STRING' ELSE false END"
-    ends = "exists(coalesce(try_variant_get(item, '$.education', 'array<variant>'), array()), e -> coalesce(schema_of_variant(try_variant_get(e, '$.end_year', 'variant')), '') RLIKE '^(OBJECT<.|ARRAY<[^V])')"
-    return f"""(CASE WHEN coalesce(schema_of_variant(item), 'VOID') NOT LIKE 'OBJECT%' THEN 'the item is no object' WHEN {years} THEN 'years of experience are a list or object'
+    kind, filled = lambda p: _kind(p, of), lambda p: _filled(p, of)
+    years = f"NOT {filled('years_experience')} AND ({kind('experience')} LIKE 'ARRAY%' OR {kind('experience')} LIKE 'OBJECT%') OR {kind('years_experience')} LIKE 'OBJECT<_%' OR ({kind('years_experience')} LIKE 'ARRAY%' AND {filled('years_experience')})"
+    no_text = lambda a, b: f"CASE WHEN {filled(a)} THEN {kind(a)} <> 'STRING' WHEN {filled(b)} THEN {kind(b)} <> 'STRING' ELSE false END"
+    ends = f"{kind('education')} LIKE 'ARRAY%' AND exists(try_variant_get({of}fields.education, '$', 'array<variant>'), e -> coalesce(schema_of_variant(try_variant_get(e, '$.end_year', 'variant')), '') RLIKE '^(OBJECT<.|ARRAY<[^V])')"
+    return f"""(CASE WHEN {of}fields IS NULL THEN 'the item is no object' WHEN {years} THEN 'years of experience are a list or object'
         WHEN {no_text('email_address', 'email')} THEN 'the e-mail is no text' WHEN {no_text('telephone', 'phone')} THEN 'the phone is no text' WHEN {ends} THEN 'an end year is a list or object' END)"""
 
 
 def _ats_found(items: DataFrame) -> DataFrame:
     """Records and errors of items (file, item_no, item, reason); those after a file's first impossible item are errors.
 
-    Where the items of a file are in many rows (a written table), its first impossible one is an aggregate; else it comes as ``first_bad``.
+    The items of a file may be in many rows (a written table); its first impossible one is an aggregate.
     """
-    bad = F.expr(_impossible())
-    if "first_bad" not in items.columns:
-        first = items.filter(F.col("reason").isNull() & bad.isNotNull()).groupBy("file").agg(F.min("item_no").alias("first_bad"))
-        items = items.join(first, "file", "left")
+    items, bad = _with_fields(items), F.expr(_impossible())
+    # No filter of rows: it would go below the fields and find them again for each use.
+    first = items.groupBy("file").agg(F.min(F.when(F.col("reason").isNull() & bad.isNotNull(), F.col("item_no"))).alias("first_bad"))
     why = F.coalesce("reason", F.when(F.col("item_no") == F.col("first_bad"), bad), F.when(F.col("item_no") > F.col("first_bad"), "it follows an item that cannot be read"))
-    good = items.withColumn("why", why)
+    return _items_read(items.join(first, "file", "left").withColumn("why", why))
+
+
+def _with_fields(items: DataFrame) -> DataFrame:
+    found = items.withColumn("fields", F.expr(f"try_variant_get(item, '$', '{_variants(ITEM_PATHS)}')"))
+    return found.withColumns({f"kind_{p}": F.expr(_kind_of(p, "fields")) for p in ITEM_PATHS})
+
 
+def _items_read(good: DataFrame) -> DataFrame:
+    """Records of items with their fields; ``why`` is the reason of those that are errors."""
     place = F.transform(F.split(F.expr(_text("location")), ","), strip)
     at = lambda i: F.get(place, F.lit(i))
-    location = F.when(F.expr(f"{_kind('location')} LIKE 'OBJECT%'"), F.struct(*(F.expr(_text(f"location.{x}")).alias(x) for x in ("city", "region", "country")))).when(
+    location = F.when(F.expr(f"{_kind('location')} LIKE 'OBJECT%'"), F.struct(*(F.expr(_part(x, "fields.location")).alias(x) for x in ("city", "region", "country")))).when(
         F.expr(f"{_kind('location')} = 'STRING'"),
         F.struct(at(0).alias("city"), F.when(F.size(place) == 3, at(1)).alias("region"), F.when(F.size(place) == 3, at(2)).when(F.size(place) == 2, at(1)).alias("country")),
     )
     listed = F.filter(F.transform(F.split(F.expr(_text("skills")), ","), strip), lambda x: x != "")
-    skills = F.when(F.expr(f"{_kind('skills')} = 'STRING'"), listed).otherwise(F.coalesce(F.expr("try_variant_get(item, '$.skills', 'array<string>')"), F.array().cast("array<string>")))
-    objects = lambda path: f"filter(try_variant_get(item, '$.{path}', 'array<variant>'), e -> coalesce(schema_of_variant(e), '') LIKE 'OBJECT%')"
-    entries = F.expr(f"transform({objects('experience')}, e -> named_struct(" + ", ".join(f"'{x}', {_text(x, 'e')}" for x in ("company", "title", "start", "end", "summary")) + "))")
+    skills = F.when(F.expr(f"{_kind('skills')} = 'STRING'"), listed).otherwise(F.coalesce(F.expr("try_variant_get(fields.skills, '$', 'array<string>')"), F.array().cast("array<string>")))
+    objects = lambda path: f"filter(try_variant_get(fields.{path}, '$', 'array<variant>'), e -> coalesce(schema_of_variant(e), '') LIKE 'OBJECT%')"
+    entries = F.expr(f"transform({objects('experience')}, e -> named_struct(" + ", ".join(f"'{x}', {_part(x, 'e')}" for x in ("company", "title", "start", "end", "summary")) + "))")
     education = F.expr(
-        f"transform({objects('education')}, e -> named_struct(" + ", ".join(f"'{x}', {_text(x, 'e')}" for x in ("institution", "degree", "field"))
-        + f", 'end_year', CASE WHEN trim({_text('end_year', 'e')}) RLIKE '^[+-]?[0-9]+$' THEN nullif(try_cast(trim({_text('end_year', 'e')}) AS INT), 0) END))"
+        f"transform({objects('education')}, e -> named_struct(" + ", ".join(f"'{x}', {_part(x, 'e')}" for x in ("institution", "degree", "field"))
+        + f", 'end_year', CASE WHEN trim({_part('end_year', 'e')}) RLIKE '^[+-]?[0-9]+$' THEN nullif(try_cast(trim({_part('end_year', 'e')}) AS INT), 0) END))"
     )
     company, title = _first("company_name", "company"), _first("job_title", "title")
     return _complete(good.select(

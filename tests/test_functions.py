@@ -136,6 +136,18 @@ def test_a_bad_item_ends_its_file(spark, bad):
     assert sorted(r["source_id"] for r in ats_json(files).collect()) == ["f.json_ats_a", "g.json_ats_index_0"]
 
 
+def test_a_file_is_judged_and_parsed_once(spark):
+    """The first impossible item is found below the explosion of the items, not for each of them, and no filter parses the text again."""
+    files = spark.createDataFrame([("f", "[{}]")], "file string, text string")
+    plan = ats_json(files)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate posexplode")
+    assert "array_min" not in above and "array_min" in below
+    assert plan.count("parseJson") == 1
+    many = "[" + ",".join(['{"ats_id": "a", "years_experience": 1}'] * 3000 + ["7", "{}"]) + "]"
+    files = spark.createDataFrame([("f", many), ("g", "[]"), ("h", "[null]"), ("i", "{}"), ("j", "{")], "file string, text string")
+    assert {r["file"]: r["n"] for r in ats_json(files).selectExpr("split(source_id, '_')[0] AS file").groupBy("file").agg(F.count("*").alias("n")).collect()} == {"f": 3000, "i": 1}
+
+
 def test_ats_forms(spark):
     item = {"name": " A ", "location": "X, Y", "skills": "p, ,q", "years_experience": "2.5", "experience": [1, {"company": "C"}], "education": [{"end_year": "x"}, {"end_year": 2001}, 3], "company": "Z"}
     r = ats_json(spark.createDataFrame([("f.json", json.dumps([item]))], "file string, text string")).first()
