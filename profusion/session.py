@@ -74,5 +74,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a table dealt out to as many tasks as a shuffle has: where rows are few bytes and much work, Spark's scan of
+    a small file is few tasks, or one."""
+    return df.repartition(max(shuffle_partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
