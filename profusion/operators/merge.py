@@ -12,6 +12,8 @@ own (``provenance_rows``). Only the fields asked for are proposed.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,14 @@ def json_text(c: Column) -> Column:
     return F.when(c.isNull(), "null").otherwise(F.substring(listed, F.lit(2), F.length(listed) - 2))
 
 
-def _proposal(field: str, value: Column, conf: Column, *, grp: Column | None = None, failed: Column | None = None, json: Column | None = None, num: Column | None = None, note: Column | None = None, entry: Column | None = None) -> Column:
+def _proposal(field: str, value: Column, conf: Column, *, grp: Column | None = None, failed: Column | None = None, json: Column | None = None, num: Column | None = None, note: Column | None = None, entry: Column | None = None, log: bool = True) -> Column:
+    """A value that a record proposes; without ``log`` its JSON and note, which nothing else reads, are null and cost nothing."""
     none = lambda kind: F.lit(None).cast(kind)
     failed = F.lit(False) if failed is None else failed
     return F.struct(
         F.lit(field).alias("field"), (F.lit("") if grp is None else grp).alias("grp"), value.alias("value"), failed.alias("failed"),
-        F.when(failed, "null").otherwise(json_text(value) if json is None else json).alias("json"), (none("double") if num is None else num).alias("num"),
-        conf.cast("int").alias("conf"), (none("string") if note is None else note).alias("note"), (none(_ENTRY) if entry is None else entry).alias("entry"),
+        (F.when(failed, "null").otherwise(json_text(value) if json is None else json) if log else none("string")).alias("json"), (none("double") if num is None else num).alias("num"),
+        conf.cast("int").alias("conf"), (none("string") if note is None or not log else note).alias("note"), (none(_ENTRY) if entry is None else entry).alias("entry"),
     ).cast(_PROPOSAL)
 
 
@@ -63,23 +66,25 @@ def _each(values: Column, proposal, kind: str = "array<string>") -> Column:
     return F.transform(F.coalesce(values, F.array().cast(kind)), proposal)
 
 
-def proposals(records: DataFrame, as_of: Column, default_region: str = "US", fields: set[str] | None = None) -> DataFrame:
+def proposals(records: DataFrame, as_of: Column, default_region: str = "US", fields: set[str] | None = None, log: bool = True) -> DataFrame:
     """Rows entity, rec_pos, idx, source_id, source_type, method and the proposal's fields. ``records`` has a column entity.
 
     Of ``PROPOSED`` only ``fields`` are proposed, all if that is None; besides, each record proposes its source, for the field ''.
+    Without ``log`` the columns json and note are null.
     """
+    proposal = partial(_proposal, log=log)
     conf, derived = N.trust(F.col("source_type"), F.col("method")), N.trust(F.col("source_type"), F.lit("derived"))
     col = F.col
 
     def plain(field: str, c: Column) -> Column:
-        return _if(_filled(c), _proposal(field, strip(c), conf))
+        return _if(_filled(c), proposal(field, strip(c), conf))
 
     def coded(field: str, c: Column, result: Column, keep: Column | None = None) -> Column:
         bad = result["value"].isNull()
-        return _proposal(field, F.coalesce(result["value"], F.concat(F.lit("normalize_failed_"), c)), conf, failed=bad, note=result["note"])
+        return proposal(field, F.coalesce(result["value"], F.concat(F.lit("normalize_failed_"), c)), conf, failed=bad, note=result["note"])
 
     not_blank = lambda x: x.isNotNull() & (strip(x) != "")
-    years = lambda v, c: _proposal("years_experience", v.cast("string"), c, json=v.cast("string"), num=v)
+    years = lambda v, c: proposal("years_experience", v.cast("string"), c, json=v.cast("string"), num=v)
 
     def stated_and_derived() -> list[Column]:
         work = F.coalesce("experience", F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>"))
@@ -90,10 +95,10 @@ def proposals(records: DataFrame, as_of: Column, default_region: str = "US", fie
         grp = clean_name(e["company"])
         entry = F.struct(e["company"].alias("company"), e["title"].alias("title"), F.lit(None).cast("string").alias("institution"), F.lit(None).cast("string").alias("degree"))
         whole = json_text(F.struct(e["company"].alias("company"), e["title"].alias("title"), e["start"].alias("start"), e["end"].alias("end")))
-        sub = lambda f, c, note=None: _if(_filled(c), _proposal(f, c, conf, grp=grp, note=note))
+        sub = lambda f, c, note=None: _if(_filled(c), proposal(f, c, conf, grp=grp, note=note))
         parts = F.concat(
             sub("experience.title", e["title"]), sub("experience.start", e["start"], N.date(e["start"])["note"]), sub("experience.end", e["end"], N.date(e["end"])["note"]),
-            sub("experience.summary", e["summary"]), F.array(_proposal("experience", grp, conf, grp=grp, json=whole, entry=entry)),
+            sub("experience.summary", e["summary"]), F.array(proposal("experience", grp, conf, grp=grp, json=whole, entry=entry)),
         )
         return F.when(grp != "", parts).otherwise(F.array().cast(f"array<{_PROPOSAL}>"))
 
@@ -102,32 +107,32 @@ def proposals(records: DataFrame, as_of: Column, default_region: str = "US", fie
         entry = F.struct(F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("title"), e["institution"].alias("institution"), e["degree"].alias("degree"))
         year = e["end_year"].cast("string")
         parts = F.concat(
-            _if(_filled(e["field"]), _proposal("education.field", e["field"], conf, grp=grp)),
-            _if(e["end_year"].isNotNull(), _proposal("education.end_year", year, conf, grp=grp, json=year, num=e["end_year"].cast("double"), note=N.date(year)["note"])),
-            F.array(_proposal("education", grp, conf, grp=grp, json=json_text(e), entry=entry)),
+            _if(_filled(e["field"]), proposal("education.field", e["field"], conf, grp=grp)),
+            _if(e["end_year"].isNotNull(), proposal("education.end_year", year, conf, grp=grp, json=year, num=e["end_year"].cast("double"), note=N.date(year)["note"])),
+            F.array(proposal("education", grp, conf, grp=grp, json=json_text(e), entry=entry)),
         )
         return F.when(grp != "\u0001", parts).otherwise(F.array().cast(f"array<{_PROPOSAL}>"))
 
     country = col("location.country")
     parts = {
-        "full_name": lambda: [_if(F.coalesce(strip(col("full_name")) != "", F.lit(False)), _proposal("full_name", strip(col("full_name")), conf))],
+        "full_name": lambda: [_if(F.coalesce(strip(col("full_name")) != "", F.lit(False)), proposal("full_name", strip(col("full_name")), conf))],
         "headline": lambda: [plain("headline", col("headline"))],
         "years_experience": stated_and_derived,
         "location": lambda: [
             plain("location.city", col("location.city")), plain("location.region", col("location.region")), _if(_filled(country), coded("location.country", country, N.country(country))),
         ],
-        "emails": lambda: [_each(F.filter(F.coalesce("emails", F.array().cast("array<string>")), not_blank), lambda x: _proposal("emails", email_key(x), conf, json=json_text(x)))],
+        "emails": lambda: [_each(F.filter(F.coalesce("emails", F.array().cast("array<string>")), not_blank), lambda x: proposal("emails", email_key(x), conf, json=json_text(x)))],
         "phones": lambda: [_each(F.filter(F.coalesce("phones", F.array().cast("array<string>")), not_blank), lambda x: coded("phones", x, N.phone(x, default_region)))],
         "links": lambda: [
             plain("links.linkedin", col("links.linkedin")), plain("links.github", col("links.github")), plain("links.portfolio", col("links.portfolio")),
-            _each(F.filter(F.coalesce(col("links.other"), F.array().cast("array<string>")), _filled), lambda x: _proposal("links.other", strip(x), conf)),
+            _each(F.filter(F.coalesce(col("links.other"), F.array().cast("array<string>")), _filled), lambda x: proposal("links.other", strip(x), conf)),
         ],
-        "skills": lambda: [_each(F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: _proposal("skills", N.skill(x), conf))],
+        "skills": lambda: [_each(F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: proposal("skills", N.skill(x), conf))],
         "experience": lambda: [F.flatten(F.transform(F.coalesce("experience", F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>")), experience))],
         "education": lambda: [F.flatten(F.transform(F.coalesce("education", F.array().cast("array<struct<institution:string,degree:string,field:string,end_year:int>>")), education))],
     }
     wanted = [part for name in PROPOSED if fields is None or name in fields for part in parts[name]()]
-    every = F.concat(F.array(_proposal("", col("source_id"), conf)), *wanted)
+    every = F.concat(F.array(proposal("", col("source_id"), conf)), *wanted)
     return records.select("entity", "rec_pos", "source_id", "source_type", "method", F.posexplode(every).alias("idx", "p")).select("entity", "rec_pos", "idx", "source_id", "source_type", "method", "p.*")
 
 
@@ -184,7 +189,7 @@ def merge(records: DataFrame, as_of: Column | None = None, default_region: str =
     merged, all if that is None (the overall confidence then is that of these fields); without ``log``, provenance is empty.
     """
     as_of = F.current_date() if as_of is None else as_of
-    p = proposals(records, as_of, default_region, fields)
+    p = proposals(records, as_of, default_region, fields, log)
     fields = field_groups(value_groups(p)) if log else lean_groups(p)
     whole = fields.groupBy("entity").agg(F.max(F.when(F.col("field") == "", F.col("id"))).alias("__id"), F.collect_list(F.when(F.col("field") != "", F.struct("field", "grp", "win", "conf", "first", "entry", "vals"))).alias("items"))
     items, vals = F.col("items"), fields.schema["vals"].dataType
